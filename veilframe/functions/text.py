@@ -29,17 +29,27 @@ def is_text(dtype: T.DataType) -> bool:
 
 def is_blank(name: str, dtype: T.DataType) -> Column:
     """Null or the empty string in the named column. Spaces and zero are values, not blanks."""
-    return F.expr(_blank_sql(name, dtype))
+    return F.expr(blank_sql(name, dtype))
 
 
-def _blank_sql(name: str, dtype: T.DataType) -> str:
+def blank_sql(name: str, dtype: T.DataType) -> str:
+    """The blank test as SQL text, for names that need no escaping."""
     empty = f" OR `{name}` = ''" if is_text(dtype) else ""
     return f"(`{name}` IS NULL{empty})"
 
 
+def plain_number_sql(name: str, dtype: T.DataType) -> str:
+    """SQL for a cell as text, whole fractional numbers without their ``.0``; for plain names."""
+    text = f"CAST(`{name}` AS STRING)"
+    if not isinstance(dtype, (T.FractionalType, T.DecimalType)):
+        return text
+    whole = f"`{name}` = floor(`{name}`) AND abs(`{name}`) < 1e15"
+    return f"IF({whole}, CAST(try_cast(`{name}` AS BIGINT) AS STRING), {text})"
+
+
 def all_blank(columns: list[tuple[str, T.DataType]]) -> Column:
     """Is every one of the named columns blank?"""
-    return F.expr(" AND ".join(_blank_sql(name, dtype) for name, dtype in columns) or "true")
+    return F.expr(" AND ".join(blank_sql(name, dtype) for name, dtype in columns) or "true")
 
 
 def id_key(c: Column, dtype: T.DataType, cast_ids: bool = False) -> Column:

@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import datetime as dt
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property, reduce
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +61,12 @@ def _total(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, flags, F.lit(0).cast("long"))
 
 
+def drop_blank_rows(sheet: Sheet) -> DataFrame:
+    """The sheet without rows whose every source cell is blank, columns that rules drop included."""
+    kept = sheet.positional().where(~all_blank([(f"c{i}", t) for i, t in enumerate(sheet.types)]))
+    return kept.toDF(*sheet.frame.columns)
+
+
 def project(sheet: Sheet, plan: list[ColumnPlan], options: Options) -> tuple[DataFrame, list[str]]:
     """Non-blank rows as output values ``v*`` (ids still as keys) with three flag counts per row.
 
@@ -128,12 +134,17 @@ def group_rows(projected: DataFrame, varying: list[str]) -> DataFrame:
 
 @dataclass
 class CleanSheet:
-    """The cleaned sheet. Everything is lazy; only sinks and ``persist_rows`` run jobs."""
+    """The cleaned sheet. Statistics and dry runs of id-free sheets never build the mapping."""
 
     sheet: Sheet
     plan: list[ColumnPlan]
     grouped: DataFrame
-    mapping: Table | None
+    find_mapping: Callable[[], Table]
+
+    @property
+    def mapping(self) -> Table:
+        """The id mapping; asking for it the first time numbers the keys."""
+        return self.find_mapping()
 
     @property
     def name(self) -> str:
@@ -181,6 +192,12 @@ class CleanSheet:
         named = [c.alias(f"o{i}") for i, c in enumerate(self._outputs())]
         return self._with_ids.select(F.col(POSITION), *named).toDF(POSITION, *self.columns)
 
+    @property
+    def counted(self) -> DataFrame:
+        """Like ``positioned`` with ``_rows``, how many source rows each output row stands for."""
+        named = [c.alias(f"o{i}") for i, c in enumerate(self._outputs())]
+        return self._with_ids.select(POSITION, _ROWS, *named).toDF(POSITION, _ROWS, *self.columns)
+
     @property
     def stats(self) -> DataFrame:
         """One row with the counters, all taken before duplicates went. Needs no id lookup."""
@@ -208,14 +225,13 @@ def _key_columns(sheet: Sheet, sheet_idx: int, plan: list[ColumnPlan], options:
     return out
 
 
-def _mapping_for(sheets: list[Sheet], plans: list[list[ColumnPlan]], options: Options) -> Table | None:
+def _mapping_for(sheets: list[Sheet], plans: list[list[ColumnPlan]], options: Options) -> Callable[[], Table]:
+    """The shared mapping, built on first use and once only. Missing row order is reported right away."""
     columns = [k for i, (s, p) in enumerate(zip(sheets, plans)) for k in _key_columns(s, i, p, options)]
-    return build_mapping(columns) if columns else None
-
-
-def _empty_mapping(sheet: Sheet) -> Table:
-    empty = sheet.frame.sparkSession.createDataFrame([], "key string, id string")
-    return Table(empty, ("key",), "id", rows=0, key_bytes=0)
+    if columns:
+        return cache(lambda: build_mapping(columns))
+    empty = sheets[0].frame.sparkSession.createDataFrame([], "key string, id string")
+    return lambda: Table(empty, ("key",), "id", rows=0, key_bytes=0)
 
 
 def clean_sheet(
@@ -233,9 +249,13 @@ def clean_sheet(
 class CleanWorkbook:
     """Cleaned sheets in workbook order."""
 
-    def __init__(self, sheets: list[CleanSheet], mapping: Table | None):
+    def __init__(self, sheets: list[CleanSheet], find_mapping: Callable[[], Table]):
         self.sheets = sheets
-        self.mapping = mapping
+        self.find_mapping = find_mapping
+
+    @property
+    def mapping(self) -> Table:
+        return self.find_mapping()
 
     def __iter__(self) -> Iterator[CleanSheet]:
         return iter(self.sheets)
@@ -257,14 +277,18 @@ def clean_workbook(
     opts = Options(**options)
     sheets = list(workbook)
     if not sheets:
-        return CleanWorkbook([], None)
+        raise ValueError("the workbook has no sheet with columns")
     plans = plan_tables(sheets[0].frame.sparkSession, [s.headers for s in sheets], rules)
-    table = as_mapping(mapping) if mapping is not None else _mapping_for(sheets, plans, opts)
+    if mapping is None:
+        find_mapping = _mapping_for(sheets, plans, opts)
+    else:
+        given = as_mapping(mapping)
+        find_mapping = lambda: given
     cleaned = []
     for sheet, plan in zip(sheets, plans):
         projected, varying = project(sheet, plan, opts)
-        cleaned.append(CleanSheet(sheet, plan, group_rows(projected, varying), table or _empty_mapping(sheet)))
-    return CleanWorkbook(cleaned, table)
+        cleaned.append(CleanSheet(sheet, plan, group_rows(projected, varying), find_mapping))
+    return CleanWorkbook(cleaned, find_mapping)
 
 
 __all__ = ["COUNTERS", "CleanSheet", "CleanWorkbook", "Options", "OrderError", "clean_sheet", "clean_workbook", "today"]

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from veilframe.functions.dates import looks_like_date
 from veilframe.functions.numbers import text_to_number, to_fixed2, whole_number_between
-from veilframe.functions.text import WHITESPACE, is_blank, is_text, normalize_header, trim_ws
+from veilframe.functions.text import WHITESPACE, blank_sql, is_text, normalize_header, plain_number_sql, trim_ws
 from veilframe.plans.rules import Rule, RuleSet
 from veilframe.sources.sheets import POSITION, Sheet, Workbook
 
@@ -55,24 +55,21 @@ class Pattern:
             tests.append(dated)
         return reduce(lambda a, b: a | b, tests) if tests else None
 
-    def header_hit(self, header: Column) -> Column:
-        return reduce(lambda a, b: a | b, [header.contains(h) for h in self.hints], F.lit(False))
-
-    def confidence(self, hit: Column, rate: Column) -> Column:
-        """Confidence of this pattern, null when it is no candidate."""
-        if self.header_only:
-            return F.when(hit, F.lit(0.92))
-        above = rate - F.lit(0.5)
-        score = (
-            F.when(hit & (rate >= 0.5), F.lit(0.95) + F.least(F.lit(0.04), above))
-            .when(rate >= 0.9, F.lit(0.9))
-            .when(hit, F.when(rate >= 0.25, F.lit(0.6) + F.lit(0.1)).otherwise(F.lit(0.6)))
-            .when(rate >= 0.5, F.lit(0.65) + F.least(F.lit(0.1), above))
-        )
-        if self.weight is not None:
-            score = score * F.lit(self.weight)
-        score = F.when(score.isNotNull(), F.least(F.lit(0.99), score))
-        return F.when(hit, score) if self.header_required else score
+    def literal(self, idx: int) -> str:
+        """The pattern as an SQL struct; an absent weight is 1."""
+        action, name, text = self.suggested or (None, None, None)
+        fields = {
+            "pattern_idx": str(idx), "tie": str(-idx), "type": _quoted(self.type), "severity": _quoted(self.severity),
+            "hints": f"CAST(array({', '.join(map(_quoted, self.hints))}) AS ARRAY<STRING>)",
+            "header_required": str(self.header_required), "header_only": str(self.header_only),
+            "weight": f"{self.weight or 1.0}D",
+            "action": _quoted(action), "output_name": _quoted(name), "replace_with": _quoted(text),
+        }
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _quoted(text: str | None) -> str:
+    return "CAST(NULL AS STRING)" if text is None else f"'{text}'"
 
 
 def _is_age(value: Column, kind: Column) -> Column:
@@ -167,27 +164,21 @@ def _kind(dtype: T.DataType) -> str:
     return DATE if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)) else OTHER
 
 
-def _as_text(c: Column, dtype: T.DataType) -> Column:
-    """Text form of a cell; whole numbers without a fraction. Nested and binary cells have none."""
+def _as_text(name: str, dtype: T.DataType) -> str:
+    """SQL for a cell's text form, null when blank; whole numbers without a fraction.
+
+    Nested and binary cells have no text form.
+    """
     if _kind(dtype) == OTHER:
-        return F.lit(None).cast("string")
-    if isinstance(dtype, (T.FractionalType, T.DecimalType)):
-        whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e15))
-        return F.when(whole, c.try_cast("long").cast("string")).otherwise(c.cast("string"))
-    return c.cast("string")
+        return "CAST(NULL AS STRING)"
+    return f"IF({blank_sql(name, dtype)}, NULL, {plain_number_sql(name, dtype)})"
 
 
 def _cells(frame: DataFrame, sheet: Sheet, columns: list[int]) -> DataFrame:
     """Long form ``(_pos?, col_idx, value)`` of the chosen columns, blank cells left out."""
-    cells = [
-        F.struct(
-            F.lit(i).alias("col_idx"),
-            F.when(~is_blank(f"c{i}", sheet.types[i]), _as_text(F.col(f"c{i}"), sheet.types[i])).alias("value"),
-        )
-        for i in columns
-    ]
+    cells = ", ".join(f"{i}, {_as_text(f'c{i}', sheet.types[i])}" for i in columns)
     order = [POSITION] if POSITION in frame.columns else []
-    return frame.select(*order, F.explode(F.array(*cells)).alias("cell")).select(*order, "cell.*").where("value IS NOT NULL")
+    return frame.selectExpr(*order, f"stack({len(columns)}, {cells}) AS (col_idx, value)").where("value IS NOT NULL")
 
 
 def first_values(sheet: Sheet, n: int = SAMPLE_SIZE) -> DataFrame:
@@ -210,7 +201,7 @@ def first_values(sheet: Sheet, n: int = SAMPLE_SIZE) -> DataFrame:
         short = [i for i in columns if filled.get(i, 0) < n and _kind(sheet.types[i]) != OTHER]
     parts = [near.where(~F.col("col_idx").isin(short)) if short else near]
     for i in short:
-        one = frame.select(POSITION, f"c{i}").where(~is_blank(f"c{i}", sheet.types[i]))
+        one = frame.select(POSITION, f"c{i}").where(f"NOT {blank_sql(f'c{i}', sheet.types[i])}")
         parts.append(_cells(one.orderBy(POSITION).limit(n), sheet, [i]))
     by_column = Window.partitionBy("col_idx").orderBy(POSITION)
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(by_column))
@@ -265,29 +256,37 @@ def match_rates(samples: DataFrame) -> DataFrame:
     return counted.select(*_PLACE, "sample_size", F.col("shown.value").alias("sample_values"), F.array(*rates).alias("rates"))
 
 
+# The confidence model. A pattern without a value test has rate 0 here.
+_CONFIDENCE = """
+CASE WHEN c.header_only THEN IF(c.hit, 0.92D, NULL)
+     WHEN c.header_required AND NOT c.hit THEN NULL
+     WHEN c.hit AND c.rate >= 0.5D THEN least(0.99D, (0.95D + least(0.04D, c.rate - 0.5D)) * c.weight)
+     WHEN c.rate >= 0.9D THEN least(0.99D, 0.9D * c.weight)
+     WHEN c.hit THEN least(0.99D, (0.6D + IF(c.rate >= 0.25D, 0.1D, 0.0D)) * c.weight)
+     WHEN c.rate >= 0.5D THEN least(0.99D, (0.65D + least(0.1D, c.rate - 0.5D)) * c.weight)
+END
+"""
+
+
 def score(rates: DataFrame) -> DataFrame:
-    """Add ``candidates``: every pattern that applies, best first, ties to the earlier pattern."""
-    header = normalize_header(F.col("header"))
-    scored = []
-    for i, p in enumerate(PATTERNS):
-        hit, rate = p.header_hit(header), F.get("rates", F.lit(i))
-        action, name, text = p.suggested or (None, None, None)
-        scored.append(
-            F.struct(
-                p.confidence(hit, rate).alias("raw_confidence"),
-                F.lit(-i).alias("tie"),
-                F.lit(i).alias("pattern_idx"),
-                F.lit(p.type).alias("type"),
-                F.lit(p.severity).alias("severity"),
-                hit.alias("header_hit"),
-                (F.lit(None).cast("double") if p.header_only else rate).alias("value_rate"),
-                F.lit(action).cast("string").alias("action"),
-                F.lit(name).cast("string").alias("output_name"),
-                F.lit(text).cast("string").alias("replace_with"),
-            )
-        )
-    held = F.filter(F.array(*scored), lambda c: c["raw_confidence"].isNotNull())
-    return rates.withColumn("candidates", F.sort_array(held, asc=False))
+    """Add ``candidates``: every pattern that applies, best first, ties to the earlier pattern.
+
+    The patterns are a constant array, so scoring is one projection and needs no join.
+    """
+    patterns = ", ".join(p.literal(i) for i, p in enumerate(PATTERNS))
+    evidence = f"""
+        transform(array({patterns}), p -> named_struct(
+            'p', p, 'weight', p.weight, 'header_only', p.header_only, 'header_required', p.header_required,
+            'hit', exists(p.hints, hint -> contains(normal, hint)), 'rate', coalesce(rates[p.pattern_idx], 0.0D)))
+    """
+    scored = f"""
+        transform({evidence}, c -> named_struct(
+            'raw_confidence', {_CONFIDENCE}, 'tie', c.p.tie, 'pattern_idx', c.p.pattern_idx, 'type', c.p.type,
+            'severity', c.p.severity, 'header_hit', c.hit, 'value_rate', IF(c.header_only, NULL, c.rate),
+            'action', c.p.action, 'output_name', c.p.output_name, 'replace_with', c.p.replace_with))
+    """
+    held = F.expr(f"sort_array(filter({scored}, c -> c.raw_confidence IS NOT NULL), false)")
+    return rates.withColumn("normal", normalize_header(F.col("header"))).withColumn("candidates", held).drop("normal")
 
 
 class Detection:

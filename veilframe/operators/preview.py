@@ -20,7 +20,7 @@ def preview(sheet: CleanSheet, limit: int = PREVIEW_LIMIT, keep_position: bool =
     """
     sheet.sheet.require_order("preview")
     first = sheet.grouped.orderBy(POSITION).limit(max(0, limit - 1))
-    head = CleanSheet(sheet.sheet, sheet.plan, first, sheet.mapping)
+    head = CleanSheet(sheet.sheet, sheet.plan, first, sheet.find_mapping)
     ordered = head.positioned.orderBy(POSITION)
     return ordered if keep_position else ordered.drop(POSITION)
 
