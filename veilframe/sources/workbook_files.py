@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.operators.ordered import number_rows
+from veilframe.session import materialize
 from veilframe.sources.screening import MAX_BYTES
 from veilframe.sources.sheets import POSITION, Sheet, Workbook
 
@@ -113,14 +115,15 @@ def _ods_sheets(book: zipfile.ZipFile) -> Iterator[tuple[str, list[list[Cell]]]]
 
 
 def parse_workbook(content: bytes) -> list[tuple[str, list[list[Cell]]]]:
-    """Sheets in workbook order. Sheets without rows are left out; rows start at the first used one."""
+    """Sheets in workbook order, each from its first used row and column. Sheets without cells are left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         reader = _ods_sheets if "content.xml" in book.namelist() else _xlsx_sheets
         out = []
         for name, rows in reader(book):
             used = [i for i, row in enumerate(rows) if any(c is not None for c in row)]
             if used:
-                out.append((name, rows[used[0] : used[-1] + 1]))
+                left = min(next(c for c, cell in enumerate(rows[i]) if cell is not None) for i in used)
+                out.append((name, [row[left:] for row in rows[used[0] : used[-1] + 1]]))
         return out
 
 
@@ -164,6 +167,7 @@ def to_workbook(rows: DataFrame) -> Workbook:
     are, else text. Rows shorter than the header end in blanks and cells beyond it are ignored. The
     position runs over the files in path order, so the sheet keeps workbook order.
     """
+    rows = materialize(rows, "workbook")  # parse every file once
     header_rows = rows.where("row_idx = 0").select("sheet", "sheet_idx", F.transform("cells", lambda c: c["value"]).alias("header"))
     # One row per distinct sheet layout.
     layouts = header_rows.groupBy("sheet", "header").agg(F.min("sheet_idx").alias("place")).orderBy("place", "sheet").collect()
@@ -174,9 +178,7 @@ def to_workbook(rows: DataFrame) -> Workbook:
     found = cells(rows).where("row_idx > 0 AND kind IS NOT NULL").select("sheet", "col_idx", "kind").distinct().collect()
     for sheet, col, kind in found:
         kinds.setdefault((sheet, col), set()).add(kind)
-    spark = rows.sparkSession
-    paths = [r[0] for r in rows.select("path").distinct().orderBy("path").collect()]
-    ranks = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, file_idx long")
+    ranks = number_rows(rows.select("path").distinct(), ["path"], "files", into="file_idx")
     located = rows.where("row_idx > 0").join(ranks, "path")
     sheets = []
     for layout in layouts:
