@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 _UNITS = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20, "g": 2**30, "gb": 2**30, "t": 2**40, "tb": 2**40}
 
 
-def local_session(cores: int | str = 8, name: str = "veilframe") -> SparkSession:
+def local_session(cores: int | str = 8, name: str = "veilframe", settings: dict[str, str] | None = None) -> SparkSession:
     """Session for tests and the local benchmark. Clusters bring their own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
@@ -22,8 +22,10 @@ def local_session(cores: int | str = 8, name: str = "veilframe") -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
     )
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
