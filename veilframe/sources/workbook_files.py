@@ -164,13 +164,13 @@ def to_workbook(rows: DataFrame) -> Workbook:
     """One DataFrame per sheet name, over all files that hold it; the first row of a sheet is its header.
 
     Files that share a sheet must share its header. A column is numeric or boolean when all its cells
-    are, else text. Rows shorter than the header end in blanks and cells beyond it are ignored. The
+    are, else text. Sheets follow their first (file, place). Rows shorter than the header end in blanks and cells beyond it are ignored. The
     position runs over the files in path order, so the sheet keeps workbook order.
     """
     rows = materialize(rows, "workbook")  # parse every file once
-    header_rows = rows.where("row_idx = 0").select("sheet", "sheet_idx", F.transform("cells", lambda c: c["value"]).alias("header"))
+    header_rows = rows.where("row_idx = 0").select("sheet", "path", "sheet_idx", F.transform("cells", lambda c: c["value"]).alias("header"))
     # One row per distinct sheet layout.
-    layouts = header_rows.groupBy("sheet", "header").agg(F.min("sheet_idx").alias("place")).orderBy("place", "sheet").collect()
+    layouts = header_rows.groupBy("sheet", "header").agg(F.min(F.struct("path", "sheet_idx")).alias("place")).orderBy("place").collect()
     names = [r["sheet"] for r in layouts]
     if len(set(names)) != len(names):
         raise ValueError("files that share a sheet name must share its header")
