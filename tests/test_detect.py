@@ -96,7 +96,7 @@ def test_samples_of_sparse_columns_are_exact(spark):
         F.when(F.col("id") % 300 == 299, F.col("id").cast("string")).otherwise("").alias("sparse"),
         F.lit(None).cast("string").alias("never"),
     )
-    got = {(r["col_idx"], r["rank"]): r["value"] for r in first_values(Sheet("s", frame, "_pos")).collect()}
+    got = {(r["col_idx"], r["rank"]): r["value"] for r in first_values([Sheet("s", frame, "_pos")]).collect()}
     want = {(0, i + 1): f"d{i}" for i in range(25)} | {(1, i + 1): str(300 * i + 299) for i in range(16)}
     assert got == want
 

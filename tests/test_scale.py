@@ -127,7 +127,7 @@ def test_sample_bound_is_pushed_to_the_scan(spark):
     from veilframe.operators.detect import first_values
 
     orders = Sheet("orders", fx.table(spark, SF, "orders"), "o_orderkey")
-    assert "LessThanOrEqual(o_orderkey" in plan_of(first_values(orders))
+    assert "LessThanOrEqual(o_orderkey" in plan_of(first_values([orders]))
 
 
 def test_shuffled_input_gives_the_same_result(spark):

@@ -218,11 +218,9 @@ def workbook_k_min(spark: SparkSession, sf: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """First 25 non-blank values of every column, a sparse one included."""
-    parts = [first_values(s).select(F.lit(s.name).alias("sheet"), "*") for s in detection_workbook(spark, sf)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    sheets = list(detection_workbook(spark, sf))
+    names = F.get(F.lit([s.name for s in sheets]), "sheet_idx")
+    return first_values(sheets).select(names.alias("sheet"), "col_idx", "rank", "value")
 
 
 def _rates(detection: Detection) -> DataFrame:

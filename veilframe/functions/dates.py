@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions.text import is_text, trim_ws
+from veilframe.functions.text import WHITESPACE, is_text, trim_ws
 
 # Shapes accepted by the date-shape test, and the open window of plausible years.
 ISO_PREFIX = r"^\d{4}-\d{2}-\d{2}"
@@ -29,6 +29,8 @@ MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 _CALENDAR = r"^\d{4}(?:[-/]\d{1,2}){0,2}\z"
 _DATETIME = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}"
+# What every text in the grammar starts like; spares other texts the parsing.
+_DATE_LIKE = rf"^[\s{WHITESPACE}]*(?:\d{{1,4}}[-/ ]|\d{{4}}(?!\d)|[A-Za-z]{{3,9}}\.? \d)"
 # Other forms are rewritten to year-month-day. A text matches one of them at most.
 _MONTH_DAY_YEAR = (
     (r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})\z", "$4-$1-$3"),
@@ -99,9 +101,10 @@ def looks_like_date(c: Column) -> Column:
     """Shape test on text: ISO prefix, slash or dash form, else the grammar plus a 4-digit run."""
     iso_year = F.substring(c, 1, 4).try_cast("int")
     last_part = F.regexp_extract(c, r"(\d+)\z", 1)
-    general = c.rlike(r"\d{4}") & _plausible(F.year(parse_date(c)))
+    general = c.rlike(_DATE_LIKE) & c.rlike(r"\d{4}") & _plausible(F.year(parse_date(c)))
     return F.coalesce(
-        F.when(c.rlike(ISO_PREFIX), _plausible(iso_year))
+        F.when(~c.rlike("[0-9]"), F.lit(False))
+        .when(c.rlike(ISO_PREFIX), _plausible(iso_year))
         .when(c.rlike(SLASH_SHAPE), (F.length(last_part) != 4) | _plausible(last_part.try_cast("int")))
         .otherwise(general),
         F.lit(False),

@@ -16,12 +16,12 @@ def text_to_number(c: Column) -> Column:
     """Text to double under script number rules: white space is 0, 0x/0o/0b literals count."""
     s = F.lower(trim_ws(c))
     number = F.when(s == "", F.lit(0.0)).when(s.rlike(_DECIMAL), s.try_cast("double"))
+    prefixed = F.lit(None).cast("double")
     for letter, (base, digit) in _RADIX.items():
         # Fifteen significant digits stay far inside a long in every base.
-        number = number.when(
-            s.rlike(f"^0{letter}0*{digit}{{1,15}}\\z"), F.conv(F.substring(s, 3, 1000), base, 10).try_cast("double")
-        )
-    return number
+        whole = F.conv(F.substring(s, 3, 1000), base, 10).try_cast("double")
+        prefixed = F.when(s.rlike(f"^0{letter}0*{digit}{{1,15}}\\z"), whole).otherwise(prefixed)
+    return number.when(s.startswith("0"), prefixed)
 
 
 def whole_number_between(n: Column, low: int, high: int) -> Column:

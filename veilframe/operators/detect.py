@@ -18,6 +18,7 @@ from veilframe.functions.dates import looks_like_date
 from veilframe.functions.numbers import text_to_number, to_fixed2, whole_number_between
 from veilframe.functions.text import WHITESPACE, blank_sql, is_text, normalize_header, plain_number_sql, trim_ws
 from veilframe.plans.rules import Rule, RuleSet
+from veilframe.session import spread
 from veilframe.sources.sheets import POSITION, Sheet, Workbook
 
 # Sampled values per column, reported values and candidates, suggested threshold.
@@ -28,6 +29,7 @@ SUGGESTED_MIN_K = 5
 # The first rows scanned for samples, as a multiple of the sample size.
 LOOKAHEAD = 40
 
+UNBOUNDED = 2**31 - 1
 TEXT, NUMBER, BOOLEAN, DATE, OTHER = "text", "number", "boolean", "date", "other"
 
 
@@ -37,22 +39,30 @@ class Pattern:
     severity: str
     hints: tuple[str, ...] = ()
     regex: str | None = None
-    predicate: Callable[[Column, Column], Column] | None = None
+    lengths: tuple[int, int] = (0, UNBOUNDED)  # lengths the regex can match; a cheap exact pre-test
+    needs: str | None = None  # text that every match contains; another one
+    predicate: Callable[[], Column] | None = None
     is_date: bool = False
     header_required: bool = False
     header_only: bool = False
     weight: float | None = None
     suggested: tuple[str, str | None, str | None] | None = None  # action, output name, replacement
 
-    def value_hit(self, value: Column, kind: Column, dated: Column) -> Column | None:
-        """Does one sampled value satisfy the pattern? None when it has no value test."""
+    def value_hit(self) -> Column | None:
+        """Does one sampled value satisfy the pattern? None when it has no value test.
+
+        Reads the columns that ``measure`` adds, so that each is computed once per value.
+        """
         tests = []
         if self.regex is not None:
-            tests.append((kind == TEXT) & value.rlike(self.regex))
+            test = F.col("is_text") & F.col("chars").between(*self.lengths)
+            if self.needs is not None:
+                test = test & F.col("value").contains(self.needs)
+            tests.append(test & F.col("value").rlike(self.regex))
         if self.predicate is not None:
-            tests.append(self.predicate(value, kind))
+            tests.append(self.predicate())
         if self.is_date:
-            tests.append(dated)
+            tests.append(F.col("dated"))
         return reduce(lambda a, b: a | b, tests) if tests else None
 
     def literal(self, idx: int) -> str:
@@ -72,17 +82,16 @@ def _quoted(text: str | None) -> str:
     return "CAST(NULL AS STRING)" if text is None else f"'{text}'"
 
 
-def _is_age(value: Column, kind: Column) -> Column:
-    number = F.when(kind == TEXT, text_to_number(value)).when(kind == NUMBER, value.try_cast("double"))
-    return (kind == BOOLEAN) | whole_number_between(number, 0, 130)
+def _is_age() -> Column:
+    return F.col("is_boolean") | whole_number_between(F.col("number"), 0, 130)
 
 
 # Answers that make a gender column.
 GENDERS = ("m", "f", "male", "female", "x", "other", "nonbinary", "non-binary", "nb", "unknown", "prefer not to say")
 
 
-def _is_gender(value: Column, kind: Column) -> Column:
-    return (kind == TEXT) & F.lower(trim_ws(value)).isin(*GENDERS)
+def _is_gender() -> Column:
+    return F.col("is_text") & F.lower(trim_ws(F.col("value"))).isin(*GENDERS)
 
 
 _SPACE = r"\s" + WHITESPACE
@@ -91,38 +100,38 @@ _SPACE = r"\s" + WHITESPACE
 PATTERNS: tuple[Pattern, ...] = (
     Pattern(
         "email", "direct", ("email", "e-mail", "mail"),
-        regex=rf"^[^{_SPACE}@]+@[^{_SPACE}@]+\.[^{_SPACE}@]+\z",
+        regex=rf"^[^{_SPACE}@]+@[^{_SPACE}@]+\.[^{_SPACE}@]+\z", lengths=(5, UNBOUNDED), needs="@",
         suggested=("redact", None, "<email>"),
     ),
     Pattern(
         "ssn", "direct", ("ssn", "social security", "social_security", "tin"),
-        regex=r"^\d{3}-?\d{2}-?\d{4}\z",
+        regex=r"^\d{3}-?\d{2}-?\d{4}\z", lengths=(9, 11),
         suggested=("redact", None, "<ssn>"),
     ),
     Pattern(
         "creditcard", "direct", ("credit_card", "creditcard", "card_number", "cardnumber", "cc_number"),
-        regex=r"^(?:\d[ -]?){13,19}\z", header_required=True,
+        regex=r"^(?:\d[ -]?){13,19}\z", lengths=(13, 38), header_required=True,
         suggested=("redact", None, "<cc>"),
     ),
     Pattern(
         "phone", "direct", ("phone", "mobile", "cell", "tel", "telephone", "contact"),
-        regex=rf"^[+]?[\d][\d{_SPACE}\-().]{{6,}}\z", header_required=True,
+        regex=rf"^[+]?[\d][\d{_SPACE}\-().]{{6,}}\z", lengths=(7, UNBOUNDED), header_required=True,
         suggested=("redact", None, "<phone>"),
     ),
     Pattern(
         "nhi", "direct", ("nhi", "national health"),
-        regex=r"^[A-Za-z]{3}\d{4}\z",
+        regex=r"^[A-Za-z]{3}\d{4}\z", lengths=(7, 7),
         suggested=("anonymize", "ID", None),
     ),
     Pattern(
         "mrn", "direct",
         ("mrn", "medical record", "patient_id", "patientid", "patient id", "patient code", "patient_code"),
-        regex=r"(?i)^(?=.*\d)[A-Z0-9-]{4,20}\z", header_required=True,
+        regex=r"(?i)^(?=.*\d)[A-Z0-9-]{4,20}\z", lengths=(4, 20), header_required=True,
         suggested=("anonymize", "PatientID", None),
     ),
     Pattern(
         "ip", "direct", ("ip", "ip_address", "ipaddress", "client_ip"),
-        regex=r"^(?:\d{1,3}\.){3}\d{1,3}\z",
+        regex=r"^(?:\d{1,3}\.){3}\d{1,3}\z", lengths=(7, 15),
         suggested=("redact", None, "<ip>"),
     ),
     Pattern(
@@ -144,7 +153,7 @@ PATTERNS: tuple[Pattern, ...] = (
     ),
     Pattern(
         "postcode", "quasi", ("postcode", "postal_code", "postal code", "zip", "zipcode", "zip_code"),
-        regex=r"(?i)^[A-Z0-9][A-Z0-9 -]{2,9}\z", header_required=True,
+        regex=r"(?i)^[A-Z0-9][A-Z0-9 -]{2,9}\z", lengths=(3, 10), header_required=True,
     ),
     Pattern("age", "quasi", ("age",), predicate=_is_age, header_required=True),
     Pattern("gender", "quasi", ("gender", "sex"), predicate=_is_gender, header_required=True),
@@ -181,79 +190,101 @@ def _cells(frame: DataFrame, sheet: Sheet, columns: list[int]) -> DataFrame:
     return frame.selectExpr(*order, f"stack({len(columns)}, {cells}) AS (col_idx, value)").where("value IS NOT NULL")
 
 
-def first_values(sheet: Sheet, n: int = SAMPLE_SIZE) -> DataFrame:
-    """``(col_idx, rank, value)``: the first ``n`` non-blank values of every column in row order.
+def _stack_sheets(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [p.withColumn("sheet_idx", F.lit(i)) for i, p in enumerate(parts)])
+
+
+def first_values(sheets: list[Sheet], n: int = SAMPLE_SIZE) -> DataFrame:
+    """``(sheet_idx, col_idx, rank, value)``: the first ``n`` non-blank values of every column in row order.
 
     Dense columns fill their sample within the first rows. So find the position that bounds those
     rows from the position column alone, and read only up to it (the bound reaches the scan as a
     pushed filter). Columns still short of ``n`` get an exact second look: a bounded top-n of that
-    column. No partition ever sorts a whole column.
+    column. No partition ever sorts a whole column. All sheets share the two small probing jobs,
+    which bring two numbers per sheet and one per column to the driver.
     """
-    sheet.require_order("sampling")
-    frame, columns = sheet.positional(), list(range(len(sheet.headers)))
-    head = frame.select(POSITION).orderBy(POSITION).limit(n * LOOKAHEAD)
-    bound, seen = head.agg(F.max(POSITION), F.count(F.lit(1))).first()
-    near = _cells(frame.where(F.col(POSITION) <= F.lit(bound)) if seen else frame, sheet, columns)
-    short: list[int] = []
-    if seen == n * LOOKAHEAD:
-        # One count per column.
-        filled = {r[0]: r[1] for r in near.groupBy("col_idx").count().collect()}
-        short = [i for i in columns if filled.get(i, 0) < n and _kind(sheet.types[i]) != OTHER]
-    parts = [near.where(~F.col("col_idx").isin(short)) if short else near]
-    for i in short:
-        one = frame.select(POSITION, f"c{i}").where(f"NOT {blank_sql(f'c{i}', sheet.types[i])}")
-        parts.append(_cells(one.orderBy(POSITION).limit(n), sheet, [i]))
-    by_column = Window.partitionBy("col_idx").orderBy(POSITION)
-    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(by_column))
-    return ranked.where(F.col("rank") <= n).select("col_idx", "rank", "value")
+    for sheet in sheets:
+        sheet.require_order("sampling")
+    frames = [s.positional() for s in sheets]
+    columns = [list(range(len(s.headers))) for s in sheets]
+    heads = [f.select(POSITION).orderBy(POSITION).limit(n * LOOKAHEAD) for f in frames]
+    probes = _stack_sheets([h.agg(F.max(POSITION).alias("bound"), F.count(F.lit(1)).alias("seen")) for h in heads])
+    bounds = {r["sheet_idx"]: (r["bound"], r["seen"]) for r in probes.collect()}
+    near = [
+        _cells(f.where(F.col(POSITION) <= F.lit(bounds[i][0])) if bounds[i][1] else f, sheets[i], columns[i])
+        for i, f in enumerate(frames)
+    ]
+    longer = [i for i, (_, seen) in bounds.items() if seen == n * LOOKAHEAD]
+    filled: dict[tuple[int, int], int] = {}
+    if longer:
+        probed = _stack_sheets(near).where(F.col("sheet_idx").isin(longer))
+        filled = {(r[0], r[1]): r[2] for r in probed.groupBy("sheet_idx", "col_idx").count().collect()}
+    ranked = []
+    for i, sheet in enumerate(sheets):
+        short = [c for c in columns[i] if i in longer and filled.get((i, c), 0) < n and _kind(sheet.types[c]) != OTHER]
+        parts = [near[i].where(~F.col("col_idx").isin(short)) if short else near[i]]
+        for c in short:
+            one = frames[i].select(POSITION, f"c{c}").where(f"NOT {blank_sql(f'c{c}', sheet.types[c])}")
+            parts.append(_cells(one.orderBy(POSITION).limit(n), sheet, [c]))
+        ranked.append(reduce(DataFrame.unionByName, parts))
+    by_column = Window.partitionBy("sheet_idx", "col_idx").orderBy(POSITION)
+    numbered = _stack_sheets(ranked).withColumn("rank", F.row_number().over(by_column))
+    return numbered.where(F.col("rank") <= n).select("sheet_idx", "col_idx", "rank", "value")
 
 
 def sampled_values(workbook: Workbook, sample_size: int | None = SAMPLE_SIZE) -> DataFrame:
-    """``sheet_idx, sheet, col_idx, header, kind, rank, value``.
+    """``sheet_idx, col_idx, kind, value`` of the sampled cells, and their ``rank`` unless all are taken.
 
     Every column contributes one row without a value, so that columns without samples are reported
     too. ``sample_size=None`` takes every value instead; the aggregate above it combines map-side.
     """
-    spark = next(iter(workbook)).frame.sparkSession
-    catalog, parts = [], []
-    for s, sheet in enumerate(workbook):
-        kinds = [_kind(t) for t in sheet.types]
-        catalog += [(s, sheet.name, i, h, k, None, None) for i, (h, k) in enumerate(zip(sheet.headers, kinds))]
-        if sample_size is None:
-            values = _cells(sheet.positional(), sheet, list(range(len(kinds)))).select(
-                "col_idx", F.lit(None).cast("int").alias("rank"), "value"
-            )
-        else:
-            values = first_values(sheet, sample_size)
-        headers = F.array(*[F.lit(h) for h in sheet.headers])
-        parts.append(
-            values.select(
-                F.lit(s).alias("sheet_idx"), F.lit(sheet.name).alias("sheet"), "col_idx",
-                F.get(headers, "col_idx").alias("header"),
-                F.get(F.array(*[F.lit(k) for k in kinds]), "col_idx").alias("kind"), "rank", "value",
-            )
-        )
-    schema = "sheet_idx int, sheet string, col_idx int, header string, kind string, rank int, value string"
-    return reduce(DataFrame.unionByName, parts, spark.createDataFrame(catalog, schema))
-
-
-def match_rates(samples: DataFrame) -> DataFrame:
+    sheets = list(workbook)
+    if sample_size is None:
+        parts = [_cells(spread(s.positional()), s, list(range(len(s.headers)))) for s in sheets]
+        values = _stack_sheets([p.select("col_idx", "value") for p in parts])
+    else:
+        values = first_values(sheets, sample_size)
+    # One map from (sheet, column) to kind instead of a name per row.
+    kinds = [F.lit([_kind(t) for t in s.types]) for s in sheets]
+    kind = F.get(F.get(F.array(*kinds), "sheet_idx"), "col_idx")
+    catalog = [(i, c) for i, s in enumerate(sheets) for c in range(len(s.headers))]
+    columns = sheets[0].frame.sparkSession.createDataFrame(catalog, "sheet_idx int, col_idx int")
+    return values.unionByName(columns, allowMissingColumns=True).withColumn("kind", kind)
+
+
+def measure(samples: DataFrame) -> DataFrame:
+    """Add what several patterns ask of a value."""
+    value, kind = F.col("value"), F.col("kind")
+    kinds = {"is_text": kind == TEXT, "is_number": kind == NUMBER, "is_boolean": kind == BOOLEAN}
+    number = F.when(F.col("is_text"), text_to_number(value)).when(F.col("is_number"), value.try_cast("double"))
+    return samples.withColumns(kinds).withColumns(
+        {"chars": F.length(value), "dated": looks_like_date(value), "number": number}
+    )
+
+
+def match_rates(samples: DataFrame, workbook: Workbook) -> DataFrame:
     """One row per column: sample size, first values, and ``rates`` in pattern order.
 
     A pattern without a value test has rate null; a column without samples has rate 0.
     """
-    samples = samples.withColumn("dated", looks_like_date(F.col("value")))
-    size = F.count("value")
-    tests = [p.value_hit(F.col("value"), F.col("kind"), F.col("dated")) for p in PATTERNS]
-    hits = [F.sum(F.when(t, 1.0).otherwise(0.0)).alias(f"h{i}") for i, t in enumerate(tests) if t is not None]
-    shown = F.sort_array(F.collect_list(F.when(F.col("rank") <= REPORTED_VALUES, F.struct("rank", "value"))))
-    counted = samples.groupBy(*_PLACE).agg(size.alias("sample_size"), shown.alias("shown"), *hits)
+    measured = measure(samples)
+    tests = [p.value_hit() for p in PATTERNS]
+    hits = [F.count_if(t).alias(f"h{i}") for i, t in enumerate(tests) if t is not None]
+    if "rank" in samples.columns:
+        shown = [F.sort_array(F.collect_list(F.when(F.col("rank") <= REPORTED_VALUES, F.struct("rank", "value")))).alias("shown")]
+    else:
+        shown = []  # Counters alone keep the aggregate over every value in generated code.
+    counted = measured.groupBy("sheet_idx", "col_idx").agg(F.count("value").alias("sample_size"), *shown, *hits)
+    first = F.col("shown.value") if shown else F.array().cast("array<string>")
     n = F.col("sample_size")
     rates = [
         F.lit(None).cast("double") if t is None else F.when(n > 0, F.col(f"h{i}") / n).otherwise(0.0)
         for i, t in enumerate(tests)
     ]
-    return counted.select(*_PLACE, "sample_size", F.col("shown.value").alias("sample_values"), F.array(*rates).alias("rates"))
+    names = F.get(F.lit([s.name for s in workbook]), "sheet_idx")
+    headers = F.get(F.get(F.array(*[F.lit(s.headers) for s in workbook]), "sheet_idx"), "col_idx")
+    place = [F.col("sheet_idx"), names.alias("sheet"), F.col("col_idx"), headers.alias("header")]
+    return counted.select(*place, "sample_size", first.alias("sample_values"), F.array(*rates).alias("rates"))
 
 
 # The confidence model. A pattern without a value test has rate 0 here.
@@ -292,9 +323,9 @@ def score(rates: DataFrame) -> DataFrame:
 class Detection:
     """Lazy detection results for a workbook; ``rules`` runs the job."""
 
-    def __init__(self, samples: DataFrame):
-        self.samples = samples
-        self.rates = match_rates(samples)
+    def __init__(self, workbook: Workbook, sample_size: int | None):
+        self.samples = sampled_values(workbook, sample_size)
+        self.rates = match_rates(self.samples, workbook)
         self.scored = score(self.rates)
 
     @property
@@ -369,4 +400,4 @@ def detect(workbook: Workbook | Sheet, sample_size: int | None = SAMPLE_SIZE) ->
     """Score every column of every sheet."""
     if isinstance(workbook, Sheet):
         workbook = Workbook([workbook])
-    return Detection(sampled_values(workbook, sample_size))
+    return Detection(workbook, sample_size)

@@ -21,6 +21,8 @@ def local_session(cores: int | str = 8, name: str = "veilframe", settings: dict[
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Generated methods beyond 8000 bytes are never compiled by the JVM; smaller units are faster.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in (settings or {}).items():
@@ -60,6 +62,15 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Spread a frame of few partitions over all cores before costly per-row work.
+
+    Large inputs have more partitions than cores already and pass unchanged, without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """Bytes that the session allows on a broadcast side; not positive when switched off."""
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
