@@ -369,31 +369,39 @@ class Detection:
             F.count_if(severity == "direct").alias("directIdentifiers"), F.count_if(severity == "quasi").alias("quasiIdentifiers")
         )
 
-    def _first_headers(self, wanted: Column, *extra: str) -> DataFrame:
-        """Distinct headers that satisfy ``wanted``; the first (sheet, column) wins."""
-        place = (F.shiftleft(F.col("sheet_idx").cast("long"), 32) + F.col("col_idx")).alias("place")
-        chosen = self._best.where(wanted).select(normalize_header(F.col("header")).alias("normal"), place, "header", *extra)
-        names = ["place", "header", *[e.split(".")[-1] for e in extra]]
-        first = chosen.groupBy("normal").agg(F.min_by(F.struct(*names), "place").alias("first"))
-        return first.select("first.*")
+    @property
+    def headers(self) -> DataFrame:
+        """One row per distinct header: its first suggestion and its first quasi-identifying column.
+
+        ``place`` orders (sheet, column); the first one wins.
+        """
+        place = F.shiftleft(F.col("sheet_idx").cast("long"), 32) + F.col("col_idx")
+        placed = self._best.select(normalize_header(F.col("header")).alias("normal"), place.alias("place"), "header", "best")
+        rule = F.struct("place", "header", "best.action", "best.output_name", "best.replace_with")
+        return placed.groupBy("normal").agg(
+            F.min_by(rule, F.when(F.col("best.action").isNotNull(), F.col("place"))).alias("rule"),
+            F.min_by(F.struct("place", "header"), F.when(F.col("best.severity") == "quasi", F.col("place"))).alias("quasi"),
+        )
 
     @property
     def suggested(self) -> DataFrame:
         """``place, header, action, output_name, replace_with``: one rule per distinct header."""
-        return self._first_headers(F.col("best.action").isNotNull(), "best.action", "best.output_name", "best.replace_with")
+        return self.headers.where("rule IS NOT NULL").select("rule.*")
 
     @property
     def quasi_headers(self) -> DataFrame:
-        return self._first_headers(F.col("best.severity") == "quasi")
+        """``place, header`` of the distinct quasi-identifying headers."""
+        return self.headers.where("quasi IS NOT NULL").select("quasi.*")
 
     @cached_property
     def rules(self) -> RuleSet:
-        """The suggestion as a rule set ready to run. At most one row per header reaches the driver."""
-        found = self.suggested.orderBy("place").collect()
-        quasi = [r["header"] for r in self.quasi_headers.orderBy("place").collect()]
-        rules = [Rule("equals", r["header"], r["action"], r["output_name"], r["replace_with"]) for r in found]
+        """The suggestion as a rule set ready to run. One row per distinct header reaches the driver."""
+        found = self.headers.collect()
+        suggested = sorted(r["rule"] for r in found if r["rule"] is not None)
+        quasi = sorted(r["quasi"] for r in found if r["quasi"] is not None)
+        rules = [Rule("equals", r["header"], r["action"], r["output_name"], r["replace_with"]) for r in suggested]
         rules += [Rule("empty", True, "drop"), Rule("startsWith", "column", "drop")]
-        return RuleSet(tuple(rules), tuple(quasi), SUGGESTED_MIN_K if quasi else None)
+        return RuleSet(tuple(rules), tuple(r["header"] for r in quasi), SUGGESTED_MIN_K if quasi else None)
 
 
 def detect(workbook: Workbook | Sheet, sample_size: int | None = SAMPLE_SIZE) -> Detection:
