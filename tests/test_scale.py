@@ -140,3 +140,28 @@ def test_statistics_do_not_number_ids(spark):
     book = clean_workbook(Workbook([fx.people(spark, SF)]), as_of=AS_OF)
     assert "ids-" not in plan_of(book["people"].stats)
     assert book.find_mapping.cache_info().currsize == 0
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_given_registry_with_a_hot_key(spark, broadcast):
+    sheet = skewed_sheet(spark, 3000)
+    registry = spark.createDataFrame([("hot", "A"), ("k5", "B"), ("unused", "C")], "key string, id string")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold=broadcast):
+        got = ordered(clean_sheet(sheet, mapping=registry))
+    want = [({"hot": "A", "k5": "B"}.get(r["NHI"], ""), r["x"]) for r in sheet.frame.orderBy("_pos").collect()]
+    assert got == want
+
+
+def test_preview_reads_a_prefix_and_falls_back(spark):
+    from veilframe.operators.preview import _leading, preview
+
+    def build(distinct_from):
+        value = F.when(F.col("id") < distinct_from, F.lit("same")).otherwise(F.concat(F.lit("p"), "id"))
+        return Sheet("s", spark.range(4000).select(F.col("id").alias("_pos"), value.alias("NHI")), "_pos")
+
+    for distinct_from, prefixed in ((5, True), (3990, False)):
+        clean = clean_sheet(build(distinct_from))
+        assert (_leading(clean, 9) is not clean) == prefixed
+        assert [tuple(r) for r in preview(clean, 10).collect()] == ordered(clean)[:9]
+    second = clean_workbook(Workbook([Sheet("first", spark.range(7).select(F.col("id").alias("_pos"), F.col("id").cast("string").alias("NHI")), "_pos"), build(0)]))["s"]
+    assert [r["ID"] for r in preview(second, 3).collect()] == ["ID-008", "ID-009"]

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from veilframe.functions.dates import age_years, to_date
 from veilframe.functions.text import all_blank, id_key, is_blank, is_text
-from veilframe.operators.ids import KeyColumn, as_mapping, attach_ids, build_mapping
+from veilframe.operators.ids import KeyColumn, as_mapping, attach_ids, build_mapping, with_uses
 from veilframe.operators.lookup import Table
 from veilframe.plans.columns import ColumnPlan, plan_tables
 from veilframe.plans.rules import DEFAULT_RULES, RuleSet
@@ -140,6 +140,8 @@ class CleanSheet:
     plan: list[ColumnPlan]
     grouped: DataFrame
     find_mapping: Callable[[], Table]
+    options: Options
+    own_ids: bool = False
 
     @property
     def mapping(self) -> Table:
@@ -154,6 +156,16 @@ class CleanSheet:
     def columns(self) -> list[str]:
         return [p.name for p in self.plan]
 
+    def prefix(self, bound: int) -> CleanSheet:
+        """The same cleaning of the rows up to a position.
+
+        First-seen order makes its rows and ids those of the whole sheet, as far as they go.
+        """
+        rows = Sheet(self.name, self.sheet.frame.where(F.col(self.sheet.pos) <= F.lit(bound)), self.sheet.pos)
+        grouped = group_rows(*project(rows, self.plan, self.options))
+        find_mapping = _mapping_for([rows], [self.plan], self.options, None) if self.own_ids else self.find_mapping
+        return CleanSheet(rows, self.plan, grouped, find_mapping, self.options, self.own_ids)
+
     def persist_rows(self) -> CleanSheet:
         """Write the grouped rows once, when sink, statistics and k report all need them."""
         self.grouped = materialize(self.grouped, "clean")
@@ -225,9 +237,19 @@ def _key_columns(sheet: Sheet, sheet_idx: int, plan: list[ColumnPlan], options:
     return out
 
 
-def _mapping_for(sheets: list[Sheet], plans: list[list[ColumnPlan]], options: Options) -> Callable[[], Table]:
-    """The shared mapping, built on first use and once only. Missing row order is reported right away."""
-    columns = [k for i, (s, p) in enumerate(zip(sheets, plans)) for k in _key_columns(s, i, p, options)]
+def _mapping_for(
+    sheets: list[Sheet], plans: list[list[ColumnPlan]], options: Options, given: Table | DataFrame | None
+) -> Callable[[], Table]:
+    """The shared mapping, built or measured on first use and once only.
+
+    Without a given mapping, missing row order is reported right away.
+    """
+    columns = []
+    for i, (sheet, plan) in enumerate(zip(sheets, plans)):
+        if given is None or sheet.pos is not None:
+            columns += _key_columns(sheet, i, plan, options)
+    if given is not None:
+        return cache(lambda: with_uses(as_mapping(given), columns))
     if columns:
         return cache(lambda: build_mapping(columns))
     empty = sheets[0].frame.sparkSession.createDataFrame([], "key string, id string")
@@ -279,15 +301,13 @@ def clean_workbook(
     if not sheets:
         raise ValueError("the workbook has no sheet with columns")
     plans = plan_tables(sheets[0].frame.sparkSession, [s.headers for s in sheets], rules)
-    if mapping is None:
-        find_mapping = _mapping_for(sheets, plans, opts)
-    else:
-        given = as_mapping(mapping)
-        find_mapping = lambda: given
+    find_mapping = _mapping_for(sheets, plans, opts, mapping)
     cleaned = []
-    for sheet, plan in zip(sheets, plans):
-        projected, varying = project(sheet, plan, opts)
-        cleaned.append(CleanSheet(sheet, plan, group_rows(projected, varying), find_mapping))
+    for i, (sheet, plan) in enumerate(zip(sheets, plans)):
+        grouped = group_rows(*project(sheet, plan, opts))
+        # Ids of a first sheet depend on earlier rows only, so a prefix of it numbers itself.
+        own_ids = i == 0 and mapping is None
+        cleaned.append(CleanSheet(sheet, plan, grouped, find_mapping, opts, own_ids))
     return CleanWorkbook(cleaned, find_mapping)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators.lookup import Table, lookup
 from veilframe.operators.ordered import _PART, global_number, in_global_order
+from veilframe.session import materialize
 from veilframe.sources.sheets import POSITION
 
 
@@ -83,8 +84,24 @@ def build_mapping(columns: list[KeyColumn]) -> Table:
 
 
 def as_mapping(mapping: Table | DataFrame) -> Table:
-    """Accept a caller's registry: any frame with unique ``key`` and an ``id``."""
-    return mapping if isinstance(mapping, Table) else Table(mapping, ("key",), "id")
+    """Accept a caller's registry, any frame with unique ``key`` and an ``id``, and measure it."""
+    if isinstance(mapping, Table):
+        return mapping
+    registry = mapping.select("key", "id")
+    rows, key_bytes = registry.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    return Table(registry, ("key",), "id", rows=rows, key_bytes=key_bytes)
+
+
+def with_uses(mapping: Table, columns: list[KeyColumn]) -> Table:
+    """A registry too large to broadcast, cut to the keys in use and told how often each is used.
+
+    Both sides of the join have unique keys, so it cannot be skewed.
+    """
+    if mapping.uses is not None or mapping.fits_broadcast() or not columns:
+        return mapping
+    used = materialize(first_seen(columns).select("key", "uses").join(mapping.frame, "key"), "registry")
+    rows, key_bytes, total = used.agg(F.count(F.lit(1)), F.sum(F.octet_length("key")), F.sum("uses")).first()
+    return Table(used, ("key",), "id", rows=rows, key_bytes=key_bytes or 0, uses="uses", total_uses=total or 0)
 
 
 def attach_ids(frame: DataFrame, key: str, mapping: Table, spread: Column, into: str) -> DataFrame:

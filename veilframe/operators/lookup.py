@@ -14,6 +14,8 @@ from veilframe.session import broadcast_limit
 HOT_PARTS = 4096
 # Rows whose key is null, or already resolved, spread over this many filler keys.
 SPREAD = 4096
+# Hot keys longer than this stay in the shuffled part, so a hot side is at most 4096 * 1 KiB of keys.
+HOT_KEY_BYTES = 1024
 # Bytes added per row for the parts of a broadcast row that are not the key.
 ROW_OVERHEAD = 64
 
@@ -39,6 +41,7 @@ class Table:
 def lookup(frame: DataFrame, key: list[Column], table: Table, spread: Column, into: str) -> DataFrame:
     """Add ``into``: the payload for each row's key, null where the key is null or unknown.
 
+    Without use counts (a stream, whose batches are bounded) there is no hot part.
     A lookup side of proven small size is broadcast. Otherwise the hot keys (at most ``HOT_PARTS``
     of them, whatever the data) are broadcast and the others are shuffled; rows that need no
     second lookup, null keys above all, travel under filler keys that spread and never match.
@@ -49,7 +52,8 @@ def lookup(frame: DataFrame, key: list[Column], table: Table, spread: Column, in
         return _join(frame, key, F.broadcast(right), table.key, "_payload", into)
     if table.uses is None or not table.total_uses:
         return _spread_join(frame, key, right, table.key, spread, "_payload", into)
-    hot = F.col(table.uses) * HOT_PARTS >= F.lit(table.total_uses)
+    short = reduce(lambda a, b: a & b, [F.octet_length(c.cast("string")) <= HOT_KEY_BYTES for c in columns])
+    hot = (F.col(table.uses) * HOT_PARTS >= F.lit(table.total_uses)) & short
     first = _join(frame, key, F.broadcast(right.where(hot)), table.key, "_payload", "_hot")
     open_key = [F.when(F.col("_hot").isNull(), k) for k in key]
     both = _spread_join(first, open_key, right.where(~hot), table.key, spread, "_payload", "_cold")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +12,35 @@ from veilframe.sources.sheets import POSITION
 
 # Fixed value: preview size in rows, the header row included.
 PREVIEW_LIMIT = 25
+# Source rows looked at first, as a multiple of the rows shown.
+LOOKAHEAD = 40
+
+
+def _leading(sheet: CleanSheet, n: int) -> CleanSheet:
+    """A part of the sheet that holds its first ``n`` output rows.
+
+    Rows appear in first-seen order, so a prefix of the source that yields ``n`` distinct rows yields
+    the first ``n``. The prefix is bounded by position, found from the position column alone, and
+    the bound is pushed to the scan. Only where repeats and blanks use the prefix up is the whole sheet cleaned.
+    """
+    positions = sheet.sheet.positional().select(POSITION)
+    head = positions.orderBy(POSITION).limit(max(1, n) * LOOKAHEAD)
+    bound, seen = head.agg(F.max(POSITION), F.count(F.lit(1))).first()
+    if seen < max(1, n) * LOOKAHEAD:
+        return sheet
+    part = sheet.prefix(bound)
+    return part if part.grouped.limit(n).count() == n else sheet
 
 
 def preview(sheet: CleanSheet, limit: int = PREVIEW_LIMIT, keep_position: bool = False) -> DataFrame:
     """The first ``limit - 1`` data rows in source order.
 
-    The rows are picked by position before ids are attached, so the lookup sees those rows only;
-    sort and limit together keep a bounded heap per partition.
+    The rows are picked by position before ids are attached, so the lookup sees those rows only.
     """
     sheet.sheet.require_order("preview")
-    first = sheet.grouped.orderBy(POSITION).limit(max(0, limit - 1))
-    head = CleanSheet(sheet.sheet, sheet.plan, first, sheet.find_mapping)
+    n = max(0, limit - 1)
+    lead = _leading(sheet, n)
+    head = replace(lead, grouped=lead.grouped.orderBy(POSITION).limit(n))
     ordered = head.positioned.orderBy(POSITION)
     return ordered if keep_position else ordered.drop(POSITION)
 
