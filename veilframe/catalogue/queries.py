@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -263,7 +262,7 @@ def detection_summary(spark: SparkSession, sf: str) -> DataFrame:
 def expired_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as a listing of outputs: which are older than 72 hours?"""
     listing = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("modificationTime"))
-    return expired(listing, F.lit(dt.datetime(1998, 10, 6)), 72)
+    return expired(listing, F.lit("1998-10-06").cast("timestamp_ntz"), 72)
 
 
 def screened_inputs(spark: SparkSession, sf: str) -> DataFrame:
