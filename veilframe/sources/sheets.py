@@ -101,10 +101,27 @@ def _path_only(uri: Column) -> Column:
     return F.regexp_replace(uri, "^[a-z0-9]+:/+", "/")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
+) -> DataFrame:
     """RFC 4180 text: quoted commas and line breaks, doubled quotes, CRLF; blanks are null.
 
-    Without a schema every column is text, so no second pass infers types.
+    Without a schema every column is text, so no second pass infers types. Quoted line breaks need
+    whole files per task; ``multiline=False`` lets large files without them be split.
     """
-    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=True, enforceSchema=False)
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multiline, enforceSchema=False)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
+
+
+def read_csv_sheet(spark: SparkSession, name: str, path: str, pos: str | None = None, multiline: bool = True) -> Sheet:
+    """A CSV file as a sheet, ordered by its own column or else by its lines.
+
+    Text files carry no row index, so line order is known for one file only: its splits are read in
+    order and counted right at the scan.
+    """
+    frame = read_csv(spark, path, multiline=multiline)
+    if pos is not None:
+        return Sheet(name, frame.withColumn(pos, F.col(f"`{pos}`").cast("long")), pos)
+    if len(frame.inputFiles()) > 1:
+        raise OrderError(f'"{path}" holds several files: name a column that orders the rows')
+    return Sheet(name, frame.withColumn(POSITION, F.monotonically_increasing_id()), POSITION)
