@@ -91,6 +91,13 @@ def test_audit_equals_the_sequential_rule(spark, walk_limit):
     assert {r["id"]: (r["window_start"], r["hit_count"], r["over_limit"], r["retry_after"]) for r in got} == want
 
 
+def test_hits_without_a_key_share_one(spark):
+    at = dt.datetime(2024, 1, 1)
+    frame = spark.createDataFrame([(None, at, 1), ("", at, 2), ("a", at, 3), (None, at, 4)], "k string, ts timestamp, id long")
+    got = {r["id"]: (r["k"], r["hit_count"], r["over_limit"]) for r in throttle_audit(frame, "k", "ts", "id", 60, 2).collect()}
+    assert got == {1: ("unknown", 1, False), 2: ("unknown", 2, False), 3: ("a", 1, False), 4: ("unknown", 3, True)}
+
+
 def test_audit_stream_over_several_batches(spark, tmp_path):
     events = fx.table(spark, SF, "events").orderBy("ts")
     cut = events.approxQuantile("event_id", [0.5], 0)[0]

@@ -37,7 +37,7 @@ def global_number(sizes: dict[int, int]) -> Column:
     """The 1-based global row number, given the rows of every partition."""
     parts = max(sizes, default=0) + 1
     starts = list(accumulate((sizes.get(p, 0) for p in range(parts)), initial=0))[:parts]
-    offsets = F.array(*[F.lit(s).cast("long") for s in starts])
+    offsets = F.expr(f"array({', '.join(f'{s}L' for s in starts)})")
     return F.get(offsets, F.col(_PART)) + F.col(_INDEX) + F.lit(1)
 
 

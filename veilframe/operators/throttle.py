@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions.text import is_text
 from veilframe.operators.ordered import asof_lookup, number_rows
 from veilframe.session import materialize
 
-# The audited limit, 30 hits in 60 seconds.
+# The audited limit, 30 hits in 60 seconds, and the key shared by hits that have none.
 WINDOW_SECONDS = 60
 MAX_HITS = 30
+UNKNOWN_KEY = "unknown"
 # Distinct instants of one key that may be walked in one group: 16 MB of longs.
 WALK_LIMIT = 2_000_000
 MICROS = 1_000_000
@@ -37,6 +39,13 @@ def micros(c: Column, dtype: T.DataType) -> Column:
     return F.unix_micros(c)
 
 
+def known_key(name: str, dtype: T.DataType) -> Column:
+    """The key, where hits without a text key share one. Keys of other types must not be null."""
+    if not is_text(dtype):
+        return F.col(name)
+    return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(UNKNOWN_KEY)).alias(name)
+
+
 def chain(instants: np.ndarray, width: int) -> np.ndarray:
     """Window starts among ascending instants."""
     starts, at = [], 0
@@ -105,7 +114,7 @@ def throttle_audit(
     seconds to wait, at least one.
     """
     width = window_seconds * MICROS
-    base = hits.select(key, ts, hit_id, micros(F.col(ts), hits.schema[ts].dataType).alias("at"))
+    base = hits.select(known_key(key, hits.schema[key].dataType), ts, hit_id, micros(F.col(ts), hits.schema[ts].dataType).alias("at"))
     numbered = number_rows(base, [key, "at", hit_id], "hits")
     instants = materialize(numbered.groupBy(key, "at").agg(F.min("number").alias("opens"), F.min(ts).alias("window_start")), "instants")
     starts = window_starts(instants.select(key, "at"), key, width, walk_limit)

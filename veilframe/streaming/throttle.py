@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veilframe.operators.throttle import MAX_HITS, MICROS, WINDOW_SECONDS, micros
+from veilframe.operators.throttle import MAX_HITS, MICROS, WINDOW_SECONDS, known_key, micros
 
 
 def throttle_stream(
@@ -23,7 +23,8 @@ def throttle_stream(
     at the source (for files ``maxFilesPerTrigger``), which bounds what one key holds in memory.
     """
     width = window_seconds * MICROS
-    base = hits.select(key, F.col(hit_id).cast("long").alias(hit_id), micros(F.col(ts), hits.schema[ts].dataType).alias("at"))
+    known = known_key(key, hits.schema[key].dataType)
+    base = hits.select(known, F.col(hit_id).cast("long").alias(hit_id), micros(F.col(ts), hits.schema[ts].dataType).alias("at"))
     out = T.StructType(
         [
             base.schema[key],
