@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veilframe.llm.bpe import decode, encode
 from veilframe.llm.dedup import duplicate_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +23,20 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents")).withColumnsRenamed({"id": "doc_id", "sha256": "text_sha256"})
 
 
+def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text of ``documents`` and the text they decode to, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = decode(encode(docs, path), path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op4_exact_dedup": exact_dedup,
+    "op5_bpe": bpe,
 }
