@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.bpe import decode, encode
+from veilframe.llm.common import held_out, learnable
 from veilframe.llm.dedup import duplicate_groups
+from veilframe.llm.quality import scored, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +38,16 @@ def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text of ``documents``, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), learnable("doc_id", 5, 0))
+    out = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), scored(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 QUERIES: dict[str, Query] = {
     "op4_exact_dedup": exact_dedup,
     "op5_bpe": bpe,
+    "op7_quality": quality,
 }
