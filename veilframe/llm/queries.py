@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.bpe import decode, encode
 from veilframe.llm.common import held_out, learnable
 from veilframe.llm.dedup import duplicate_groups
+from veilframe.llm.langid import predicted
+from veilframe.llm.langid import train as train_languages
 from veilframe.llm.quality import scored, train
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +48,16 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of ``documents``, learned from rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    samples = train_languages(docs, learnable("doc_id", 5, 0))
+    out = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), predicted(F.col("text"), samples).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_language_id": language,
     "op4_exact_dedup": exact_dedup,
     "op5_bpe": bpe,
     "op7_quality": quality,
