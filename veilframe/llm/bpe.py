@@ -20,16 +20,19 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-CHUNK_CHARS = 1 << 22
+from veilframe.llm.common import fresh
+
+CHUNK_CHARS = 1 << 21
 CACHED_WORDS = 250_000
 IN_STEP, BLOCK_ROWS = 64, 4096
 CACHED_PAIRS = 2_000_000
@@ -351,44 +354,54 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def encoded(text: Column, path: str) -> Column:
-    """Ids of a text column as array<int>, never null."""
+#: Makes output columns from a tokenizer, ids one after another, and the number of ids of each text.
+Make = Callable[[Tokenizer, np.ndarray, np.ndarray], list[pa.Array]]
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer = load(path)
-        for batch in batches:
-            texts = batch.fill_null("").to_pylist()
-            done = [tokenizer.encode(part) for part in _chunks(texts)]
-            sizes = np.concatenate([d[1] for d in done]) if done else np.empty(0, np.int64)
-            values = np.concatenate([d[0] for d in done]) if done else np.empty(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
-    return ids(text)
+def lists(tokenizer: Tokenizer, ids: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """Text of an id column: the tokens' names, joined by a space where the file has no decoder."""
+def texts_of(tokenizer: Tokenizer, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    """The text of each run of ids: the tokens' names joined by a space, as the file has no decoder."""
+    names = tokenizer.names[ids].tolist()
+    ends = np.cumsum(counts)
+    return [" ".join(names[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
-    @F.arrow_udf("string")
-    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = load(path).names
+
+def map_encoded(docs: DataFrame, path: str, text_column: str, make: Make, made: StructType) -> DataFrame:
+    """``docs`` with columns made from each text's ids (columns of these names are replaced), in batches of bounded size."""
+    names = {f.name.lower() for f in made.fields}
+    kept = [c for c in docs.columns if c.lower() not in names]
+    schema = StructType([docs.schema[c] for c in kept] + made.fields)
+    source = fresh(docs, "encoded_text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(path)
         for batch in batches:
-            offsets, values = batch.offsets.to_numpy(), batch.values.to_numpy()
-            out = []
-            for start, end in zip(offsets[:-1], offsets[1:], strict=True):
-                out.append(" ".join(names[values[start:end]].tolist()))
-            yield pa.array(out, pa.string())
+            at = 0
+            for part in _chunks(batch.column(source).fill_null("").to_pylist()):
+                columns = [batch.column(c).slice(at, len(part)) for c in kept]
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([*columns, *make(tokenizer, *tokenizer.encode(part))], names=schema.names)
 
-    return text(F.coalesce(ids, F.array().cast("array<int>")))
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias(source)).mapInArrow(work, schema)
 
 
 def encode(docs: DataFrame, path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text. A column of the same name is replaced."""
-    return docs.withColumn(ids_column, encoded(F.col(text_column), path))
+    """``docs`` with the ids of each text as array<int>, never null."""
+    return map_encoded(docs, path, text_column, lists, StructType([StructField(ids_column, ArrayType(IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
     """``rows`` with the text of each id array. A column of the same name is replaced."""
-    return rows.withColumn(text_column, decoded(F.col(ids_column), path))
+
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokenizer = load(path)
+        for batch in batches:
+            counts = np.diff(batch.offsets.to_numpy())
+            yield pa.array(texts_of(tokenizer, batch.flatten().to_numpy(), counts), pa.string())
+
+    return rows.withColumn(text_column, text(F.coalesce(F.col(ids_column), F.array().cast("array<int>"))))

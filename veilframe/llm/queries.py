@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from veilframe.llm.bpe import decode, encode
+from veilframe.llm.ann import nearest
+from veilframe.llm.bpe import Tokenizer, map_encoded, texts_of
 from veilframe.llm.common import held_out, learnable
 from veilframe.llm.dedup import duplicate_groups
 from veilframe.llm.langid import predicted
@@ -30,14 +35,20 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text of ``documents`` and the text they decode to, as digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, path), path)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    made = StructType(
+        [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return map_encoded(docs, path, "text", _digests, made).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def _digests(tokenizer: Tokenizer, ids: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    """Number and digest of each text's ids, and the digest of what they decode to."""
+    numbers = np.array([*map(str, range(tokenizer.size))], dtype=object)[ids].tolist()
+    ends = np.cumsum(counts)
+    joined = [" ".join(numbers[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+    digest = lambda texts: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
+    return [pa.array(counts, pa.int64()), digest(joined), digest(texts_of(tokenizer, ids, counts))]
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +67,14 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector of ``embeddings``, by inner product."""
+    found = nearest(spark, table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_neighbours": neighbours,
     "op2_language_id": language,
     "op4_exact_dedup": exact_dedup,
     "op5_bpe": bpe,
