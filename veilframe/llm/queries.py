@@ -18,6 +18,7 @@ from veilframe.llm.common import held_out, learnable
 from veilframe.llm.dedup import duplicate_groups
 from veilframe.llm.langid import predicted
 from veilframe.llm.langid import train as train_languages
+from veilframe.llm.warc import archive, find_captures, read_records, url_key
 from veilframe.llm.quality import scored, train
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,10 +74,20 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all ``pages`` as WARC records, look all their URLs up in the index, and read the records back."""
+    pages = table(spark, sf_dir, "pages")
+    index, folder = archive(spark, pages)
+    found = find_captures(index, folder, pages.select(url_key(F.col("url")).alias("key")))
+    records = read_records(found, folder, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_neighbours": neighbours,
     "op2_language_id": language,
     "op4_exact_dedup": exact_dedup,
     "op5_bpe": bpe,
     "op7_quality": quality,
+    "op10_warc": warc,
 }
