@@ -18,6 +18,7 @@ from veilframe.llm.common import held_out, learnable
 from veilframe.llm.dedup import duplicate_groups
 from veilframe.llm.langid import predicted
 from veilframe.llm.langid import train as train_languages
+from veilframe.llm.urls import ALLOW, BLOCK, judge
 from veilframe.llm.warc import archive, find_captures, read_records, url_key
 from veilframe.llm.quality import scored, train
 
@@ -83,11 +84,20 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+URL_RULES = {"net/": BLOCK, "example.net/en/": ALLOW, "example.com/de/": BLOCK, "org/fr/": ALLOW}
+
+
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every URL of ``pages``; the trees learn from the URLs that a rule decides."""
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_neighbours": neighbours,
     "op2_language_id": language,
     "op4_exact_dedup": exact_dedup,
     "op5_bpe": bpe,
     "op7_quality": quality,
+    "op9_urls": urls,
     "op10_warc": warc,
 }
