@@ -1,8 +1,11 @@
 """SQL for the registered queries that SQL can express."""
 
+from veilframe.llm.mixing import oracle_sql
+
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op6_mixing": oracle_sql(),
 }

@@ -18,6 +18,7 @@ from veilframe.llm.common import held_out, learnable
 from veilframe.llm.dedup import duplicate_groups
 from veilframe.llm.langid import predicted
 from veilframe.llm.langid import train as train_languages
+from veilframe.llm.mixing import mix
 from veilframe.llm.urls import ALLOW, BLOCK, judge
 from veilframe.llm.warc import archive, find_captures, read_records, url_key
 from veilframe.llm.quality import scored, train
@@ -84,6 +85,16 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic, calibrated rate and fate of every document, with flattened source, language and topic marginals as targets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    m = F.col("mixing")
+    return mix(docs).select(
+        "doc_id", m.topic.alias("topic"), m.tokens.alias("n_tokens"), F.round(m.rate, 6).alias("rate"),
+        F.round(m.probability, 6).alias("probability"), m.kept.alias("kept"),
+    )
+
+
 URL_RULES = {"net/": BLOCK, "example.net/en/": ALLOW, "example.com/de/": BLOCK, "org/fr/": ALLOW}
 
 
@@ -97,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op2_language_id": language,
     "op4_exact_dedup": exact_dedup,
     "op5_bpe": bpe,
+    "op6_mixing": mixing,
     "op7_quality": quality,
     "op9_urls": urls,
     "op10_warc": warc,
