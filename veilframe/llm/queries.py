@@ -16,6 +16,7 @@ from veilframe.llm.ann import nearest
 from veilframe.llm.bpe import Tokenizer, map_encoded, texts_of
 from veilframe.llm.common import held_out, learnable
 from veilframe.llm.dedup import duplicate_groups
+from veilframe.llm.jaccard import near_duplicates
 from veilframe.llm.langid import predicted
 from veilframe.llm.langid import train as train_languages
 from veilframe.llm.mixing import mix
@@ -95,6 +96,11 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` under links of 90 percent common three-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90).withColumnRenamed("id", "doc_id")
+
+
 URL_RULES = {"net/": BLOCK, "example.net/en/": ALLOW, "example.com/de/": BLOCK, "org/fr/": ALLOW}
 
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op5_bpe": bpe,
     "op6_mixing": mixing,
     "op7_quality": quality,
+    "op8_jaccard": jaccard,
     "op9_urls": urls,
     "op10_warc": warc,
 }
