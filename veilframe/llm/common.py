@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilframe.session import materialize
+
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
@@ -42,7 +44,8 @@ def bounded_sample(rows: DataFrame, group: str, id_column: str, per_group: int)
     """
     top = 1 << 32
     hashed = rows.withColumn("_h", F.pmod(F.xxhash64(F.col(id_column)), F.lit(top)))
-    counts = hashed.groupBy(group).agg(F.count("*").alias("_n"))
+    # Written, so that its size is known: a few groups are broadcast, many are joined.
+    counts = materialize(hashed.groupBy(group).agg(F.count("*").alias("_n")), "counts")
     near = hashed.join(counts, group).where(F.col("_h") * F.col("_n") <= F.lit(2 * per_group + 32) * F.lit(float(top)))
     order = Window.partitionBy(group).orderBy("_h", id_column)
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_group).drop("_h", "_n", "_r")

@@ -303,7 +303,7 @@ def _verified(texts: DataFrame, each: DataFrame, candidates: DataFrame, width: i
     shapes = own.select("family", "pool", cut.cast("long").alias("cuts")).union(
         pooled.select("family", F.lit(None).cast("long").alias("pool"), cut.cast("long").alias("cuts"))
     )
-    names = state.join(sized.select("family", "component", "alone"), ["family", "component"]).withColumn("pool", F.when("alone", F.col("component")))
+    names = state.join(sized.select("family", "component", "alone"), ["family", "component"]).withColumn("pool", F.when(F.col("alone"), F.col("component")))
     again = names.alias("n").join(shapes.alias("s"), (F.col("n.family") == F.col("s.family")) & F.col("n.pool").eqNullSafe(F.col("s.pool")))
     again = materialize(
         again.select(F.col("n.node").alias("node"), F.col("n.family").alias("family"), F.col("n.pool").alias("pool"), F.pmod(F.xxhash64(F.col("n.node")), F.col("cuts")).alias("cut")),
