@@ -14,6 +14,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from veilframe.llm.ann import nearest
 from veilframe.llm.bpe import Tokenizer, map_encoded, texts_of
+from veilframe.llm.classlm import score as score_texts
+from veilframe.llm.classlm import train as train_classes
 from veilframe.llm.common import held_out, learnable
 from veilframe.llm.dedup import duplicate_groups
 from veilframe.llm.jaccard import near_duplicates
@@ -101,6 +103,16 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
+def class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every text of ``documents``, learned from rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 7, 2).alias("held_out"))
+    model = train_classes(docs, learnable("doc_id", 7, 2))
+    scored = score_texts(docs, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 URL_RULES = {"net/": BLOCK, "example.net/en/": ALLOW, "example.com/de/": BLOCK, "org/fr/": ALLOW}
 
 
@@ -112,6 +124,7 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_neighbours": neighbours,
     "op2_language_id": language,
+    "op3_class_model": class_model,
     "op4_exact_dedup": exact_dedup,
     "op5_bpe": bpe,
     "op6_mixing": mixing,
