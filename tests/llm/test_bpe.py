@@ -3,6 +3,7 @@ import random
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer as Library
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 from veilframe.llm.bpe import Tokenizer, decode, encode
 

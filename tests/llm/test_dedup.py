@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 from veilframe.llm.dedup import drop_duplicates, duplicate_groups
 

@@ -2,6 +2,7 @@ import re
 from itertools import combinations
 
 import pytest
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 from veilframe.llm import jaccard
 from veilframe.llm.components import components
