@@ -14,7 +14,7 @@ from veilframe.catalogue.xlsx import xlsx_bytes
 from veilframe.operators.preview import preview, preview_meta
 from veilframe.operators.stats import sheet_stats, workbook_summary
 from veilframe.sinks.outputs import read_runs, sheets_of, write_csv, write_outputs
-from veilframe.sinks.retention import expired, list_files, ttl_millis
+from veilframe.sinks.retention import expired, ttl_millis
 from veilframe.sources.screening import list_inputs, screen
 from veilframe.sources.sheets import OrderError, read_csv, read_csv_sheet, read_parquet_sheet
 from veilframe.sources.workbook_files import cells, read_workbook_rows, to_workbook
@@ -126,7 +126,7 @@ def test_expiry_is_strict_and_files_are_listed(spark, tmp_path):
     assert [r["path"] for r in expired(listing, F.lit(now)).collect()] == ["gone"]
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "f.csv").write_text("x")
-    assert [r["length"] for r in list_files(spark, str(tmp_path)).collect()] == [1]
+    assert [r["length"] for r in list_inputs(spark, str(tmp_path)).collect()] == [1]
 
 
 def test_screening(spark, tmp_path):

@@ -339,4 +339,32 @@ SELECT user_id, event_id, ts, ws AS window_start, hit_count, hit_count > 3 AS ov
 """
 Q["q26_stream_throttle"] = _AUDIT + "SELECT user_id, event_id, hit_count, hit_count > 3 AS over_limit FROM counted"
 
+_KEYLESS = _AUDIT.replace("WITH RECURSIVE nxt", "WITH RECURSIVE keyless AS (SELECT * REPLACE (CASE WHEN user_id % 7 = 0 THEN -1 ELSE user_id END AS user_id) FROM events), nxt").replace(
+    "FROM events", "FROM keyless").replace("AS user_id) FROM keyless)", "AS user_id) FROM events)")
+Q["q26_throttle_null_keys"] = _KEYLESS + """
+SELECT nullif(user_id, -1) AS user_id, event_id, ts, ws AS window_start, hit_count, hit_count > 3 AS over_limit,
+  CASE WHEN hit_count > 3 THEN greatest(1, CAST(ceil((epoch_us(ws + INTERVAL 24 HOUR) - epoch_us(ts)) / 1e6) AS BIGINT)) END AS retry_after FROM counted
+"""
+Q["q26_throttle_large_keys"] = Q["q26_throttle_null_keys"]
+Q["q26_stream_null_keys"] = _KEYLESS + "SELECT nullif(user_id, -1) AS user_id, event_id, hit_count, hit_count > 3 AS over_limit FROM counted"
+
+_REGISTRY = """,
+keyed AS (SELECT pos, trim("NHI") AS k, "Gender" FROM people),
+registry AS (SELECT c_name AS k, 'R' || CAST(c_custkey // 2 AS VARCHAR) AS id FROM customer WHERE c_custkey % 3 <> 0),
+merged AS (SELECT min(pos) AS pos, count(*) AS n_rows, sum(CASE WHEN k = '' THEN 1 ELSE 0 END) AS missing, coalesce(id, '') AS "ID", "Gender"
+           FROM keyed LEFT JOIN registry USING (k) GROUP BY coalesce(id, ''), "Gender")
+"""
+Q["q27_registry_rows"] = with_(SHEETS) + _REGISTRY + 'SELECT pos, n_rows, "ID", "Gender" FROM merged'
+Q["q27_registry_stats"] = with_(SHEETS) + _REGISTRY + """
+SELECT CAST(sum(n_rows) AS BIGINT) AS "rowsProcessed", CAST(sum(n_rows) - count(*) AS BIGINT) AS "duplicatesRemoved", 0 AS "invalidDobCount",
+       CAST(sum(missing) AS BIGINT) AS "missingNhiCount", 0 AS "redactedCellCount" FROM merged
+"""
+Q["q28_ingest_outcomes"] = """
+WITH f AS (SELECT c_custkey // 10 AS n, count(*) AS c FROM customer GROUP BY ALL)
+SELECT 'file-' || lpad(CAST(n AS VARCHAR), 12, '0') || CASE n % 5 WHEN 1 THEN '.XLSX' WHEN 2 THEN '.xls' WHEN 4 THEN '.Xlsx' ELSE '.xlsx' END AS path,
+       CASE n % 5 WHEN 2 THEN 'rejected' WHEN 4 THEN 'rejected' WHEN 3 THEN 'failed' ELSE 'read' END AS outcome,
+       CASE n % 5 WHEN 2 THEN 'unsupported file type' WHEN 4 THEN 'file too large' END AS reason,
+       CASE WHEN n % 5 < 2 THEN c + 1 ELSE 0 END AS rows FROM f
+"""
+
 ORACLE = Q

@@ -24,7 +24,7 @@ from veilframe.sinks.outputs import read_runs, sheets_of, write_csv, write_outpu
 from veilframe.sinks.retention import expired
 from veilframe.sources.screening import screen
 from veilframe.sources.sheets import POSITION, Sheet, Workbook, read_csv
-from veilframe.sources.workbook_files import to_workbook, workbook_rows
+from veilframe.sources.workbook_files import outcomes, to_workbook, workbook_rows
 from veilframe.streaming.clean import clean_stream, dedup_stream
 from veilframe.streaming.run import run_available
 from veilframe.streaming.throttle import throttle_stream
@@ -162,7 +162,7 @@ def k_customer(spark: SparkSession, sf: str) -> DataFrame:
 
 def k_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """Scored where it belongs: on cleaned, deduplicated rows."""
-    return _flat(k_report(_people_clean(spark, sf).rows, ["Age", "Gender"], 2))
+    return _flat(k_report(_people_clean(spark, sf).scoring_rows, ["Age", "Gender"], 2))
 
 
 def k_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,6 +334,62 @@ def stream_throttle(spark: SparkSession, sf: str) -> DataFrame:
     return run_available(hits, "throttle-stream").select("user_id", "event_id", "hit_count", "over_limit")
 
 
+REGISTRY_RULES = RuleSet(
+    (Rule("equals", "nhi", "anonymize", output_name="ID"), Rule("equals", "gender", "keep"), Rule("regex", ".*", "drop"))
+)
+
+
+def _registry_clean(spark: SparkSession, sf: str):
+    """People under a caller's registry that lacks a third of the keys and gives pairs of others one id."""
+    registry = fx.table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(
+        F.col("c_name").alias("key"), F.concat(F.lit("R"), F.expr("c_custkey DIV 2").cast("string")).alias("id")
+    )
+    return clean_sheet(fx.people(spark, sf), REGISTRY_RULES, registry, as_of=fx.AS_OF)
+
+
+def registry_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that only their ids make equal are one row."""
+    return _registry_clean(spark, sf).counted.withColumnsRenamed({POSITION: "pos", "_rows": "n_rows"})
+
+
+def registry_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _registry_clean(spark, sf).stats
+
+
+def _keyless(events: DataFrame) -> DataFrame:
+    return events.withColumn("user_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")))
+
+
+def throttle_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits without a key share one."""
+    return throttle_audit(_keyless(fx.table(spark, sf, "events")), **AUDIT)
+
+
+def throttle_large_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The same audit with every key taken as too large for one group."""
+    return throttle_audit(_keyless(fx.table(spark, sf, "events")), **AUDIT, walk_limit=0)
+
+
+def stream_throttle_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    hits = throttle_stream(_keyless(_event_stream(spark, sf)), **AUDIT)
+    return run_available(hits, "throttle-stream").select("user_id", "event_id", "hit_count", "over_limit")
+
+
+def ingest_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers packed into files, some upper-case, of another type, oversized or cut short: how each ends."""
+    people = fx.people(spark, sf)
+    files = as_workbook_files(people.frame, "people", "pos", rows_per_file=10)
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 5
+    suffix = F.get(F.array(*[F.lit(x) for x in (".xlsx", ".XLSX", ".xls", ".xlsx", ".Xlsx")]), number.cast("int"))
+    named = files.withColumns({"path": F.concat(F.regexp_extract("path", "^([^.]*)", 1), suffix), "cut": number == 3, "padded": number == 4})
+    content = F.when(F.col("cut"), F.expr("substring(content, 1, 100)")).otherwise(F.col("content"))
+    files = named.withColumn("content", content).withColumn("length", F.when(F.col("padded"), 10**9).otherwise(F.octet_length("content")))
+    cap = 10**8
+    rows = workbook_rows(files.where(F.lower("path").endswith(".xlsx") & (F.col("length") <= cap)))
+    found = outcomes(files, rows, max_bytes=cap)
+    return found.withColumn("reason", F.when(F.col("outcome") != "failed", F.col("reason")))
+
+
 QUERIES: dict[str, Query] = {
     "q01_clean_default": clean_default,
     "q02_blank_rows": blank_rows,
@@ -373,6 +429,12 @@ QUERIES: dict[str, Query] = {
     "q25_stream_dedup": stream_dedup,
     "q26_throttle": throttle,
     "q26_stream_throttle": stream_throttle,
+    "q26_throttle_null_keys": throttle_null_keys,
+    "q26_throttle_large_keys": throttle_large_keys,
+    "q26_stream_null_keys": stream_throttle_null_keys,
+    "q27_registry_rows": registry_rows,
+    "q27_registry_stats": registry_stats,
+    "q28_ingest_outcomes": ingest_outcomes,
 }
 
 __all__ = ["QUERIES"]

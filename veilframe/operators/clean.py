@@ -6,8 +6,9 @@ Shape of the plan for one sheet::
 
 The aggregate does three jobs in one shuffle: it removes duplicates, keeps the first position, and
 sums the per-row flags, so rows and statistics come from the same frame. It runs on trimmed keys
-*before* ids are attached, which is the same partition of rows (ids are one-to-one with keys) but
-makes the id lookup see distinct rows only. Redacted columns are constants and stay out of the key.
+*before* ids are attached, which is the same partition of rows (built ids are one-to-one with keys) but
+makes the id lookup see distinct rows only. Under a caller's mapping, which may lack keys or give two one id, a second,
+much smaller aggregate follows the lookup. Redacted columns are constants and stay out of the key.
 
 Decisions: null and '' stay distinct values in kept columns; a missing id is '' and a missing age
 is null, both empty in CSV; equality is Spark grouping equality (0.0 = -0.0, null = null).
@@ -18,7 +19,7 @@ from __future__ import annotations
 import datetime as dt
 import warnings
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache, cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -115,8 +116,11 @@ def _ungroupable(dtype: T.DataType) -> bool:
     return "map<" in text or "variant" in text
 
 
-def group_rows(projected: DataFrame, varying: list[str]) -> DataFrame:
-    """Distinct output rows with row count, first position and summed flags: one shuffle."""
+def group_rows(projected: DataFrame, varying: list[str], again: bool = False) -> DataFrame:
+    """Distinct output rows with row count, first position and summed flags: one shuffle.
+
+    ``again``: the rows are groups already, whose counts add up.
+    """
     keys, carried = [], []
     for name in varying:
         if _ungroupable(projected.schema[name].dataType):
@@ -128,7 +132,7 @@ def group_rows(projected: DataFrame, varying: list[str]) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in (_INVALID, _MISSING, _REDACTED)]
     first = [F.min(POSITION).alias(POSITION)] if POSITION in projected.columns else []
     return projected.groupBy(*(keys or [F.lit(0).alias("_one")])).agg(
-        F.count(F.lit(1)).alias(_ROWS), *first, *sums, *carried
+        (F.sum(_ROWS) if again else F.count(F.lit(1))).alias(_ROWS), *first, *sums, *carried
     )
 
 
@@ -142,6 +146,8 @@ class CleanSheet:
     find_mapping: Callable[[], Table]
     options: Options
     own_ids: bool = False
+    #: The mapping is a caller's: keys may be unknown to it or share an id, so rows can become equal by their ids.
+    given: bool = False
 
     @property
     def mapping(self) -> Table:
@@ -164,7 +170,7 @@ class CleanSheet:
         rows = Sheet(self.name, self.sheet.frame.where(F.col(self.sheet.pos) <= F.lit(bound)), self.sheet.pos)
         grouped = group_rows(*project(rows, self.plan, self.options))
         find_mapping = _mapping_for([rows], [self.plan], self.options, None) if self.own_ids else self.find_mapping
-        return CleanSheet(rows, self.plan, grouped, find_mapping, self.options, self.own_ids)
+        return CleanSheet(rows, self.plan, grouped, find_mapping, self.options, self.own_ids, self.given)
 
     def persist_rows(self) -> CleanSheet:
         """Write the grouped rows once, when sink, statistics and k report all need them."""
@@ -179,7 +185,27 @@ class CleanSheet:
         for n, p in enumerate(self.plan):
             if p.action == "anonymize":
                 frame = attach_ids(frame, f"v{n}", self.mapping, spread, f"id{n}")
-        return frame
+        if not self._merges:
+            return frame
+        names = [f"{'id' if p.action == 'anonymize' else 'v'}{n}" for n, p in enumerate(self.plan) if p.action != "redact"]
+        return group_rows(frame, names, again=True)
+
+    @property
+    def _merges(self) -> bool:
+        return self.given and any(p.action == "anonymize" for p in self.plan)
+
+    @property
+    def distinct(self) -> DataFrame:
+        """The distinct output rows with their counts and flags; ids are attached only if they can make rows equal."""
+        return self._with_ids if self._merges else self.grouped
+
+    @property
+    def scoring_rows(self) -> DataFrame:
+        """``rows`` for counting equal values: the keys of a built mapping stand in for ids, which are one to one with them."""
+        if self._merges:
+            return self.rows
+        out = [F.lit(p.replace_with) if p.action == "redact" else F.col(f"v{n}") for n, p in enumerate(self.plan)]
+        return self.grouped.select(*[c.alias(f"o{i}") for i, c in enumerate(out)]).toDF(*self.columns)
 
     def _outputs(self) -> list[Column]:
         out = []
@@ -212,8 +238,8 @@ class CleanSheet:
 
     @property
     def stats(self) -> DataFrame:
-        """One row with the counters, all taken before duplicates went. Needs no id lookup."""
-        return self.grouped.agg(*counters())
+        """One row with the counters, all taken before duplicates went. Needs no id lookup, unless a given mapping merges rows."""
+        return self.distinct.agg(*counters())
 
 
 def counters() -> list[Column]:
@@ -279,6 +305,13 @@ class CleanWorkbook:
     def mapping(self) -> Table:
         return self.find_mapping()
 
+    def copy(self) -> CleanWorkbook:
+        """The same cleaning with tables of its own; a mapping that has been built already is shared."""
+        find = self.find_mapping
+        if getattr(find, "__wrapped__", None) is not None and not find.cache_info().currsize:
+            find = cache(find.__wrapped__)
+        return CleanWorkbook([replace(s, find_mapping=find) for s in self.sheets], find)
+
     def __iter__(self) -> Iterator[CleanSheet]:
         return iter(self.sheets)
 
@@ -307,7 +340,7 @@ def clean_workbook(
         grouped = group_rows(*project(sheet, plan, opts))
         # Ids of a first sheet depend on earlier rows only, so a prefix of it numbers itself.
         own_ids = i == 0 and mapping is None
-        cleaned.append(CleanSheet(sheet, plan, grouped, find_mapping, opts, own_ids))
+        cleaned.append(CleanSheet(sheet, plan, grouped, find_mapping, opts, own_ids, given=mapping is not None))
     return CleanWorkbook(cleaned, find_mapping)
 
 

@@ -18,7 +18,6 @@ from veilframe.functions.dates import looks_like_date
 from veilframe.functions.numbers import text_to_number, to_fixed2, whole_number_between
 from veilframe.functions.text import WHITESPACE, blank_sql, is_text, normalize_header, plain_number_sql, trim_ws
 from veilframe.plans.rules import Rule, RuleSet
-from veilframe.session import spread
 from veilframe.sources.sheets import POSITION, Sheet, Workbook
 
 # Sampled values per column, reported values and candidates, suggested threshold.
@@ -240,7 +239,7 @@ def sampled_values(workbook: Workbook, sample_size: int | None = SAMPLE_SIZE) ->
     """
     sheets = list(workbook)
     if sample_size is None:
-        parts = [_cells(spread(s.positional()), s, list(range(len(s.headers)))) for s in sheets]
+        parts = [_cells(s.positional(), s, list(range(len(s.headers)))) for s in sheets]
         values = _stack_sheets([p.select("col_idx", "value") for p in parts])
     else:
         values = first_values(sheets, sample_size)
@@ -276,6 +275,12 @@ def match_rates(samples: DataFrame, workbook: Workbook) -> DataFrame:
         shown = []  # Counters alone keep the aggregate over every value in generated code.
     counted = measured.groupBy("sheet_idx", "col_idx").agg(F.count("value").alias("sample_size"), *shown, *hits)
     first = F.col("shown.value") if shown else F.array().cast("array<string>")
+    if not shown and all(s.pos is not None for s in workbook):
+        # The first values have their own small plan; columns without a value have none.
+        few = first_values(list(workbook), REPORTED_VALUES).groupBy("sheet_idx", "col_idx")
+        listed = few.agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("few"))
+        counted = counted.join(F.broadcast(listed), ["sheet_idx", "col_idx"], "left")
+        first = F.coalesce(F.col("few.value"), F.array().cast("array<string>"))
     n = F.col("sample_size")
     rates = [
         F.lit(None).cast("double") if t is None else F.when(n > 0, F.col(f"h{i}") / n).otherwise(0.0)

@@ -124,7 +124,7 @@ def k_report(
 def workbook_reports(book: CleanWorkbook, rules: RuleSet) -> DataFrame:
     """The k report of every sheet, with the sheet's place and name."""
     reports = [
-        k_report(s.rows, rules.quasi_identifiers, rules.min_k).select(
+        k_report(s.scoring_rows, rules.quasi_identifiers, rules.min_k).select(
             F.lit(i).alias("sheet_idx"), F.lit(s.name).alias("sheet"), "*"
         )
         for i, s in enumerate(book)

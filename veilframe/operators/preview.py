@@ -29,7 +29,7 @@ def _leading(sheet: CleanSheet, n: int) -> CleanSheet:
     if seen < max(1, n) * LOOKAHEAD:
         return sheet
     part = sheet.prefix(bound)
-    return part if part.grouped.limit(n).count() == n else sheet
+    return part if part.distinct.limit(n).count() == n else sheet
 
 
 def preview(sheet: CleanSheet, limit: int = PREVIEW_LIMIT, keep_position: bool = False) -> DataFrame:
@@ -40,8 +40,10 @@ def preview(sheet: CleanSheet, limit: int = PREVIEW_LIMIT, keep_position: bool =
     sheet.sheet.require_order("preview")
     n = max(0, limit - 1)
     lead = _leading(sheet, n)
-    head = replace(lead, grouped=lead.grouped.orderBy(POSITION).limit(n))
-    ordered = head.positioned.orderBy(POSITION)
+    if lead.distinct is lead.grouped:
+        ordered = replace(lead, grouped=lead.grouped.orderBy(POSITION).limit(n)).positioned.orderBy(POSITION)
+    else:  # a given mapping merges rows, so they are picked after it
+        ordered = lead.positioned.orderBy(POSITION).limit(n)
     return ordered if keep_position else ordered.drop(POSITION)
 
 
@@ -49,6 +51,6 @@ def preview_meta(sheet: CleanSheet, limit: int = PREVIEW_LIMIT) -> DataFrame:
     """One row: totalDataRows, previewedDataRows, truncated."""
     total = F.col("totalDataRows")
     shown = F.least(total, F.lit(max(0, limit - 1)).cast("long"))
-    return sheet.grouped.agg(F.count(F.lit(1)).alias("totalDataRows")).select(
+    return sheet.distinct.agg(F.count(F.lit(1)).alias("totalDataRows")).select(
         total, shown.alias("previewedDataRows"), (shown < total).alias("truncated")
     )

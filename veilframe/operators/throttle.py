@@ -28,6 +28,7 @@ UNKNOWN_KEY = "unknown"
 # Distinct instants of one key that may be walked in one group: 16 MB of longs.
 WALK_LIMIT = 2_000_000
 MICROS = 1_000_000
+GROUP = "_group"
 
 
 def micros(c: Column, dtype: T.DataType) -> Column:
@@ -40,12 +41,19 @@ def micros(c: Column, dtype: T.DataType) -> Column:
 
 
 def known_key(name: str, dtype: T.DataType) -> Column:
-    """The key, where hits without a text key share one. Keys of other types must not be null."""
+    """The key, where hits without a text key share one. Keys of other types may be null: those hits share the null key."""
     if not is_text(dtype):
         return F.col(name)
     return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(UNKNOWN_KEY)).alias(name)
 
 
+def group_key(name: str, dtype: T.DataType) -> Column:
+    """The key as text that is never null, so that joins and groups treat the null key like any other."""
+    if is_text(dtype):
+        return known_key(name, dtype)
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+
+
 def chain(instants: np.ndarray, width: int) -> np.ndarray:
     """Window starts among ascending instants."""
     starts, at = [], 0
@@ -113,8 +121,11 @@ def throttle_audit(
     ``hit_id`` is a unique long that orders hits of the same instant. Refused hits carry the whole
     seconds to wait, at least one.
     """
-    width = window_seconds * MICROS
-    base = hits.select(known_key(key, hits.schema[key].dataType), ts, hit_id, micros(F.col(ts), hits.schema[ts].dataType).alias("at"))
+    width, shown, dtype = window_seconds * MICROS, key, hits.schema[key].dataType
+    key = GROUP
+    base = hits.select(
+        known_key(shown, dtype), group_key(shown, dtype).alias(key), ts, hit_id, micros(F.col(ts), hits.schema[ts].dataType).alias("at")
+    )
     numbered = number_rows(base, [key, "at", hit_id], "hits")
     instants = materialize(numbered.groupBy(key, "at").agg(F.min("number").alias("opens"), F.min(ts).alias("window_start")), "instants")
     starts = window_starts(instants.select(key, "at"), key, width, walk_limit)
@@ -124,6 +135,6 @@ def throttle_audit(
     left = F.col("opened_at") + width - F.col("at")
     over = count > max_hits
     return found.select(
-        key, hit_id, ts, "window_start", count.alias("hit_count"), over.alias("over_limit"),
+        shown, hit_id, ts, "window_start", count.alias("hit_count"), over.alias("over_limit"),
         F.when(over, F.greatest(F.lit(1).cast("long"), F.ceil(left / MICROS).cast("long"))).alias("retry_after"),
     )

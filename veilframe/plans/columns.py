@@ -52,6 +52,7 @@ def first_match(header: Column, rules: RuleSet) -> Column:
 
 def plan_catalog(catalog: DataFrame, rules: RuleSet, header: str = "header") -> DataFrame:
     """Add ``rule_idx``, ``action``, ``output_name`` and ``replace_with`` to a frame of headers."""
+    rules.check_regexes(catalog.sparkSession)
     idx = F.col("rule_idx")
 
     def per_rule(values: list[str | None]) -> Column:
@@ -76,6 +77,7 @@ def plan_tables(spark: SparkSession, tables: Sequence[Sequence[str]], rules: Rul
     The same CASE chain runs over the headers in one small job, so that a table and a catalog obey
     the same regex engine.
     """
+    rules.check_regexes(spark)
     rows = [(t, i, header) for t, headers in enumerate(tables) for i, header in enumerate(headers)]
     plans: list[list[ColumnPlan]] = [[] for _ in tables]
     if not rows:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
-import re
+import math
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import SparkSession
+
 # The rule vocabulary.
 MATCH_KINDS = ("empty", "equals", "startsWith", "contains", "regex")
 ACTIONS = ("drop", "keep", "rename", "redact", "anonymize", "ageFromDate")
@@ -53,11 +57,6 @@ def _parse_rule(raw: Any, where: str) -> Rule:
     if action == "redact":
         _need(isinstance(raw.get("replaceWith"), str), f'{where}: action "redact" needs a "replaceWith" string')
     kind, target = next(iter(match.items()))
-    if kind == "regex":
-        try:
-            re.compile(str(target))
-        except re.error as problem:
-            raise RuleError(f"{where}: regex is invalid: {problem}") from problem
     name, text = raw.get("outputName"), raw.get("replaceWith")
     return Rule(
         kind,
@@ -73,10 +72,10 @@ def _parse_k(raw: Any) -> tuple[tuple[str, ...], int | None]:
         return (), None
     _need(isinstance(raw, dict), '"kAnonymity" must be an object')
     names, min_k = raw.get("quasiIdentifiers"), raw.get("minK")
-    _need(names is None or isinstance(names, list), '"kAnonymity.quasiIdentifiers" must be an array of column names')
+    _need(names is None or isinstance(names, list), "the k block needs quasiIdentifiers as an array of names")
     if min_k is not None:
-        whole = isinstance(min_k, (int, float)) and not isinstance(min_k, bool) and min_k == int(min_k)
-        _need(whole and min_k >= 1, '"kAnonymity.minK" must be a positive integer')
+        number = isinstance(min_k, (int, float)) and not isinstance(min_k, bool) and math.isfinite(min_k)
+        _need(number and min_k == int(min_k) and min_k >= 1, "the k block's minK is a whole number of 1 or more")
         min_k = int(min_k)
     return tuple("" if n is None else str(n) for n in names or ()), min_k
 
@@ -94,7 +93,18 @@ class RuleSet:
         _need(isinstance(raw.get("rules"), list), 'a rule set needs a "rules" array')
         names, min_k = _parse_k(raw.get("kAnonymity"))
         rules = tuple(_parse_rule(rule, f"rules[{i}]") for i, rule in enumerate(raw["rules"]))
-        return cls(rules, names, min_k, str(raw.get("version", "1")))
+        made, spark = cls(rules, names, min_k, str(raw.get("version", "1"))), SparkSession.getActiveSession()
+        return made if spark is None else made.check_regexes(spark)
+
+    def check_regexes(self, spark: SparkSession) -> RuleSet:
+        """Compile every header regex with the engine that will run it; called before any job starts."""
+        for i, rule in enumerate(self.rules):
+            if rule.kind == "regex":
+                try:
+                    spark._jvm.java.util.regex.Pattern.compile(f"(?iu){rule.target}")
+                except (Py4JJavaError, IllegalArgumentException) as problem:
+                    raise RuleError(f"rules[{i}]: regex is invalid: {problem}") from None
+        return self
 
     @classmethod
     def from_json(cls, text: str) -> RuleSet:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,9 +51,30 @@ def shared_folder(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+_scopes: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scope for written intermediate tables, which hold raw identifiers: its folder goes when the scope ends, by an error too.
+
+    Frames made inside read from it, so use or write them inside. Without a scope, intermediate tables stay in the
+    shared folder, under the application's id, until someone clears it.
+    """
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/scope-{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, grouped by application so it can be cleared as one."""
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the innermost scope, else below the shared folder, grouped by application."""
+    folder = _scopes[-1] if _scopes else f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(frame: DataFrame, label: str) -> DataFrame:
@@ -62,15 +85,6 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Spread a frame of few partitions over all cores before costly per-row work.
-
-    Large inputs have more partitions than cores already and pass unchanged, without a shuffle.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def broadcast_limit(spark: SparkSession) -> int:
     """Bytes that the session allows on a broadcast side; not positive when switched off."""
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()

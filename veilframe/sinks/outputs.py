@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from veilframe.functions.text import plain_number_sql, sanitize_name
 from veilframe.operators.clean import COUNTERS, CleanSheet, CleanWorkbook
 from veilframe.operators.stats import sheet_stats
+from veilframe.session import scratch
 from veilframe.sources.sheets import POSITION
 
 # Names used when nothing is left of the given ones.
@@ -84,7 +85,10 @@ def manifest(
 def write_outputs(
     book: CleanWorkbook, out: str, source_name: str, run_id: str | None = None, generated_at: dt.datetime | None = None
 ) -> RunOutput:
-    """Persist a cleaned workbook. Grouped rows are written once and serve both CSV and counters."""
+    """Persist a cleaned workbook. Grouped rows are written once and serve both CSV and counters.
+
+    Nothing but the outputs is left, neither after a failure: intermediate tables live in a scope of their own.
+    """
     spark = book.sheets[0].grouped.sparkSession
     base = safe_names(spark, [source_name.rsplit(".", 1)[0]], BASE_FALLBACK)[0]
     run_id = run_id or f"{base}-{uuid.uuid4().hex}"
@@ -92,10 +96,12 @@ def write_outputs(
     folders = [
         f"sheet={i}-{name}" for i, name in enumerate(safe_names(spark, [s.name for s in book], SHEET_FALLBACK))
     ]
-    for sheet, folder in zip(book, folders):
-        write_csv(sheet.persist_rows(), f"{path}/{folder}")
-    # The manifest comes last: a run without one is incomplete.
-    manifest(book, source_name, folders, generated_at).write.json(f"{path}/manifest")
+    with scratch(spark):
+        own = book.copy()
+        for sheet, folder in zip(own, folders):
+            write_csv(sheet.persist_rows(), f"{path}/{folder}")
+        # The manifest comes last: a run without one is incomplete.
+        manifest(own, source_name, folders, generated_at).write.json(f"{path}/manifest")
     return RunOutput(run_id, path, [f"{path}/{f}" for f in folders], f"{path}/manifest")
 
 

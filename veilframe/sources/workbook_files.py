@@ -3,7 +3,7 @@
 Spark lists and reads the files (``binaryFile``), many small ones per task. A small parser turns each
 into rows ``(path, sheet_idx, sheet, row_idx, cells)`` where a cell is ``(kind, value)`` and kind is
 ``n`` number, ``b`` boolean, ``s`` text, or null for an empty cell. Sheets are then DataFrames by
-projection: no pivot and no shuffle. Files are bounded by the screening cap before they are read.
+projection: no pivot and no shuffle. Every file ends as read, rejected or failed (``outcomes``).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators.ordered import number_rows
 from veilframe.session import materialize
-from veilframe.sources.screening import MAX_BYTES
+from veilframe.sources.screening import BAD_EXTENSION, TOO_LARGE
 from veilframe.sources.sheets import POSITION, Sheet, Workbook
 
 # Format namespaces.
@@ -31,7 +31,10 @@ TABLE = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
 TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
 OFFICE = "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
 
-ROWS = "path string, sheet_idx int, sheet string, row_idx int, cells array<struct<kind: string, value: string>>"
+ROWS = "path string, sheet_idx int, sheet string, row_idx int, cells array<struct<kind: string, value: string>>, error string"
+#: What can be read, in any letter case.
+READABLE = r"(?i)\.(xlsx|ods)$"
+GLOB = "*.{[xX][lL][sS][xX],[oO][dD][sS]}"
 Cell = tuple[str, str] | None
 
 
@@ -130,23 +133,45 @@ def parse_workbook(content: bytes) -> list[tuple[str, list[list[Cell]]]]:
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows = [
-                (path, s, name, i, [(None, None) if c is None else c for c in cells])
-                for s, (name, sheet) in enumerate(parse_workbook(bytes(content)))
-                for i, cells in enumerate(sheet)
-            ]
-            yield pd.DataFrame(rows, columns=["path", "sheet_idx", "sheet", "row_idx", "cells"])
+            try:
+                parsed = parse_workbook(bytes(content))
+            except Exception as problem:  # noqa: BLE001  whatever a damaged file causes is reported with its path
+                rows = [(path, None, None, None, None, f"{type(problem).__name__}: {problem}"[:500])]
+            else:
+                rows = [
+                    (path, s, name, i, [(None, None) if c is None else c for c in cells], None)
+                    for s, (name, sheet) in enumerate(parsed)
+                    for i, cells in enumerate(sheet)
+                ]
+            yield pd.DataFrame(rows, columns=["path", "sheet_idx", "sheet", "row_idx", "cells", "error"])
 
 
 def workbook_rows(files: DataFrame) -> DataFrame:
-    """Rows of cells of every workbook, given a frame with ``path`` and ``content``."""
+    """Rows of cells of every workbook, given a frame with ``path`` and ``content``; one row with ``error`` of a file that can't be parsed."""
     return files.select("path", "content").mapInPandas(_parse_files, ROWS)
 
 
-def read_workbook_rows(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Read all ``.xlsx`` and ``.ods`` files below a path, one table of cell rows."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{xlsx,ods}")
-    return workbook_rows(files.load(path).where(F.col("length") <= max_bytes))
+def admitted(listing: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Add ``reason`` to a listing (path, length): null for files that will be read. There is no cap unless the caller sets one."""
+    reason = F.when(~F.col("path").rlike(READABLE), BAD_EXTENSION)
+    return listing.withColumn("reason", reason if max_bytes is None else reason.when(F.col("length") > max_bytes, TOO_LARGE))
+
+
+def read_workbook_rows(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Read all ``.xlsx`` and ``.ods`` files below a path, in any letter case, one table of cell rows.
+
+    ``outcomes`` tells of files that this leaves out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(path)
+    return workbook_rows(files if max_bytes is None else files.where(F.col("length") <= max_bytes))
+
+
+def outcomes(listing: DataFrame, rows: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """One row per listed file: path, outcome (``read``, ``rejected`` or ``failed``), reason, and its number of rows."""
+    found = rows.groupBy("path").agg(F.count("row_idx").alias("rows"), F.max("error").alias("error"))
+    judged = admitted(listing, max_bytes).join(found, "path", "left")
+    outcome = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("error").isNotNull(), "failed").otherwise("read")
+    return judged.select("path", outcome.alias("outcome"), F.coalesce("reason", "error").alias("reason"), F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -160,14 +185,19 @@ def _column_type(kinds: set[str]) -> str:
     return {frozenset("n"): "double", frozenset("b"): "boolean"}.get(frozenset(kinds), "string")
 
 
-def to_workbook(rows: DataFrame) -> Workbook:
+def to_workbook(rows: DataFrame, skip_failed: bool = False) -> Workbook:
     """One DataFrame per sheet name, over all files that hold it; the first row of a sheet is its header.
 
     Files that share a sheet must share its header. A column is numeric or boolean when all its cells
     are, else text. Sheets follow their first (file, place). Rows shorter than the header end in blanks and cells beyond it are ignored. The
-    position runs over the files in path order, so the sheet keeps workbook order.
+    position runs over the files in path order, so the sheet keeps workbook order. Files that couldn't be parsed raise with their
+    paths, unless ``skip_failed``.
     """
     rows = materialize(rows, "workbook")  # parse every file once
+    broken = rows.where("error IS NOT NULL").select("path", "error").limit(5).collect()
+    if broken and not skip_failed:
+        raise ValueError("files that can't be parsed: " + "; ".join(f"{r.path} ({r.error})" for r in broken))
+    rows = rows.where("error IS NULL")
     header_rows = rows.where("row_idx = 0").select("sheet", "path", "sheet_idx", F.transform("cells", lambda c: c["value"]).alias("header"))
     # One row per distinct sheet layout.
     layouts = header_rows.groupBy("sheet", "header").agg(F.min(F.struct("path", "sheet_idx")).alias("place")).orderBy("place").collect()
@@ -193,4 +223,4 @@ def to_workbook(rows: DataFrame) -> Workbook:
     return Workbook(sheets)
 
 
-__all__ = ["cells", "parse_workbook", "read_workbook_rows", "to_workbook", "workbook_rows"]
+__all__ = ["admitted", "cells", "outcomes", "parse_workbook", "read_workbook_rows", "to_workbook", "workbook_rows"]

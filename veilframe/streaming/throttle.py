@@ -11,34 +11,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veilframe.operators.throttle import MAX_HITS, MICROS, WINDOW_SECONDS, known_key, micros
+from veilframe.functions.text import is_text
+from veilframe.operators.throttle import GROUP, MAX_HITS, MICROS, WINDOW_SECONDS, group_key, micros
 
 
 def throttle_stream(
-    hits: DataFrame, key: str, ts: str, hit_id: str, window_seconds: int = WINDOW_SECONDS, max_hits: int = MAX_HITS
-) -> DataFrame:
+    hits: DataFrame, key: str, ts: str, hit_id: str, window_seconds: int = WINDOW_SECONDS, max_hits: int = MAX_HITS,
+    watermark: str | None = None,
+) -> DataFrame:
     """``key, hit_id, at, window_start_us, hit_count, over_limit`` of every hit.
 
     Hits of a key within one micro-batch are taken in time order; limit the size of a micro-batch
-    at the source (for files ``maxFilesPerTrigger``), which bounds what one key holds in memory.
+    at the source (for files ``maxFilesPerTrigger``), which bounds what one key holds in memory. A hit that arrives in a later batch
+    with an earlier time is counted into the open window.
+
+    ``watermark``: how late hits may come, for example ``10 minutes``; needs a timestamp with zone. A key's state goes once
+    its window has closed that long ago. Without it there is one row of state per key for ever.
     """
-    width = window_seconds * MICROS
-    known = known_key(key, hits.schema[key].dataType)
-    base = hits.select(known, F.col(hit_id).cast("long").alias(hit_id), micros(F.col(ts), hits.schema[ts].dataType).alias("at"))
+    width, dtype = window_seconds * MICROS, hits.schema[key].dataType
+    source = hits if watermark is None else hits.withWatermark(ts, watermark)
+    at = micros(F.col(ts), hits.schema[ts].dataType)
+    timed = [] if watermark is None else [F.col(ts).alias("_time")]
+    base = source.select(group_key(key, dtype).alias(GROUP), F.col(hit_id).cast("long").alias(hit_id), at.alias("at"), *timed)
+    long = T.LongType()
     out = T.StructType(
-        [
-            base.schema[key],
-            base.schema[hit_id],
-            T.StructField("at", T.LongType()),
-            T.StructField("window_start_us", T.LongType()),
-            T.StructField("hit_count", T.LongType()),
-            T.StructField("over_limit", T.BooleanType()),
-        ]
+        [base.schema[GROUP], base.schema[hit_id]]
+        + [T.StructField(n, t) for n, t in (("at", long), ("window_start_us", long), ("hit_count", long), ("over_limit", T.BooleanType()))]
     )
 
     def advance(_key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(chunks), ignore_index=True).sort_values(["at", hit_id], ignore_index=True)
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, count = state.get if state.exists else (None, 0)
+        pdf = pd.concat([c[[GROUP, hit_id, "at"]] for c in chunks], ignore_index=True).sort_values(["at", hit_id], ignore_index=True)
         at = pdf["at"].to_numpy()
         starts, counts = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
         i = 0
@@ -50,8 +56,12 @@ def throttle_stream(
             counts[i:end] = np.arange(count + 1, count + 1 + end - i)
             count, i = count + end - i, end
         state.update((start, count))
+        if watermark is not None:
+            # Not before the watermark, which a timeout must lie beyond.
+            state.setTimeoutTimestamp(max((start + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pdf.assign(window_start_us=starts, hit_count=counts, over_limit=counts > max_hits)[out.fieldNames()]
 
-    return base.groupBy(key).applyInPandasWithState(
-        advance, out, "start long, count long", "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if watermark is None else GroupStateTimeout.EventTimeTimeout
+    found = base.groupBy(GROUP).applyInPandasWithState(advance, out, "start long, count long", "append", timeout)
+    named = F.col(GROUP) if is_text(dtype) else F.when(F.col(GROUP) != "", F.expr(f"substring({GROUP}, 2)")).cast(dtype)
+    return found.select(named.alias(key), *out.fieldNames()[1:])
