@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.session import materialize
 
+#: A table of at most so many narrow rows is worked on by one task, without shuffles.
+ONE_TASK_ROWS = 100_000
+
+
+def saved(frame: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, list]:
+    """A frame written and read back, with its number of rows and further aggregates taken while it was written.
+
+    A small table comes back in one partition.
+    """
+    seen = Observation(uuid.uuid4().hex)
+    named = [m.alias(f"m{i}") for i, m in enumerate([F.count(F.lit(1)), *measures])]
+    back = materialize(frame.observe(seen, *named), label)
+    values = [seen.get[f"m{i}"] for i in range(len(named))]
+    return (back.coalesce(1) if values[0] <= ONE_TASK_ROWS else back), values
+
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.session import materialize
+from veilframe.llm.common import saved
 
 
-def _tally(edges: DataFrame) -> tuple:
+def _tally() -> tuple[Column, ...]:
     """Changes whenever the set of edges does (but for freak collisions)."""
-    one = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(one), F.sum(F.col("u").cast("decimal(38,0)"))).first())
+    return F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,20 +21,20 @@ def components(edges: DataFrame) -> DataFrame:
     component's smallest. Minima are aggregated before the shuffle, and rows of one node are only ever joined to one row.
     """
     turned = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    current = materialize(edges.where("u <> v").select(*turned).distinct(), "edges")
-    before = _tally(current)
+    current, before = saved(edges.where("u <> v").select(*turned).distinct(), "edges", *_tally())
     while before[0]:
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        either_way = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = current.select(either_way.alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        current = materialize(large, "stars")
-        smallest = current.groupBy("u").agg(F.min("v").alias("m"))
-        rest = current.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = materialize(smallest.select("u", F.col("m").alias("v")).union(rest).distinct(), "stars")
-        after = _tally(current)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        stars, _ = saved(large.distinct(), "stars")
+        smallest = stars.groupBy("u").agg(F.min("v").alias("m"))
+        # To its smallest neighbour from each node, and from its other neighbours.
+        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        small = stars.join(smallest, "u").select(ends.alias("e")).select("e.u", "e.v").where("u <> v")
+        current, after = saved(small.distinct(), "stars", *_tally())
         if after == before:
             break
         before = after
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    own = F.explode(F.array("u", "v")).alias("node")
+    return current.select(own, F.col("v").alias("component")).distinct()

@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import fresh, text_or_empty
-from veilframe.session import materialize
+from veilframe.llm.common import fresh, saved, text_or_empty
 
 DIMENSIONS = ["source", "lang", "topic"]
 #: A topic from the form of a text: the first that fits, else REST.
@@ -63,15 +62,14 @@ def _goals(cells: DataFrame, dimension: str, given: dict[str | None, float] | No
         raw = F.coalesce(F.create_map(*pairs)[F.col(dimension)], F.lit(0.0))
     else:
         raw = F.lit(0.0)
-    goals = materialize(sums.select(dimension, raw.alias("raw")), "goals")
-    whole = goals.agg(F.sum("raw")).first()[0] or 1.0
+    goals, (_, whole) = saved(sums.select(dimension, raw.alias("raw")), "goals", F.sum("raw"))
     return goals.select(dimension, (F.col("raw") / (whole or 1.0)).alias(f"{dimension}_share"))
 
 
 def rake(cells: DataFrame, targets: Targets | None = None, flatten: float = 0.7, rounds: int = 6) -> DataFrame:
     """``cells`` (dimensions and ``tokens``) with ``rate``: calibrated token share over present token share."""
-    cells = materialize(cells, "cells")
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    cells, (_, total) = saved(cells, "cells", F.sum("tokens"))
+    total = float(total or 1)
     goals = {d: _goals(cells, d, (targets or {}).get(d), flatten) for d in DIMENSIONS}
     factors = {d: cells.select(d).distinct().withColumn(f"{d}_factor", F.lit(1.0)) for d in DIMENSIONS}
 
@@ -87,8 +85,8 @@ def rake(cells: DataFrame, targets: Targets | None = None, flatten: float = 0.7,
             others = rated([o for o in DIMENSIONS if o != d])
             have = others.groupBy(d).agg(F.sum(F.col("tokens") / total * F.col("rate")).alias("have"))
             factor = F.when(F.col("have") > 0, F.col(f"{d}_share") / F.col("have")).otherwise(0.0)
-            factors[d] = materialize(goals[d].join(have, d).select(d, factor.alias(f"{d}_factor")), "factors")
-    return materialize(rated(DIMENSIONS).select(*DIMENSIONS, "tokens", "rate"), "rates")
+            factors[d], _ = saved(goals[d].join(have, d).select(d, factor.alias(f"{d}_factor")), "factors")
+    return saved(rated(DIMENSIONS).select(*DIMENSIONS, "tokens", "rate"), "rates")[0]
 
 
 def mix(
