@@ -14,7 +14,8 @@ from veilframe.session import local_session  # noqa: E402
 
 HEADLINE = (
     "q01_clean_default q06_id_mapping q08_dedup q09_shared_ids q11_stats q12_k_report q12_k_histogram q13_summary q14_preview "
-    "q18_match_rates_full q20_best_candidates q23_detect_then_clean"
+    "q18_match_rates_full q20_best_candidates q23_detect_then_clean "
+    "q12_k_cleaned q13_manifest q16_workbook_k q23_workbook_files q24_stream_clean q26_throttle q26_stream_throttle q27_registry_rows"
 ).split()
 REPEATS = 3
 

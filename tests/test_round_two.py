@@ -44,7 +44,7 @@ def test_k_scores_need_no_ids(spark, sheet):
     assert files_below(shared_folder(spark)) == before
 
 
-def test_regexes_are_those_of_the_engine():
+def test_regexes_are_those_of_the_engine(spark):
     make = lambda pattern: RuleSet.from_dict({"rules": [{"match": {"regex": pattern}, "action": "drop"}]})
     assert make("(?<y>dob)").rules[0].target == "(?<y>dob)"
     for bad in ("(?P<y>dob)", "(", "[a"):

@@ -34,7 +34,7 @@ def rule(match, action="drop", **more):
         ({"rules": [], "kAnonymity": {"minK": True}}, "minK"),
     ],
 )
-def test_bad_rule_sets_are_refused(raw, message):
+def test_bad_rule_sets_are_refused(spark, raw, message):  # regexes are compiled by the session
     with pytest.raises(RuleError, match=message):
         RuleSet.from_dict(raw)
 

@@ -97,7 +97,10 @@ class RuleSet:
         return made if spark is None else made.check_regexes(spark)
 
     def check_regexes(self, spark: SparkSession) -> RuleSet:
-        """Compile every header regex with the engine that will run it; called before any job starts."""
+        """Compile every header regex with the engine that will run it.
+
+        Reading a rule set does this if a session is active; planning columns always does, before any job starts.
+        """
         for i, rule in enumerate(self.rules):
             if rule.kind == "regex":
                 try:
