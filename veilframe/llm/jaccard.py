@@ -2,7 +2,7 @@
 
 Which sets meet: two sets of sizes a and b link only if they differ in at most ``(100 - p)(a + b) / (100 + p)`` shingles. So if the hash range is cut
 into more parts than that, at least one part is equal in both. Every set gives a signature per part; sets with a common signature form families.
-Signatures are compressed before the shuffle (one row per signature and input batch) and never paired: the rest point to the first.
+Signatures are compressed before the shuffle (each once per input batch, packed by ranges) and never paired: the rest point to the first.
 
 Which sets link: a family's sets are put in one global order, frequent shingles first, and stored in a compressed prefix tree. Each set walks the
 tree before it enters it, sharing the overlap counted so far among all sets below a node, and leaves out subtrees that can't reach the
@@ -25,15 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import text_or_empty
+from veilframe.llm.common import saved, text_or_empty
 from veilframe.llm.components import components
 from veilframe.llm.shingles import mixed, shingle_sets
 from veilframe.session import materialize
 
 BLOCK_SETS, MOST_BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 20
 EDGE, SIGNATURE = -1, -2
-_COLUMNS = ["key", "node", "other", "size"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+#: Text characters per bucket of signatures: with one signature for every few characters, some hundred thousand in a bucket.
+BUCKET_CHARS = 4_000_000
+_COLUMNS = ["key", "node", "other", "size", "packed"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+SCHEMA = "key long, node long, other long, size long, packed binary"
 
 
 def size_limits(percent: int, most: int) -> list[int]:
@@ -85,12 +88,31 @@ def _firsts(key: np.ndarray) -> np.ndarray:
 
 def _batch(key: np.ndarray, node: np.ndarray, other: np.ndarray, size: np.ndarray, known: np.ndarray | None = None) -> pa.RecordBatch:
     gone = None if known is None else ~known
-    arrays = [pa.array(key), pa.array(node, mask=gone), pa.array(other, mask=gone), pa.array(size)]
+    arrays = [pa.array(key), pa.array(node, mask=gone), pa.array(other, mask=gone), pa.array(size), pa.nulls(len(key), pa.binary())]
     return pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, _TYPES, strict=True)], names=_COLUMNS)
 
 
-def _sketch(width: int, percent: int):
-    """Per batch: a row per document, edges within the batch, and each signature once."""
+def _pack(key: np.ndarray, node: np.ndarray) -> bytes:
+    """Sorted signatures and their nodes in few bytes: differences, in four bytes each where they fit. The lowest bits are given up."""
+    steps = np.diff(key >> np.uint64(16), prepend=np.uint64(0))
+    offsets = node - node.min()
+    first, low = int(steps[0]), int(node.min())
+    steps[0] = 0
+    narrow = [np.uint32 if len(x) == 0 or int(x.max()) < 1 << 32 else np.uint64 for x in (steps, offsets)]
+    head = np.array([len(key), first, narrow[0] is np.uint32, narrow[1] is np.uint32], np.int64).tobytes() + np.int64(low).tobytes()
+    return head + steps.astype(narrow[0]).tobytes() + offsets.astype(np.uint64).astype(narrow[1]).tobytes()
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, first, narrow_steps, narrow_offsets, low = np.frombuffer(packed, np.int64, 5).tolist()
+    kind = np.uint32 if narrow_steps else np.uint64
+    steps = np.frombuffer(packed, kind, n, 40).astype(np.uint64)
+    offsets = np.frombuffer(packed, np.uint32 if narrow_offsets else np.uint64, n, 40 + steps.size * np.dtype(kind).itemsize)
+    return np.cumsum(steps, dtype=np.uint64) + np.uint64(first), offsets.astype(np.int64) + low
+
+
+def _sketch(width: int, percent: int, buckets: int):
+    """Per batch: a row per document, edges within the batch, and each signature once, packed by ranges of signatures."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,11 +135,19 @@ def _sketch(width: int, percent: int):
             del first
             key, owner = signatures([sets[i] for i in chosen], percent)
             node = ids[np.array(chosen, np.int64)[owner]] if len(chosen) else owner
+            key = key.view(np.uint64)
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             at = _firsts(key)
             lead = at == np.arange(len(key))
-            yield _batch(key[lead], node[lead], node[lead], np.full(lead.sum(), SIGNATURE))
+            ranges = np.searchsorted(key[lead], (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
+            ranges = np.concatenate([[0], ranges, [lead.sum()]])
+            full = np.flatnonzero(np.diff(ranges))
+            packed = [_pack(key[lead][ranges[b] : ranges[b + 1]], node[lead][ranges[b] : ranges[b + 1]]) for b in full]
+            none = pa.nulls(len(full), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full), none, none, pa.array(np.full(len(full), SIGNATURE)), pa.array(packed, pa.binary())], names=_COLUMNS
+            )
             pairs = np.unique(np.stack([node[~lead], node[at[~lead]]]), axis=1)
             pairs = pairs[:, pairs[0] != pairs[1]]
             yield _batch(mixed(pairs[0].astype(np.uint64)).view(np.int64), pairs[0], pairs[1], np.full(pairs.shape[1], EDGE))
@@ -126,22 +156,28 @@ def _sketch(width: int, percent: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node: documents and edges pass; of a signature's rows, all point to the first."""
-    last_key, last_node = None, 0
+    """Rows sorted by key: documents and edges pass; of the rows of a signature in its bucket, all point to the smallest node."""
+    bucket, parts = None, []
+
+    def edges() -> Iterator[pa.RecordBatch]:
+        if len(parts) > 1:
+            key, node = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            lead = node[_firsts(key)]
+            pairs = np.unique(np.stack([node, lead])[:, node != lead], axis=1)
+            yield _batch(np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1], np.full(pairs.shape[1], EDGE))
+
     for batch in batches:
-        size = batch.column("size").to_numpy()
-        passing = size != SIGNATURE
+        passing = batch.column("size").to_numpy() != SIGNATURE
         yield batch.filter(pa.array(passing))
-        key = batch.column("key").to_numpy()[~passing]
-        if not len(key):
-            continue
-        node = batch.filter(pa.array(~passing)).column("node").to_numpy(zero_copy_only=False).astype(np.int64)
-        lead = node[_firsts(key)]
-        if key[0] == last_key:
-            lead[key == last_key] = last_node
-        last_key, last_node = key[-1], lead[-1]
-        pairs = np.unique(np.stack([node, lead])[:, node != lead], axis=1)
-        yield _batch(np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1], np.full(pairs.shape[1], EDGE))
+        rest = batch.filter(pa.array(~passing))
+        for key, packed in zip(rest.column("key").to_pylist(), rest.column("packed").to_pylist(), strict=True):
+            if key != bucket:
+                yield from edges()
+                bucket, parts = key, []
+            parts.append(packed)
+    yield from edges()
 
 
 class _Node:
@@ -249,29 +285,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90, id_colum
     if not 0 < percent <= 100 or not 0 < width < 32:
         raise ValueError("percent must be 1 to 100 and width 1 to 31")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
-    schema = "key long, node long, other long, size long"
-    rows = texts.mapInArrow(_sketch(width, percent), schema).repartition("key").sortWithinPartitions("key", "node")
-    met = materialize(rows.mapInArrow(_meet, schema), "met")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, math.ceil(chars / BUCKET_CHARS))
+    rows = texts.mapInArrow(_sketch(width, percent, buckets), SCHEMA).repartition("key").sortWithinPartitions("key")
+    met = materialize(rows.mapInArrow(_meet, SCHEMA).drop("packed"), "met")
     each = met.where("size >= 0").select(F.col("node").alias("id"), F.col("other").alias("stands"), F.col("size").alias("n_shingles"))
     candidates = met.where(f"size = {EDGE}").select(F.col("node").alias("u"), F.col("other").alias("v"))
     copies = each.where("id <> stands").select(F.col("id").alias("u"), F.col("stands").alias("v"))
-    verified = _verified(texts, each, candidates, width, percent)
-    found = materialize(components(verified.union(copies)), "components")
+    found = _linked_components(texts, each, candidates, copies, width, percent)
     return each.join(found, each["id"] == found["node"], "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
 
 
-def _verified(texts: DataFrame, each: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) that connect every component within the families of ``candidates``."""
+def _linked_components(
+    texts: DataFrame, each: DataFrame, candidates: DataFrame, copies: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """(node, component) under the links within the families of ``candidates``, and the links between equal sets, ``copies``."""
     families = components(candidates).withColumnRenamed("component", "family")
     sizes = each.groupBy(F.col("id").alias("node")).agg(F.max("n_shingles").alias("size"))
-    members = materialize(families.join(sizes, "node"), "members")
+    members, _ = saved(families.join(sizes, "node"), "members")
     totals = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     block = F.least(F.greatest(F.col("n") / 64, F.lit(BLOCK_SETS)), F.lit(MOST_BLOCK_SETS))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("long")
     placed = members.join(totals.select("family", blocks.alias("blocks")), "family")
-    placed = materialize(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
+    placed, _ = saved(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
+
+    # The members' texts are picked out once, for both rounds.
+    bodies = materialize(texts.join(placed.select(F.col("node").alias("id")), "id", "left_semi"), "bodies")
 
     def join_sets(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
@@ -280,7 +321,7 @@ def _verified(texts: DataFrame, each: DataFrame, candidates: DataFrame, width: i
 
     def joined(groups: DataFrame) -> DataFrame:
         """``groups``: node, family and the name of a group; all sets of a group meet in a tree."""
-        full = texts.join(groups, texts["id"] == groups["node"]).select("family", "part", "node", "text")
+        full = bodies.join(groups, bodies["id"] == groups["node"]).select("family", "part", "node", "text")
         return materialize(full.groupBy("family", "part").applyInPandas(join_sets, "u long, v long"), "links")
 
     # The hub block goes to every other block's group.
@@ -288,12 +329,12 @@ def _verified(texts: DataFrame, each: DataFrame, candidates: DataFrame, width: i
     hub = placed.withColumn("part", F.explode(others.otherwise(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("blocks") - 1, F.lit(1))))))
     links = joined(hub.select("node", "family", F.col("part").cast("string").alias("part")))
     large = placed.where("blocks > 1")
-    connected = components(links)
-    state = large.join(connected, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found, _ = saved(components(links.union(copies)), "components")
+    state = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_families = state.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("family")
-    state = materialize(state.join(open_families, "family").select("node", "family", "component", "size"), "open")
-    if state.isEmpty():
-        return links
+    state, (unconnected,) = saved(state.join(open_families, "family").select("node", "family", "component", "size"), "open")
+    if not unconnected:
+        return found
     # Blocks anew: large components in blocks of their own, which needn't meet each other; the rest pooled.
     counts = state.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     sized = counts.withColumn("alone", (F.col("n") >= BLOCK_SETS) | (F.col("s") >= BLOCK_SHINGLES))
@@ -318,4 +359,4 @@ def _verified(texts: DataFrame, each: DataFrame, candidates: DataFrame, width: i
     ends = pairs.select("family", part.alias("part"), F.explode(F.array_distinct(F.array("first", "second"))).alias("b"))
     own_block = F.struct(F.coalesce("pool", F.lit(-1)).alias("pool"), F.col("pool").isNull().alias("mixed"), "cut")
     groups = again.withColumn("b", own_block).join(ends, ["family", "b"]).select("node", "family", "part")
-    return links.union(joined(groups))
+    return components(joined(groups).union(found.select("node", "component")))
