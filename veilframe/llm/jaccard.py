@@ -1,8 +1,8 @@
 """Near duplicates: a prefix-tree join of shingle sets under a Jaccard threshold, and its components.
 
 Which sets meet: two sets of sizes a and b link only if they differ in at most ``(100 - p)(a + b) / (100 + p)`` shingles. So if the hash range is cut
-into more parts than that, at least one part is equal in both. Every set gives a signature per part; sets with a common signature form families.
-Signatures are compressed before the shuffle (each once per input batch, packed by ranges) and never paired: the rest point to the first.
+into more parts than that, at least one part is equal in both. Every set gives a signature per part; sets with a common signature form families,
+one for each first node of any of their signatures. Signatures are compressed before the shuffle (each once per input batch, packed by ranges) and never paired: the rest point to the first.
 
 Which sets link: a family's sets are put in one global order, frequent shingles first, and stored in a compressed prefix tree. Each set walks the
 tree before it enters it, sharing the overlap counted so far among all sets below a node, and leaves out subtrees that can't reach the
@@ -17,6 +17,7 @@ links. Rows without an id are returned with their set size and a null component.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from veilframe.llm.shingles import mixed, shingle_sets
 from veilframe.session import materialize
 
 BLOCK_SETS, MOST_BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 20
-EDGE, SIGNATURE = -1, -2
+EDGE, SIGNATURE, MET = -1, -2, -3
 #: Text characters per bucket of signatures: with one signature for every few characters, some hundred thousand in a bucket.
 BUCKET_CHARS = 4_000_000
 _COLUMNS = ["key", "node", "other", "size", "packed"]
@@ -166,7 +167,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, node = key[order], node[order]
             lead = node[_firsts(key)]
             pairs = np.unique(np.stack([node, lead])[:, node != lead], axis=1)
-            yield _batch(np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1], np.full(pairs.shape[1], EDGE))
+            yield _batch(np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1], np.full(pairs.shape[1], MET))
 
     for batch in batches:
         passing = batch.column("size").to_numpy() != SIGNATURE
@@ -180,6 +181,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from edges()
 
 
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in fewer bytes: a text goes to several families."""
+    for batch in batches:
+        bodies = [zlib.compress(t.encode(), 1) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary())], names=["id", "body"])
+
+
 class _Node:
     __slots__ = ("part", "children", "ends", "least", "most", "one")
 
@@ -290,19 +298,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90, id_colum
     rows = texts.mapInArrow(_sketch(width, percent, buckets), SCHEMA).repartition("key").sortWithinPartitions("key")
     met = materialize(rows.mapInArrow(_meet, SCHEMA).drop("packed"), "met")
     each = met.where("size >= 0").select(F.col("node").alias("id"), F.col("other").alias("stands"), F.col("size").alias("n_shingles"))
-    candidates = met.where(f"size = {EDGE}").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    pointing = lambda kind: met.where(f"size = {kind}").select("node", F.col("other").alias("family"))
+    # Whom a batch's first node points to, all that point to it in the batch point to as well.
+    near, far = pointing(EDGE), pointing(MET).distinct()
+    onward = near.alias("n").join(far.alias("f"), F.col("n.family") == F.col("f.node")).select("n.node", "f.family")
+    pointed = near.union(far).union(onward)
+    stars = pointed.union(pointed.select(F.col("family").alias("node"), "family")).distinct()
     copies = each.where("id <> stands").select(F.col("id").alias("u"), F.col("stands").alias("v"))
-    found = _linked_components(texts, each, candidates, copies, width, percent)
+    found = _linked_components(texts, each, stars, copies, width, percent)
     return each.join(found, each["id"] == found["node"], "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
 
 
 def _linked_components(
-    texts: DataFrame, each: DataFrame, candidates: DataFrame, copies: DataFrame, width: int, percent: int
+    texts: DataFrame, each: DataFrame, families: DataFrame, copies: DataFrame, width: int, percent: int
 ) -> DataFrame:
-    """(node, component) under the links within the families of ``candidates``, and the links between equal sets, ``copies``."""
-    families = components(candidates).withColumnRenamed("component", "family")
+    """(node, component) under the links within ``families`` (node, family), and the links between equal sets, ``copies``."""
     sizes = each.groupBy(F.col("id").alias("node")).agg(F.max("n_shingles").alias("size"))
     members, _ = saved(families.join(sizes, "node"), "members")
     totals = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
@@ -312,16 +324,17 @@ def _linked_components(
     placed, _ = saved(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
 
     # The members' texts are picked out once, for both rounds.
-    bodies = materialize(texts.join(placed.select(F.col("node").alias("id")), "id", "left_semi"), "bodies")
+    wanted = texts.join(placed.select(F.col("node").alias("id")), "id", "left_semi")
+    bodies = materialize(wanted.mapInArrow(_deflated, "id long, body binary"), "bodies")
 
     def join_sets(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
-        links = linked(rows["node"].tolist(), list(shingle_sets(rows["text"].tolist(), width)), percent)
+        links = linked(rows["node"].tolist(), list(shingle_sets([zlib.decompress(b).decode() for b in rows["body"]], width)), percent)
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     def joined(groups: DataFrame) -> DataFrame:
         """``groups``: node, family and the name of a group; all sets of a group meet in a tree."""
-        full = bodies.join(groups, bodies["id"] == groups["node"]).select("family", "part", "node", "text")
+        full = bodies.join(groups, bodies["id"] == groups["node"]).select("family", "part", "node", "body")
         return materialize(full.groupBy("family", "part").applyInPandas(join_sets, "u long, v long"), "links")
 
     # The hub block goes to every other block's group.
