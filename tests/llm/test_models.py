@@ -97,6 +97,17 @@ def test_additive_model_finds_pairs():
     assert np.allclose(model.score(x), 1 / (1 + np.exp(-total)))
 
 
+def test_quality_scores_do_not_drift_with_the_number_of_labels(spark):
+    """Four of five rows have label 1, and texts say nothing about it. With ten times the rows the sample is capped."""
+    means = []
+    for rows in (200, 2000):
+        table = spark.range(rows).selectExpr("id AS doc_id", "concat('some words ', id % 7) AS text", "IF(id % 5 = 0, 0, 1) AS quality").cache()
+        model = quality.train(table.select("doc_id", "text"), table.select("doc_id", "quality"), F.lit(True), per_class=160)
+        means.append((model.base, table.select(F.avg(quality.scored(F.col("text"), model))).first()[0]))
+    (small, small_mean), (large, large_mean) = means
+    assert large == pytest.approx(small, abs=0.02) and small_mean == pytest.approx(0.8, abs=0.03) and large_mean == pytest.approx(0.8, abs=0.03)
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame(
         [(1, 1, 0), (2, 0, 1), (2, 1, 0), (4, None, 0), (None, 1, 1), (99, 0, 0), (13, 5, 0), (8, 0, 0)], "doc_id long, quality int, toxic int"

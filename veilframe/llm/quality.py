@@ -5,8 +5,9 @@ features in turn; each round fits a shallow tree on one feature's bins and adds
 feature pairs that explain most of what is left get a table of their own, boosted the same way. A score
 is the sum of one table entry per feature and pair, put through the logistic function.
 
-The model is fitted on the driver from a bounded sample: at most ``per_class`` labelled rows of each label value. Scoring reads
-the texts' UTF-8 bytes in Arrow batches, whole.
+The model is fitted on the driver from a bounded sample: at most ``per_class`` labelled rows of each label value. Sampled rows weigh as many
+labelled rows as they stand for, so the labels' true shares set the prior, whatever the table's size. Scoring reads the texts' UTF-8
+bytes in Arrow batches, whole.
 
 Defined results: null texts count as empty; empty texts have a score too. Labels other than 0 and 1 are ignored; a
 document with several labels counts once for each. With labels of one value only, or none, every score is the smoothed share of
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import bounded_sample
+from veilframe.session import materialize
 
 #: Byte classes that are counted, as shares of a text's bytes unless said otherwise.
 CLASSES = {
@@ -123,10 +125,11 @@ def _shallow_tree(gradient: np.ndarray, weight: np.ndarray, leaves: int, least:
 
 def fit(
     x: np.ndarray, y: np.ndarray, bins: int = 32, pair_bins: int = 8, rounds: int = 60, pairs: int = 6, pair_rounds: int = 30,
-    rate: float = 0.15, leaves: int = 4, least: float = 2.0,
+    rate: float = 0.15, leaves: int = 4, least: float = 2.0, weights: np.ndarray | None = None,
 ) -> Additive:
-    """Cyclic boosting on the logistic loss. Deterministic."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    """Cyclic boosting on the logistic loss. Deterministic. ``weights``: per row, made to be one on average."""
+    mass = np.ones(len(y)) if weights is None or not len(y) else weights / weights.mean()
+    share = ((mass * y).sum() + 0.5) / (len(y) + 1)
     base, n = float(np.log(share / (1 - share))), x.shape[1]
     if len(np.unique(y)) < 2:
         return Additive(base, [np.empty(0)] * n, [np.zeros(1)] * n, [np.empty(0)] * n, [], [])
@@ -135,7 +138,7 @@ def fit(
     fine, coarse = model.bins(x, model.edges), model.bins(x, model.coarse)
     tables = [np.zeros(len(e) + 1) for e in model.edges]
     total = np.full(len(x), base)
-    residual = lambda: (y - (p := 1 / (1 + np.exp(-total))), p * (1 - p))
+    residual = lambda: (mass * (y - (p := 1 / (1 + np.exp(-total)))), mass * p * (1 - p))
     for _ in range(rounds):
         for f in range(n):
             r, w = residual()
@@ -170,13 +173,14 @@ def train(
     docs: DataFrame, labels: DataFrame, may_learn: Column, id_column: str = "doc_id", text_column: str = "text",
     label_column: str = "quality", per_class: int = 3000,
 ) -> Additive:
-    """Fit on at most ``per_class`` labelled rows of each label value, those with the smallest id hashes.
+    """Fit on at most ``per_class`` labelled rows of each label value, those with the smallest id hashes. Each weighs its label's rows over those sampled.
 
     ``may_learn``: a condition on ``labels`` that says which rows may be learned from.
     """
     usable = labels.where(may_learn & F.col(label_column).isin(0, 1)).select(id_column, F.col(label_column).cast("int").alias("label"))
     # 2 * per_class ids: bounded, so they can be broadcast and no text is shuffled.
-    chosen = bounded_sample(usable, "label", id_column, per_class)
+    chosen = materialize(bounded_sample(usable, "label", id_column, per_class), "sample")
+    there, taken = (dict(rows.groupBy("label").count().collect()) for rows in (usable, chosen))
     texts = docs.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), id_column)
 
@@ -189,7 +193,9 @@ def train(
     got = rows.select(F.col(id_column).cast("string").alias("id"), "label", "text").mapInArrow(measured, "id string, label int, x array<double>")
     data = got.orderBy("id", "label", "x").toArrow()
     x = np.array(data["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    return fit(x, data["label"].to_numpy().astype(float))
+    y = data["label"].to_numpy()
+    weights = np.array([there.get(v, 0) / max(1, taken.get(v, 0)) for v in (0, 1)])[y]
+    return fit(x, y.astype(float), weights=weights)
 
 
 def scored(text: Column, model: Additive) -> Column:
