@@ -4,7 +4,7 @@ from compare import connect, differences
 from conftest import SF
 from pyspark.sql import functions as F
 
-from veilframe.llm.mixing import mix, rake, sample
+from veilframe.llm.mixing import held_scale, mix, rake, sample
 from veilframe.llm.oracle import ORACLE
 from veilframe.llm.queries import QUERIES
 
@@ -36,6 +36,28 @@ def test_sample_has_the_wanted_shares(spark):
     assert 0.95 < counts["en"] / counts["de"] < 1.05 and abs(sum(counts.values()) / 12_000 - 1) < 0.05
 
 
+def test_one_tiny_cell_does_not_lower_the_held_share(spark):
+    docs = spark.range(20_000).selectExpr(
+        "id AS doc_id", "'one two three' AS text", "IF(id = 0, NULL, concat('s', id % 2)) AS source", "IF(id = 0, NULL, IF(id % 10 < 8, 'en', 'de')) AS lang"
+    )
+    options = {"fraction": 0.5, "rounds": 2}
+    assert mix(docs, **options).where("mixing.kept").count() < 2_000  # the one document of a source and language of its own sets the scale
+    most, share, kept = mix(docs, **options, hold=True).selectExpr(
+        "max(mixing.probability)", "sum(mixing.tokens * mixing.probability) / sum(mixing.tokens)", "count_if(mixing.kept)"
+    ).first()
+    assert most == 1 and share == pytest.approx(0.5, abs=1e-9) and kept == pytest.approx(10_000, rel=0.03)
+
+
+def test_held_scale(spark):
+    table = lambda *rows: spark.createDataFrame(rows, "tokens long, rate double").coalesce(1)
+    cells = table((1, 500.0), (9, 20.0), (90, 1.0), (900, 0.5))
+    for fraction in (0.01, 0.2, 0.5, 0.9, 1.0):
+        scale = held_scale(cells, fraction)
+        assert sum(r.tokens * min(1.0, r.rate * scale) for r in cells.collect()) == pytest.approx(fraction * 1000)
+    assert held_scale(table((10, 0.0), (10, 2.0)), 0.8) >= 0.5  # all that has a rate is kept
+    assert held_scale(table((10, 0.0)), 0.5) == held_scale(table((10, 0.0)).limit(0), 0.5) == 0
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = mix(odd_docs)
     assert got.columns == [*odd_docs.columns, "mixing"]

@@ -89,25 +89,49 @@ def rake(cells: DataFrame, targets: Targets | None = None, flatten: float = 0.7,
     return saved(rated(DIMENSIONS).select(*DIMENSIONS, "tokens", "rate"), "rates")[0]
 
 
+def held_scale(rates: DataFrame, fraction: float) -> float:
+    """The scale at which rates, capped at one, keep ``fraction`` of all tokens, or all that have a rate above zero if those are fewer.
+
+    What capped cells can't give goes to the others; each round caps more cells, until none is added.
+    """
+    tokens, mass = F.col("tokens").cast("double"), F.col("tokens") * F.col("rate")
+    scale, capped = 0.0, -1
+    while True:
+        full = F.col("rate") * scale >= 1
+        n, total, given, rest = rates.agg(
+            F.count_if(full), F.sum(tokens), F.sum(F.when(full, tokens).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(mass))
+        ).first()
+        if n == capped or not rest:
+            return scale
+        scale, capped = max(scale, (fraction * total - given) / rest), n
+
+
 def mix(
     docs: DataFrame, targets: Targets | None = None, fraction: float = 0.5, flatten: float = 0.7, rounds: int = 6, id_column: str = "doc_id",
     text_column: str = "text", source_column: str = "source", lang_column: str = "lang", topic: Column | None = None,
+    hold: bool = False,
 ) -> DataFrame:
     """``docs`` with a struct ``mixing``: topic, tokens, rate, probability, kept.
 
     ``fraction``: the share of all tokens to keep. It is lowered until the largest probability is one, so that none is clipped
-    and the sample meets the targets.
+    and the sample meets the targets; then the cell with the largest rate, however small, sets how much of everything is kept. ``hold``: keep the
+    fraction instead, and cap single probabilities at one; capped cells then stay below their targets.
     """
     own = topic if topic is not None else topic_of(text_column)
     keys = {"source": _named(F.col(source_column)), "lang": _named(F.col(lang_column)), "topic": _named(own)}
     cells = docs.select(*[k.alias(d) for d, k in keys.items()], tokens_of(text_column).alias("tokens"))
     rates = rake(cells.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), targets, flatten, rounds)
-    most = rates.agg(F.max("rate")).first()[0] or 0.0
-    scale = min(fraction, 1.0 / most) if most > 0 else 0.0
+    if hold:
+        scale = held_scale(rates, fraction)
+    else:
+        most = rates.agg(F.max("rate")).first()[0] or 0.0
+        scale = min(fraction, 1.0 / most) if most > 0 else 0.0
     names = {d: fresh(docs, f"mixing_{d}") for d in DIMENSIONS}
     small = rates.select(*[F.col(d).alias(names[d]) for d in DIMENSIONS], F.col("rate").alias(fresh(docs, "mixing_rate")))
     joined = docs.withColumns({names[d]: k for d, k in keys.items()}).join(small, list(names.values()))
     probability = F.col(small.columns[-1]) * scale
+    if hold:
+        probability = F.least(F.lit(1.0), probability)
     struct = F.struct(
         own.alias("topic"),
         tokens_of(text_column).alias("tokens"),
