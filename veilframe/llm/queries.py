@@ -24,6 +24,7 @@ from veilframe.llm.langid import train as train_languages
 from veilframe.llm.mixing import mix
 from veilframe.llm.urls import ALLOW, BLOCK, judge
 from veilframe.llm.warc import archive, find_captures, read_records, url_key
+from veilframe.llm.whitening import whiten
 from veilframe.llm.quality import scored, train
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +122,12 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors of ``embeddings``, whitened; a deviation that no long holds is null."""
+    found = whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_neighbours": neighbours,
     "op2_language_id": language,
@@ -132,4 +139,5 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard": jaccard,
     "op9_urls": urls,
     "op10_warc": warc,
+    "op11_whitening": whitening,
 }
