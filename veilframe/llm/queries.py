@@ -17,12 +17,14 @@ from veilframe.llm.bpe import Tokenizer, map_encoded, texts_of
 from veilframe.llm.classlm import score as score_texts
 from veilframe.llm.classlm import train as train_classes
 from veilframe.llm.common import held_out, learnable
+from veilframe.llm.decontaminate import contamination, hit_words
 from veilframe.llm.dedup import duplicate_groups
 from veilframe.llm.jaccard import near_duplicates
 from veilframe.llm.langid import predicted
 from veilframe.llm.langid import train as train_languages
 from veilframe.llm.mixing import mix
 from veilframe.llm.urls import ALLOW, BLOCK, judge
+from veilframe.llm.variants import misspelled, runs, variants, vocabulary
 from veilframe.llm.warc import archive, find_captures, read_records, url_key
 from veilframe.llm.whitening import whiten
 from veilframe.llm.quality import scored, train
@@ -128,6 +130,21 @@ def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every text of ``documents`` that windows of ``benchmark`` cover, and the items that have them."""
+    found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants among the frequent words of ``documents``; one of 199 words per document loses a letter first."""
+    found = runs(table(spark, sf_dir, "documents"))
+    return variants(vocabulary(found.select(misspelled(found, 199).alias("word")), 6, 5))
+
+
 QUERIES: dict[str, Query] = {
     "op1_neighbours": neighbours,
     "op2_language_id": language,
@@ -140,4 +157,6 @@ QUERIES: dict[str, Query] = {
     "op9_urls": urls,
     "op10_warc": warc,
     "op11_whitening": whitening,
+    "op12_decontamination": decontamination,
+    "op13_variants": spelling,
 }
