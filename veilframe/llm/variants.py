@@ -91,8 +91,8 @@ def grams(words: DataFrame) -> DataFrame:
 
 
 def _sides(place: Column) -> list[Column]:
-    """What an edit beside the bigram at ``place`` leaves as it is: all up to the bigram's end, or all from its start on."""
-    return [F.concat(F.lit("<"), F.substr("word", F.lit(1), place + 2)), F.concat(F.lit(">"), F.substr("word", place + 1))]
+    """Hashes of what an edit beside the bigram at ``place`` leaves as it is: all up to the bigram's end, or all from its start on."""
+    return [F.xxhash64(F.lit("<"), F.substr("word", F.lit(1), place + 2)), F.xxhash64(F.lit(">"), F.substr("word", place + 1))]
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
