@@ -9,6 +9,7 @@ from veilframe.operators.detect import detect
 from veilframe.operators.ids import build_mapping
 from veilframe.operators.kanon import equivalence_classes, k_histogram, k_report, workbook_k
 from veilframe.operators.preview import preview, preview_meta
+from veilframe.operators.registry import Registry
 from veilframe.plans.columns import plan_catalog
 from veilframe.plans.rules import DEFAULT_RULES, Rule, RuleSet
 from veilframe.sources.sheets import Sheet, Workbook
@@ -18,6 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __all__ = [
     "DEFAULT_RULES",
+    "Registry",
     "Rule",
     "RuleSet",
     "Sheet",

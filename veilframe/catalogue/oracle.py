@@ -359,6 +359,17 @@ Q["q27_registry_stats"] = with_(SHEETS) + _REGISTRY + """
 SELECT CAST(sum(n_rows) AS BIGINT) AS "rowsProcessed", CAST(sum(n_rows) - count(*) AS BIGINT) AS "duplicatesRemoved", 0 AS "invalidDobCount",
        CAST(sum(missing) AS BIGINT) AS "missingNhiCount", 0 AS "redactedCellCount" FROM merged
 """
+_GROWN = """
+old AS (SELECT k, row_number() OVER (ORDER BY min(pos)) AS number, 1 AS version FROM (SELECT pos, trim("NHI") AS k FROM visits) GROUP BY k HAVING k <> ''),
+new AS (SELECT k, (SELECT max(number) FROM old) + row_number() OVER (ORDER BY min(pos)) AS number, 2 AS version
+        FROM (SELECT pos, trim("NHI") AS k FROM people) WHERE k <> '' AND k NOT IN (SELECT k FROM old) GROUP BY k),
+ids AS (SELECT k, printf('ID-%03d', number) AS id, number, version FROM (SELECT * FROM old UNION ALL SELECT * FROM new))
+"""
+Q["q29_registry_growth"] = with_(SHEETS, _GROWN) + "SELECT k AS key, id, number, CAST(version AS BIGINT) AS version FROM ids"
+Q["q29_registry_growth_rows"] = with_(SHEETS, PEOPLE_KEYED, _GROWN) + """
+SELECT pos, "Name", coalesce(id, '') AS "ID", "Age", "Postcode", "Gender", "Balance" FROM people_keyed LEFT JOIN ids USING (k)
+"""
+
 Q["q28_ingest_outcomes"] = """
 WITH f AS (SELECT c_custkey // 10 AS n, count(*) AS c FROM customer GROUP BY ALL)
 SELECT 'file-' || lpad(CAST(n AS VARCHAR), 12, '0') || CASE n % 5 WHEN 1 THEN '.XLSX' WHEN 2 THEN '.xls' WHEN 4 THEN '.Xlsx' ELSE '.xlsx' END AS path,

@@ -15,6 +15,7 @@ from veilframe.operators.clean import CleanWorkbook, clean_sheet, clean_workbook
 from veilframe.operators.detect import PATTERNS, Detection, detect, first_values
 from veilframe.operators.kanon import equivalence_classes, k_histogram, k_report, workbook_k, workbook_reports
 from veilframe.operators.preview import preview, preview_meta
+from veilframe.operators.registry import Registry
 from veilframe.operators.stats import workbook_summary
 from veilframe.operators.throttle import throttle_audit
 from veilframe.plans.columns import plan_catalog
@@ -356,6 +357,25 @@ def registry_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _registry_clean(spark, sf).stats
 
 
+def _grown(spark: SparkSession, sf: str) -> tuple[Registry, CleanWorkbook]:
+    """Two runs over one registry: all visits, then all people, most of whom the first run has met."""
+    registry = Registry(spark, scratch_path(spark, "registry"))
+    clean_workbook(Workbook([fx.visits_undated(spark, sf)]), mapping=registry, as_of=fx.AS_OF).commit_ids()
+    second = clean_workbook(Workbook([fx.people(spark, sf)]), mapping=registry, as_of=fx.AS_OF)
+    second.commit_ids()
+    return registry, second
+
+
+def registry_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry after both runs: old numbers stay, new people follow them."""
+    return _grown(spark, sf)[0].read()
+
+
+def registry_growth_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The second run's rows."""
+    return _grown(spark, sf)[1]["people"].positioned.withColumnRenamed(POSITION, "pos")
+
+
 def _keyless(events: DataFrame) -> DataFrame:
     return events.withColumn("user_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")))
 
@@ -435,6 +455,8 @@ QUERIES: dict[str, Query] = {
     "q27_registry_rows": registry_rows,
     "q27_registry_stats": registry_stats,
     "q28_ingest_outcomes": ingest_outcomes,
+    "q29_registry_growth": registry_growth,
+    "q29_registry_growth_rows": registry_growth_rows,
 }
 
 __all__ = ["QUERIES"]

@@ -30,6 +30,7 @@ from veilframe.functions.dates import age_years, to_date
 from veilframe.functions.text import all_blank, id_key, is_blank, is_text
 from veilframe.operators.ids import KeyColumn, as_mapping, attach_ids, build_mapping, with_uses
 from veilframe.operators.lookup import Table
+from veilframe.operators.registry import Growth, Registry
 from veilframe.plans.columns import ColumnPlan, plan_tables
 from veilframe.plans.rules import DEFAULT_RULES, RuleSet
 from veilframe.session import materialize
@@ -264,16 +265,18 @@ def _key_columns(sheet: Sheet, sheet_idx: int, plan: list[ColumnPlan], options:
 
 
 def _mapping_for(
-    sheets: list[Sheet], plans: list[list[ColumnPlan]], options: Options, given: Table | DataFrame | None
+    sheets: list[Sheet], plans: list[list[ColumnPlan]], options: Options, given: Table | DataFrame | Registry | None
 ) -> Callable[[], Table]:
     """The shared mapping, built or measured on first use and once only.
 
-    Without a given mapping, missing row order is reported right away.
+    Without a given mapping, or with a registry that grows, missing row order is reported right away.
     """
-    columns = []
+    columns, numbers = [], given is None or isinstance(given, Registry)
     for i, (sheet, plan) in enumerate(zip(sheets, plans)):
-        if given is None or sheet.pos is not None:
+        if numbers or sheet.pos is not None:
             columns += _key_columns(sheet, i, plan, options)
+    if isinstance(given, Registry):
+        return cache(lambda: given.grow(columns))
     if given is not None:
         return cache(lambda: with_uses(as_mapping(given), columns))
     if columns:
@@ -285,10 +288,10 @@ def _mapping_for(
 def clean_sheet(
     sheet: Sheet | DataFrame,
     rules: RuleSet = DEFAULT_RULES,
-    mapping: Table | DataFrame | None = None,
+    mapping: Table | DataFrame | Registry | None = None,
     **options,
 ) -> CleanSheet:
-    """Clean one sheet with the given rules and, if it anonymizes, its own or the given mapping."""
+    """Clean one sheet with the given rules and, if it anonymizes, its own mapping, a given one, or one that grows."""
     if isinstance(sheet, DataFrame):
         sheet = Sheet("sheet", sheet, POSITION if POSITION in sheet.columns else None)
     return clean_workbook(Workbook([sheet]), rules, mapping, **options)[sheet.name]
@@ -297,9 +300,10 @@ def clean_sheet(
 class CleanWorkbook:
     """Cleaned sheets in workbook order."""
 
-    def __init__(self, sheets: list[CleanSheet], find_mapping: Callable[[], Table]):
+    def __init__(self, sheets: list[CleanSheet], find_mapping: Callable[[], Table], registry: Registry | None = None):
         self.sheets = sheets
         self.find_mapping = find_mapping
+        self.registry = registry
 
     @property
     def mapping(self) -> Table:
@@ -310,7 +314,12 @@ class CleanWorkbook:
         find = self.find_mapping
         if getattr(find, "__wrapped__", None) is not None and not find.cache_info().currsize:
             find = cache(find.__wrapped__)
-        return CleanWorkbook([replace(s, find_mapping=find) for s in self.sheets], find)
+        return CleanWorkbook([replace(s, find_mapping=find) for s in self.sheets], find, self.registry)
+
+    def commit_ids(self) -> int | None:
+        """Make the ids that this run has given to new people permanent in its registry, and return the registry's version."""
+        mapping = self.mapping if self.registry is not None else None
+        return mapping.commit() if isinstance(mapping, Growth) else None
 
     def __iter__(self) -> Iterator[CleanSheet]:
         return iter(self.sheets)
@@ -325,10 +334,14 @@ class CleanWorkbook:
 def clean_workbook(
     workbook: Workbook,
     rules: RuleSet = DEFAULT_RULES,
-    mapping: Table | DataFrame | None = None,
+    mapping: Table | DataFrame | Registry | None = None,
     **options,
 ) -> CleanWorkbook:
-    """Clean every sheet; one mapping over all sheets keeps a person's id the same everywhere."""
+    """Clean every sheet; one mapping over all sheets keeps a person's id the same everywhere.
+
+    ``mapping``: none (ids are numbered in this run), a frame or table of ``key, id`` (unknown keys get the empty id), or a
+    ``Registry`` (unknown keys get its next numbers, which ``commit_ids`` makes permanent).
+    """
     opts = Options(**options)
     sheets = list(workbook)
     if not sheets:
@@ -340,8 +353,9 @@ def clean_workbook(
         grouped = group_rows(*project(sheet, plan, opts))
         # Ids of a first sheet depend on earlier rows only, so a prefix of it numbers itself.
         own_ids = i == 0 and mapping is None
-        cleaned.append(CleanSheet(sheet, plan, grouped, find_mapping, opts, own_ids, given=mapping is not None))
-    return CleanWorkbook(cleaned, find_mapping)
+        given = mapping is not None and not isinstance(mapping, Registry)  # a grown registry knows all keys and is one to one
+        cleaned.append(CleanSheet(sheet, plan, grouped, find_mapping, opts, own_ids, given))
+    return CleanWorkbook(cleaned, find_mapping, mapping if isinstance(mapping, Registry) else None)
 
 
 __all__ = ["COUNTERS", "CleanSheet", "CleanWorkbook", "Options", "OrderError", "clean_sheet", "clean_workbook", "today"]

@@ -98,6 +98,8 @@ def write_outputs(
     ]
     with scratch(spark):
         own = book.copy()
+        # Before any sheet: ids that are seen outside must never be given to someone else.
+        own.commit_ids()
         for sheet, folder in zip(own, folders):
             write_csv(sheet.persist_rows(), f"{path}/{folder}")
         # The manifest comes last: a run without one is incomplete.
