@@ -104,3 +104,36 @@ def test_samples_of_sparse_columns_are_exact(spark):
 def test_no_quasi_columns_means_no_threshold(sheet):
     rules = detect(sheet("Email string", [("a@b.co",)])).rules
     assert rules.min_k is None and rules.quasi_identifiers == ()
+
+
+def test_sparse_columns_share_one_scan(spark, tmp_path):
+    """Fifty columns that the first rows don't fill: one bounded read and one read of the whole sheet, exact values."""
+    every = {c: 700 + 13 * c for c in range(50)}
+    columns = [F.when(F.col("id") % every[c] == 0, F.concat(F.lit(f"v{c}-"), "id")).alias(f"sparse{c}") for c in range(50)]
+    spark.range(20_000).select(F.col("id").alias("_pos"), *columns).repartition(6).write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    found = first_values([Sheet("s", frame, "_pos")], 5)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+    got = {(r["col_idx"], r["rank"]): r["value"] for r in found.collect()}
+    assert got == {(c, i + 1): f"v{c}-{i * every[c]}" for c in range(50) for i in range(5)}
+
+
+def test_full_scan_sees_late_values_and_reads_samples_on_request_only(spark):
+    late = F.when(F.col("id") < 1500, F.lit("note")).otherwise(F.concat(F.lit("u"), "id", F.lit("@x.org")))
+    frame = spark.range(20_000).select(F.col("id").alias("_pos"), late.alias("Remark"), (F.col("id") % 2 == 0).alias("Age"))
+    sheet = Sheet("s", frame, "_pos")
+    assert detect(sheet).report().where("header = 'Remark'").first().best_type is None
+    found = detect(sheet, None)
+    report = {r.header: r for r in found.report(include_samples=True).collect()}
+    assert (report["Remark"].best_type, report["Remark"].sample_size, report["Remark"].sample_values) == ("email", 20_000, ["note"] * 3)
+    # A column of booleans: every value passes, none twice.
+    assert report["Age"].detections[0].evidence.valueRate == 1.0
+    assert "Window" not in found.report()._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.target, r.action) for r in found.rules.rules][:1] == [("Remark", "redact")]
+
+
+def test_full_scan_without_an_order(spark):
+    found = detect(Sheet("s", spark.createDataFrame([("a@b.co", None)], "Mail string, never string")), None)
+    assert [(r.header, r.sample_size, r.sample_values) for r in found.report(include_samples=True).orderBy("col_idx").collect()] == [
+        ("Mail", 1, []), ("never", 0, []),
+    ]

@@ -310,6 +310,52 @@ r AS (SELECT *, CASE WHEN page_id % 5 > 2 THEN 'unsupported file type' WHEN leng
 SELECT *, reason IS NULL AS accepted FROM r
 """
 
+FULL_PARTS = (SHEETS, DETECT, _rates("ranked"), SCORED)
+Q["q20_full_report"] = with_(*FULL_PARTS) + """
+SELECT CAST(c.sheet_idx AS INTEGER) AS sheet_idx, c.sheet, CAST(c.col_idx AS INTEGER) AS col_idx, c.header, w.sample_size,
+  coalesce(s.sample_values, '') AS sample_values, o.rank, o.type, o.severity, o.confidence, o.hit AS header_hit, round(o.rate, 6) AS value_rate,
+  b.type AS best_type, b.severity AS best_severity, b.confidence AS best_confidence, b.action, b.output_name, b.replace_with
+FROM catalog c JOIN wide w USING (sheet_idx, col_idx) LEFT JOIN (SELECT * FROM ordered WHERE rank <= 3) o USING (sheet_idx, col_idx)
+LEFT JOIN (SELECT * FROM ordered WHERE rank = 1) b USING (sheet_idx, col_idx)
+LEFT JOIN (SELECT sheet_idx, col_idx, string_agg(value, '|' ORDER BY rank) AS sample_values FROM ranked WHERE rank <= 3 GROUP BY ALL) s USING (sheet_idx, col_idx)
+"""
+Q["q21_full_rule_set"] = with_(*FULL_PARTS, FIRST) + """
+, listed AS (SELECT 0 AS block, place, 'rule' AS part, 'equals' AS match, header AS target, action, output_name, replace_with FROM rules
+  UNION ALL SELECT 1, 0, 'rule', 'empty', 'True', 'drop', NULL, NULL UNION ALL SELECT 2, 0, 'rule', 'startsWith', 'column', 'drop', NULL, NULL
+  UNION ALL SELECT 3, place, 'quasi', NULL, header, NULL, NULL, NULL FROM quasi
+  UNION ALL SELECT 4, 0, 'minK', NULL, '5', NULL, NULL, NULL WHERE EXISTS (FROM quasi))
+SELECT CAST(row_number() OVER (ORDER BY block, place) - 1 AS INTEGER) AS idx, part, match, target, action, output_name, replace_with FROM listed
+"""
+
+
+def _cell(value: str) -> str:
+    return f"coalesce(CAST({value} AS VARCHAR), '')"
+
+
+def _row(*cells: str) -> str:
+    return "concat_ws('|', " + ", ".join(map(_cell, cells)) + ")"
+
+
+# What the suggested rules make of each sheet. NHI, Ref and Patient_ID share one mapping.
+_MONEY = 'CAST({} AS DECIMAL(18, 4))'
+Q["q23_detect_then_clean_workbook"] = with_(SHEETS, f"contacts AS ({fx.CONTACTS})", f"""
+keys AS (SELECT 0 AS s, pos, 1 AS c, {_key('"NHI"')} AS k FROM people UNION ALL SELECT 1, pos, 0, {_key('"NHI"')} FROM visits
+         UNION ALL SELECT 3, pos, 4, {_key('"Ref"')} FROM contacts UNION ALL SELECT 3, pos, 5, {_key('"Patient_ID"')} FROM contacts),
+ids AS (SELECT k, printf('ID-%03d', row_number() OVER (ORDER BY min((s, pos, c)))) AS id FROM keys WHERE k IS NOT NULL GROUP BY k),
+out AS (
+  SELECT 'people' AS sheet, 'Name|ID|Age|Contact|Postcode|Gender|Balance' AS headers, pos,
+    {_row("'<name>'", "id", _age(BORN), "'<phone>'", '"Postcode"', '"Gender"', _MONEY.format('"Balance"'))} AS row
+  FROM people LEFT JOIN ids ON k = {_key('"NHI"')}
+  UNION ALL SELECT 'visits', 'ID|AdmissionDate|Status|Priority|Contact', pos,
+    {_row("id", '"AdmissionDate"', '"Status"', '"Priority"', "'<phone>'")} FROM visits LEFT JOIN ids ON k = {_key('"NHI"')}
+  UNION ALL SELECT 'measures', 'Kind|Score|Notes', pos, {_row('"Kind"', _MONEY.format('"Score"'), '"Notes"')} FROM measures
+    WHERE NOT (coalesce("Kind", '') = '' AND "Score" IS NULL AND coalesce("Notes", '') = '')
+  UNION ALL SELECT 'contacts', 'Email|Member|card_number|Mobile|ID|PatientID|Host|Age|Zip|Age|Sex|Due|rating|Shipment|Rare', pos,
+    {_row("'<email>'", "'<ssn>'", "'<cc>'", "'<phone>'", "r.id", "p.id", "'<ip>'", _age('"Birth Date"'), "'<ip>'", '"Age"', '"Sex"', '"Due"', "'<ssn>'", "'<ip>'", "'<email>'")}
+  FROM (SELECT * REPLACE (CASE WHEN "Birth Date" LIKE '12/%' THEN DATE '1980-12-05' END AS "Birth Date") FROM contacts)
+  LEFT JOIN ids r ON r.k = {_key('"Ref"')} LEFT JOIN ids p ON p.k = {_key('"Patient_ID"')})
+""") + "SELECT sheet, min(pos) AS pos, headers, row FROM out GROUP BY sheet, headers, row"
+
 # Expected suggestion for people: name, dob and contact redacted or aged, address dropped, NHI anonymized.
 Q["q23_detect_then_clean"] = with_(SHEETS, PEOPLE_ALONE, f"""
 r AS (SELECT DISTINCT {_key('"NHI"')} AS k, {_age(BORN)} AS "Age", "Postcode", "Gender", "Balance" FROM people)""") + """

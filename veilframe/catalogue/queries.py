@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,8 +249,46 @@ def best_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return _detection(spark, sf).report().drop("detections")
 
 
+def full_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The complete report of a scan of all values: a row per column and leading detection, with sample values and suggestion."""
+    report = _detection(spark, sf, None).report(include_samples=True)
+    flat = report.select("*", F.posexplode_outer("detections").alias("at", "d")).drop("detections")
+    return flat.select(
+        "sheet_idx", "sheet", "col_idx", "header", "sample_size", F.array_join("sample_values", "|").alias("sample_values"),
+        (F.col("at") + 1).alias("rank"), "d.type", "d.severity", "d.confidence", F.col("d.evidence.headerHit").alias("header_hit"),
+        F.round("d.evidence.valueRate", 6).alias("value_rate"),
+        "best_type", "best_severity", "best_confidence", "action", "output_name", "replace_with",
+    )
+
+
+def _rule_rows(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    """A rule set as a table: its rules in order, then the quasi-identifiers and the threshold of its k block."""
+    rows = [("rule", r.kind, str(r.target), r.action, r.output_name, r.replace_with) for r in rules.rules]
+    rows += [("quasi", None, q, None, None, None) for q in rules.quasi_identifiers]
+    rows += [("minK", None, str(rules.min_k), None, None, None)] if rules.min_k is not None else []
+    columns = "idx int, part string, match string, target string, action string, output_name string, replace_with string"
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], columns)
+
+
+def full_rule_set(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole rule set suggested by all values: suggestions, the two closing rules, and the k block."""
+    return _rule_rows(spark, _detection(spark, sf, None).rules)
+
+
+def detect_then_clean_workbook(spark: SparkSession, sf: str) -> DataFrame:
+    """Four sheets cleaned by the rules that all their values suggest, one mapping for all: every row as text."""
+    book = detection_workbook(spark, sf)
+    parts = []
+    for sheet in clean_workbook(book, detect(book, None).rules, as_of=fx.AS_OF):
+        rows = sheet.positioned.toDF(POSITION, *[f"o{i}" for i in range(len(sheet.columns))])
+        cells = [F.col(c).cast("decimal(18,4)") if t == "double" else F.col(c) for c, t in rows.dtypes[1:]]
+        text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells])
+        parts.append(rows.select(F.lit(sheet.name).alias("sheet"), F.col(POSITION).alias("pos"), F.lit("|".join(sheet.columns)).alias("headers"), text.alias("row")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def suggested_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """The suggested rules in order, the two closing rules and the quasi-identifiers included."""
+    """The suggested rules and the quasi-identifiers, each with the place that decides its order."""
     rules = _detection(spark, sf)
     found = rules.suggested.select("place", F.lit("equals").alias("match"), F.col("header").alias("target"), "action", "output_name", "replace_with")
     quasi = rules.quasi_headers.select("place", F.lit("quasi").alias("match"), F.col("header").alias("target"))
@@ -439,11 +478,14 @@ QUERIES: dict[str, Query] = {
     "q18_match_rates_full": match_rates_full,
     "q19_candidates": candidates,
     "q20_best_candidates": best_candidates,
+    "q20_full_report": full_report,
     "q21_suggested_rules": suggested_rules,
+    "q21_full_rule_set": full_rule_set,
     "q21_detection_summary": detection_summary,
     "q22_expired_runs": expired_runs,
     "q22_screened_inputs": screened_inputs,
     "q23_detect_then_clean": detect_then_clean,
+    "q23_detect_then_clean_workbook": detect_then_clean_workbook,
     "q23_workbook_files": workbook_files,
     "q24_stream_clean": stream_clean,
     "q25_stream_dedup": stream_dedup,

@@ -56,9 +56,9 @@ def _month_to_number(ymd: Column) -> Column:
     return F.concat(F.substring(ymd, 1, 5), month, F.substring(ymd, 9, 3))
 
 
-def parse_date(c: Column, day_first: bool = False) -> Column:
-    """Text to date, null when the text is outside the grammar."""
-    s = trim_ws(c)
+def parse_date(c: Column, day_first: bool = False, trimmed: Column | None = None) -> Column:
+    """Text to date, null when the text is outside the grammar. ``trimmed``: the trimmed text, if the caller has it already."""
+    s = trim_ws(c) if trimmed is None else trimmed
     month_first = _rewrite(s, _MONTH_DAY_YEAR)
     numeric = month_first.try_cast("date")
     if day_first:
@@ -97,11 +97,11 @@ def _plausible(year: Column) -> Column:
     return (year > YEAR_AFTER) & (year < YEAR_BEFORE)
 
 
-def looks_like_date(c: Column) -> Column:
+def looks_like_date(c: Column, trimmed: Column | None = None) -> Column:
     """Shape test on text: ISO prefix, slash or dash form, else the grammar plus a 4-digit run."""
     iso_year = F.substring(c, 1, 4).try_cast("int")
     last_part = F.regexp_extract(c, r"(\d+)\z", 1)
-    general = c.rlike(_DATE_LIKE) & c.rlike(r"\d{4}") & _plausible(F.year(parse_date(c)))
+    general = c.rlike(_DATE_LIKE) & c.rlike(r"\d{4}") & _plausible(F.year(parse_date(c, trimmed=trimmed)))
     return F.coalesce(
         F.when(~c.rlike("[0-9]"), F.lit(False))
         .when(c.rlike(ISO_PREFIX), _plausible(iso_year))

@@ -12,9 +12,12 @@ _DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
 _RADIX = {"x": (16, "[0-9a-f]"), "o": (8, "[0-7]"), "b": (2, "[01]")}
 
 
-def text_to_number(c: Column) -> Column:
-    """Text to double under script number rules: white space is 0, 0x/0o/0b literals count."""
-    s = F.lower(trim_ws(c))
+def text_to_number(c: Column, trimmed: Column | None = None) -> Column:
+    """Text to double under script number rules: white space is 0, 0x/0o/0b literals count.
+
+    ``trimmed`` is the text without white space around it, if the caller has it already.
+    """
+    s = F.lower(trim_ws(c) if trimmed is None else trimmed)
     number = F.when(s == "", F.lit(0.0)).when(s.rlike(_DECIMAL), s.try_cast("double"))
     prefixed = F.lit(None).cast("double")
     for letter, (base, digit) in _RADIX.items():

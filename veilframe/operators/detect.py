@@ -6,10 +6,12 @@ columns with patterns. Samples are raw identifiers, so reports leave them out un
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,28 +42,28 @@ class Pattern:
     regex: str | None = None
     lengths: tuple[int, int] = (0, UNBOUNDED)  # lengths the regex can match; a cheap exact pre-test
     needs: str | None = None  # text that every match contains; another one
-    predicate: Callable[[], Column] | None = None
+    predicate: Callable[[Callable[[str], Column]], Column] | None = None
     is_date: bool = False
     header_required: bool = False
     header_only: bool = False
     weight: float | None = None
     suggested: tuple[str, str | None, str | None] | None = None  # action, output name, replacement
 
-    def value_hit(self) -> Column | None:
-        """Does one sampled value satisfy the pattern? None when it has no value test.
+    def value_hit(self, of: Callable[[str], Column] = F.col) -> Column | None:
+        """Does one value satisfy the pattern? None when it has no value test.
 
-        Reads the columns that ``measure`` adds, so that each is computed once per value.
+        ``of`` gives what ``measure`` knows of the value, each computed once per value.
         """
         tests = []
         if self.regex is not None:
-            test = F.col("is_text") & F.col("chars").between(*self.lengths)
+            test = of("is_text") & of("chars").between(*self.lengths)
             if self.needs is not None:
-                test = test & F.col("value").contains(self.needs)
-            tests.append(test & F.col("value").rlike(self.regex))
+                test = test & of("value").contains(self.needs)
+            tests.append(test & of("value").rlike(self.regex))
         if self.predicate is not None:
-            tests.append(self.predicate())
+            tests.append(self.predicate(of))
         if self.is_date:
-            tests.append(F.col("dated"))
+            tests.append(of("dated"))
         return reduce(lambda a, b: a | b, tests) if tests else None
 
     def literal(self, idx: int) -> str:
@@ -81,16 +83,16 @@ def _quoted(text: str | None) -> str:
     return "CAST(NULL AS STRING)" if text is None else f"'{text}'"
 
 
-def _is_age() -> Column:
-    return F.col("is_boolean") | whole_number_between(F.col("number"), 0, 130)
+def _is_age(of: Callable[[str], Column]) -> Column:
+    return (of("is_boolean") & of("value").isNotNull()) | whole_number_between(of("number"), 0, 130)
 
 
 # Answers that make a gender column.
 GENDERS = ("m", "f", "male", "female", "x", "other", "nonbinary", "non-binary", "nb", "unknown", "prefer not to say")
 
 
-def _is_gender() -> Column:
-    return F.col("is_text") & F.lower(trim_ws(F.col("value"))).isin(*GENDERS)
+def _is_gender(of: Callable[[str], Column]) -> Column:
+    return of("is_text") & F.lower(of("trimmed")).isin(*GENDERS)
 
 
 _SPACE = r"\s" + WHITESPACE
@@ -193,13 +195,45 @@ def _stack_sheets(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.withColumn("sheet_idx", F.lit(i)) for i, p in enumerate(parts)])
 
 
+def _smallest(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For (position, column 0, column 1, ...): each column's ``n`` non-null values at the smallest positions of a partition."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Table] = {}
+        for batch in batches:
+            for c in range(1, batch.num_columns):
+                found = batch.column(c).is_valid()
+                if not found.true_count:
+                    continue
+                new = pa.table({"at": batch.column(0).filter(found), "value": batch.column(c).filter(found)})
+                new = new.take(pc.select_k_unstable(new, n, [("at", "ascending")]))
+                both = pa.concat_tables([held[c], new]) if c in held else new
+                held[c] = both.take(pc.select_k_unstable(both, n, [("at", "ascending")]))
+        for c, rows in held.items():
+            column = pa.array([c - 1] * len(rows), pa.int32())
+            yield from pa.table({POSITION: rows["at"], "place": column, "value": rows["value"]}).to_batches()
+
+    return walk
+
+
+def _first_of(frame: DataFrame, sheet: Sheet, columns: list[int], n: int) -> DataFrame:
+    """``(_pos, col_idx, value)`` of the first ``n`` values of some columns, from one scan.
+
+    Each task keeps ``n`` values a column, so no more than that leaves it, however many values a column has.
+    """
+    wide = frame.selectExpr(POSITION, *[f"{_as_text(f'c{c}', sheet.types[c])} AS c{c}" for c in columns])
+    some = wide.where(reduce(lambda a, b: a | b, [F.col(f"c{c}").isNotNull() for c in columns]))
+    found = some.mapInArrow(_smallest(n), f"{POSITION} long, place int, value string")
+    return found.select(POSITION, F.get(F.lit(columns), "place").cast("int").alias("col_idx"), "value")
+
+
 def first_values(sheets: list[Sheet], n: int = SAMPLE_SIZE) -> DataFrame:
     """``(sheet_idx, col_idx, rank, value)``: the first ``n`` non-blank values of every column in row order.
 
     Dense columns fill their sample within the first rows. So find the position that bounds those
     rows from the position column alone, and read only up to it (the bound reaches the scan as a
-    pushed filter). Columns still short of ``n`` get an exact second look: a bounded top-n of that
-    column. No partition ever sorts a whole column. All sheets share the two small probing jobs,
+    pushed filter). Columns still short of ``n`` get an exact second look, all of a sheet's in one
+    scan. No partition ever sorts a whole column. All sheets share the two small probing jobs,
     which bring two numbers per sheet and one per column to the driver.
     """
     for sheet in sheets:
@@ -221,75 +255,91 @@ def first_values(sheets: list[Sheet], n: int = SAMPLE_SIZE) -> DataFrame:
     ranked = []
     for i, sheet in enumerate(sheets):
         short = [c for c in columns[i] if i in longer and filled.get((i, c), 0) < n and _kind(sheet.types[c]) != OTHER]
-        parts = [near[i].where(~F.col("col_idx").isin(short)) if short else near[i]]
-        for c in short:
-            one = frames[i].select(POSITION, f"c{c}").where(f"NOT {blank_sql(f'c{c}', sheet.types[c])}")
-            parts.append(_cells(one.orderBy(POSITION).limit(n), sheet, [c]))
-        ranked.append(reduce(DataFrame.unionByName, parts))
+        found = near[i].where(~F.col("col_idx").isin(short)) if short else near[i]
+        ranked.append(found.unionByName(_first_of(frames[i], sheet, short, n)) if short else found)
     by_column = Window.partitionBy("sheet_idx", "col_idx").orderBy(POSITION)
     numbered = _stack_sheets(ranked).withColumn("rank", F.row_number().over(by_column))
     return numbered.where(F.col("rank") <= n).select("sheet_idx", "col_idx", "rank", "value")
 
 
-def sampled_values(workbook: Workbook, sample_size: int | None = SAMPLE_SIZE) -> DataFrame:
-    """``sheet_idx, col_idx, kind, value`` of the sampled cells, and their ``rank`` unless all are taken.
+def _columns_of(workbook: Workbook) -> list[tuple[int, int]]:
+    return [(i, c) for i, s in enumerate(workbook) for c in range(len(s.headers))]
 
-    Every column contributes one row without a value, so that columns without samples are reported
-    too. ``sample_size=None`` takes every value instead; the aggregate above it combines map-side.
+
+def _with_kind(values: DataFrame, sheets: list[Sheet]) -> DataFrame:
+    """Add the column's kind: one map from (sheet, column) to kind instead of a name per row."""
+    kinds = [F.lit([_kind(t) for t in s.types]) for s in sheets]
+    return values.withColumn("kind", F.get(F.get(F.array(*kinds), "sheet_idx"), "col_idx"))
+
+
+def sampled_values(workbook: Workbook, sample_size: int = SAMPLE_SIZE) -> DataFrame:
+    """``sheet_idx, col_idx, kind, value, rank`` of the sampled cells.
+
+    Every column contributes one row without a value, so that columns without samples are reported too.
     """
     sheets = list(workbook)
-    if sample_size is None:
-        parts = [_cells(s.positional(), s, list(range(len(s.headers)))) for s in sheets]
-        values = _stack_sheets([p.select("col_idx", "value") for p in parts])
-    else:
-        values = first_values(sheets, sample_size)
-    # One map from (sheet, column) to kind instead of a name per row.
-    kinds = [F.lit([_kind(t) for t in s.types]) for s in sheets]
-    kind = F.get(F.get(F.array(*kinds), "sheet_idx"), "col_idx")
-    catalog = [(i, c) for i, s in enumerate(sheets) for c in range(len(s.headers))]
-    columns = sheets[0].frame.sparkSession.createDataFrame(catalog, "sheet_idx int, col_idx int")
-    return values.unionByName(columns, allowMissingColumns=True).withColumn("kind", kind)
+    columns = sheets[0].frame.sparkSession.createDataFrame(_columns_of(workbook), "sheet_idx int, col_idx int")
+    return _with_kind(first_values(sheets, sample_size).unionByName(columns, allowMissingColumns=True), sheets)
 
 
 def measure(samples: DataFrame) -> DataFrame:
     """Add what several patterns ask of a value."""
     value, kind = F.col("value"), F.col("kind")
-    kinds = {"is_text": kind == TEXT, "is_number": kind == NUMBER, "is_boolean": kind == BOOLEAN}
-    number = F.when(F.col("is_text"), text_to_number(value)).when(F.col("is_number"), value.try_cast("double"))
+    kinds = {"is_text": kind == TEXT, "is_number": kind == NUMBER, "is_boolean": kind == BOOLEAN, "trimmed": trim_ws(value)}
+    trimmed = F.col("trimmed")
+    number = F.when(F.col("is_text"), text_to_number(value, trimmed)).when(F.col("is_number"), value.try_cast("double"))
     return samples.withColumns(kinds).withColumns(
-        {"chars": F.length(value), "dated": looks_like_date(value), "number": number}
+        {"chars": F.length(value), "dated": looks_like_date(value, trimmed), "number": number}
     )
 
 
-def match_rates(samples: DataFrame, workbook: Workbook) -> DataFrame:
-    """One row per column: sample size, first values, and ``rates`` in pattern order.
+def _shown() -> Column:
+    """The reported first values, in order."""
+    return F.sort_array(F.collect_list(F.when(F.col("rank") <= REPORTED_VALUES, F.struct("rank", "value"))))["value"]
+
+
+def _hits() -> list[Column]:
+    """A counter of the values that pass, for each pattern with a value test."""
+    tests = [(i, p.value_hit()) for i, p in enumerate(PATTERNS)]
+    return [F.count_if(t).alias(f"h{i}") for i, t in tests if t is not None]
+
+
+def sample_counts(samples: DataFrame) -> DataFrame:
+    """``sheet_idx, col_idx, sample_size, sample_values`` and the hits ``h<pattern>`` of every column's sample."""
+    by_column = measure(samples).groupBy("sheet_idx", "col_idx")
+    return by_column.agg(F.count("value").alias("sample_size"), _shown().alias("sample_values"), *_hits())
+
+
+def full_counts(workbook: Workbook) -> DataFrame:
+    """``sheet_idx, col_idx, sample_size`` and the hits ``h<pattern>`` over every value.
+
+    Cells are dealt out one by one inside the compiled scan stage, and counted there: a row per column leaves each task. So the tests
+    are compiled once, however many columns there are. A wide aggregate with a counter per column and pattern compiles them per column,
+    and testing a row's cells side by side in a lambda interprets them; both took twice as long on the same tables.
+    """
+    sheets = list(workbook)
+    cells = _stack_sheets([_cells(s.positional().drop(POSITION), s, list(range(len(s.headers)))) for s in sheets])
+    counted = measure(_with_kind(cells, sheets)).groupBy("sheet_idx", "col_idx").agg(F.count("value").alias("sample_size"), *_hits())
+    columns = sheets[0].frame.sparkSession.createDataFrame(_columns_of(workbook), "sheet_idx int, col_idx int")
+    # Columns without a value: one row each, by the few rows that are left.
+    return columns.join(counted, ["sheet_idx", "col_idx"], "left").withColumn("sample_size", F.coalesce("sample_size", F.lit(0).cast("long")))
+
+
+def match_rates(counts: DataFrame, workbook: Workbook) -> DataFrame:
+    """One row per column: sample size and ``rates`` in pattern order, and the sampled values if ``counts`` has them.
 
     A pattern without a value test has rate null; a column without samples has rate 0.
     """
-    measured = measure(samples)
-    tests = [p.value_hit() for p in PATTERNS]
-    hits = [F.count_if(t).alias(f"h{i}") for i, t in enumerate(tests) if t is not None]
-    if "rank" in samples.columns:
-        shown = [F.sort_array(F.collect_list(F.when(F.col("rank") <= REPORTED_VALUES, F.struct("rank", "value")))).alias("shown")]
-    else:
-        shown = []  # Counters alone keep the aggregate over every value in generated code.
-    counted = measured.groupBy("sheet_idx", "col_idx").agg(F.count("value").alias("sample_size"), *shown, *hits)
-    first = F.col("shown.value") if shown else F.array().cast("array<string>")
-    if not shown and all(s.pos is not None for s in workbook):
-        # The first values have their own small plan; columns without a value have none.
-        few = first_values(list(workbook), REPORTED_VALUES).groupBy("sheet_idx", "col_idx")
-        listed = few.agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("few"))
-        counted = counted.join(F.broadcast(listed), ["sheet_idx", "col_idx"], "left")
-        first = F.coalesce(F.col("few.value"), F.array().cast("array<string>"))
     n = F.col("sample_size")
     rates = [
-        F.lit(None).cast("double") if t is None else F.when(n > 0, F.col(f"h{i}") / n).otherwise(0.0)
-        for i, t in enumerate(tests)
+        F.lit(None).cast("double") if p.value_hit() is None else F.when(n > 0, F.col(f"h{i}") / n).otherwise(0.0)
+        for i, p in enumerate(PATTERNS)
     ]
     names = F.get(F.lit([s.name for s in workbook]), "sheet_idx")
     headers = F.get(F.get(F.array(*[F.lit(s.headers) for s in workbook]), "sheet_idx"), "col_idx")
     place = [F.col("sheet_idx"), names.alias("sheet"), F.col("col_idx"), headers.alias("header")]
-    return counted.select(*place, "sample_size", first.alias("sample_values"), F.array(*rates).alias("rates"))
+    shown = [c for c in ("sample_values",) if c in counts.columns]
+    return counts.select(*place, "sample_size", *shown, F.array(*rates).alias("rates"))
 
 
 # The confidence model. A pattern without a value test has rate 0 here.
@@ -325,14 +375,31 @@ def score(rates: DataFrame) -> DataFrame:
     return rates.withColumn("normal", normalize_header(F.col("header"))).withColumn("candidates", held).drop("normal")
 
 
+def _with_best(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("best", F.get("candidates", F.lit(0)))
+
+
 class Detection:
     """Lazy detection results for a workbook; ``rules`` runs the job."""
 
     def __init__(self, workbook: Workbook, sample_size: int | None):
-        self.samples = sampled_values(workbook, sample_size)
-        self.rates = match_rates(self.samples, workbook)
+        self.workbook, self.full = workbook, sample_size is None
+        counts = full_counts(workbook) if self.full else sample_counts(sampled_values(workbook, sample_size))
+        self.rates = match_rates(counts, workbook)
         self.scored = score(self.rates)
 
+    @property
+    def _with_samples(self) -> DataFrame:
+        """The scored columns with their first values. A full scan reads those here, and only if someone asks."""
+        if not self.full:
+            return self.scored
+        none = F.array().cast("array<string>")
+        if any(s.pos is None for s in self.workbook):
+            return self.scored.withColumn("sample_values", none)
+        few = first_values(list(self.workbook), REPORTED_VALUES)
+        listed = few.groupBy("sheet_idx", "col_idx").agg(_shown().alias("sample_values"))
+        return self.scored.join(listed, ["sheet_idx", "col_idx"], "left").withColumn("sample_values", F.coalesce("sample_values", none))
+
     @property
     def candidates(self) -> DataFrame:
         """Flat: one row per (column, applicable pattern) with rank and two-place confidence."""
@@ -345,7 +412,7 @@ class Detection:
 
     @property
     def _best(self) -> DataFrame:
-        return self.scored.withColumn("best", F.get("candidates", F.lit(0)))
+        return _with_best(self.scored)
 
     def report(self, include_samples: bool = False) -> DataFrame:
         """One row per column: the best candidate, its suggestion and the leading candidates."""
@@ -358,7 +425,8 @@ class Detection:
                 F.struct(c["header_hit"].alias("headerHit"), c["value_rate"].alias("valueRate")).alias("evidence"),
             ),
         )
-        return self._best.select(
+        found = _with_best(self._with_samples) if include_samples else self._best
+        return found.select(
             *_PLACE, "sample_size", *(["sample_values"] if include_samples else []),
             listed.alias("detections"),
             F.col("best.type").alias("best_type"), F.col("best.severity").alias("best_severity"),
@@ -410,7 +478,7 @@ class Detection:
 
 
 def detect(workbook: Workbook | Sheet, sample_size: int | None = SAMPLE_SIZE) -> Detection:
-    """Score every column of every sheet."""
+    """Score every column of every sheet by its first values, or with ``sample_size=None`` by all of them."""
     if isinstance(workbook, Sheet):
         workbook = Workbook([workbook])
     return Detection(workbook, sample_size)
