@@ -16,7 +16,7 @@ from veilframe.operators.stats import sheet_stats, workbook_summary
 from veilframe.sinks.outputs import read_runs, sheets_of, write_csv, write_outputs
 from veilframe.sinks.retention import expired, ttl_millis
 from veilframe.sources.screening import list_inputs, screen
-from veilframe.sources.sheets import OrderError, read_csv, read_csv_sheet, read_parquet_sheet
+from veilframe.sources.sheets import read_csv, read_csv_sheet, read_parquet_sheet
 from veilframe.sources.workbook_files import cells, read_workbook_rows, to_workbook
 
 
@@ -224,14 +224,12 @@ def test_rule_order_in_outputs(sheet):
     assert clean_sheet(Sheet("s", sheet("a int, b int", [(1, 2)]).frame, "_pos"), rules).rows.columns == ["b", "b"]
 
 
-def test_csv_sheets_have_an_order_or_say_why_not(spark, tmp_path):
+def test_csv_sheets_have_an_order(spark, tmp_path):
     folder = tmp_path / "csv"
     folder.mkdir()
     (folder / "a.csv").write_text("NHI,n\n" + "".join(f"k{i // 2},{i}\n" for i in range(40)))
-    for multiline in (True, False):
-        sheet = read_csv_sheet(spark, "s", str(folder), multiline=multiline)
-        assert ordered(clean_sheet(sheet)) == [(f"ID-{i // 2 + 1:03d}", str(i)) for i in range(40)]
+    sheet = read_csv_sheet(spark, "s", str(folder))
+    assert ordered(clean_sheet(sheet)) == [(f"ID-{i // 2 + 1:03d}", str(i)) for i in range(40)]
     (folder / "b.csv").write_text("NHI,n\nx,99\n")
-    with pytest.raises(OrderError, match="several files"):
-        read_csv_sheet(spark, "s", str(folder))
-    assert ordered(clean_sheet(read_csv_sheet(spark, "s", str(folder), pos="n")))[-1] == ("ID-021",)
+    for pos in (None, "n"):
+        assert ordered(clean_sheet(read_csv_sheet(spark, "s", str(folder), pos)))[-1][0] == "ID-021"

@@ -424,4 +424,9 @@ SELECT 'file-' || lpad(CAST(n AS VARCHAR), 12, '0') || CASE n % 5 WHEN 1 THEN '.
        CASE WHEN n % 5 < 2 THEN c + 1 ELSE 0 END AS rows FROM f
 """
 
+Q["q30_parquet_positions"] = "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders"
+Q["q30_csv_positions"] = """
+SELECT row_number() OVER (ORDER BY doc_id) AS n, CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM documents
+"""
+
 ORACLE = Q

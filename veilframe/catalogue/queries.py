@@ -15,6 +15,7 @@ from veilframe.functions.text import sanitize_name
 from veilframe.operators.clean import CleanWorkbook, clean_sheet, clean_workbook, drop_blank_rows
 from veilframe.operators.detect import PATTERNS, Detection, detect, first_values
 from veilframe.operators.kanon import equivalence_classes, k_histogram, k_report, workbook_k, workbook_reports
+from veilframe.operators.ordered import number_rows
 from veilframe.operators.preview import preview, preview_meta
 from veilframe.operators.registry import Registry
 from veilframe.operators.stats import workbook_summary
@@ -25,7 +26,7 @@ from veilframe.session import scratch_path
 from veilframe.sinks.outputs import read_runs, sheets_of, write_csv, write_outputs
 from veilframe.sinks.retention import expired
 from veilframe.sources.screening import screen
-from veilframe.sources.sheets import POSITION, Sheet, Workbook, read_csv
+from veilframe.sources.sheets import POSITION, Sheet, Workbook, read_csv, read_csv_sheet, read_parquet_sheet
 from veilframe.sources.workbook_files import outcomes, to_workbook, workbook_rows
 from veilframe.streaming.clean import clean_stream, dedup_stream
 from veilframe.streaming.run import run_available
@@ -415,6 +416,28 @@ def registry_growth_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _grown(spark, sf)[1]["people"].positioned.withColumnRenamed(POSITION, "pos")
 
 
+def parquet_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Visits in several files without a column that orders them: the derived position of every row."""
+    path = scratch_path(spark, "files")
+    fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey").repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return read_parquet_sheet(spark, "orders", path).frame.withColumnRenamed(POSITION, "pos")
+
+
+def csv_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as several CSV files full of quoted line breaks, read in splits of 64 KiB: the rows in order of their position."""
+    path = scratch_path(spark, "csv")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    # A session of its own, as the size of splits is a session's setting.
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    own.conf.set("spark.sql.files.openCostInBytes", "0")
+    sheet = read_csv_sheet(own, "documents", path)
+    return number_rows(sheet.frame, [POSITION], "numbered", "n").drop(POSITION)
+
+
 def _keyless(events: DataFrame) -> DataFrame:
     return events.withColumn("user_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")))
 
@@ -499,6 +522,8 @@ QUERIES: dict[str, Query] = {
     "q28_ingest_outcomes": ingest_outcomes,
     "q29_registry_growth": registry_growth,
     "q29_registry_growth_rows": registry_growth_rows,
+    "q30_parquet_positions": parquet_positions,
+    "q30_csv_positions": csv_positions,
 }
 
 __all__ = ["QUERIES"]

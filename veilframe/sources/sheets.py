@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.session import broadcast_limit
+from veilframe.sources.csv_records import read_split_csv
+
 POSITION = "_pos"
 
 
@@ -78,27 +82,33 @@ class Workbook:
 def read_parquet_sheet(spark: SparkSession, name: str, path: str, pos: str | None = None) -> Sheet:
     """A Parquet table as a sheet, ordered by its own column or else by (file, row in file).
 
-    The derived position is ``file rank * 2**40 + row``: unique, and the same on every retry
-    because it comes from the scan and not from the task that happens to run it.
+    The derived position counts rows over the files in order of their paths. It comes from the scan and not from the task that happens to
+    run it, so it is the same on every retry. Files' row counts come from their footers, by a scan without columns; rows
+    find their file's start by a hash of its path, and a file that wasn't there when rows were counted raises an error.
     """
     frame = spark.read.parquet(path)
     if pos is not None:
         return Sheet(name, frame, pos)
-    files = sorted(frame.inputFiles())
-    located = frame.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    if len(files) == 1:
-        located = located.withColumn(POSITION, F.col("_row"))
-    else:
-        ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_listed string, _rank long")
-        # inputFiles and _metadata may differ in URI form (file:/ and file:///), so compare paths only.
-        located = located.join(ranks, _path_only(F.col("_file")) == _path_only(F.col("_listed")), "left").withColumn(
-            POSITION, F.shiftleft(F.col("_rank"), 40) + F.col("_row")
-        )
-    return Sheet(name, located.select(*[F.col(f"`{c}`") for c in frame.columns], POSITION), POSITION)
-
-
-def _path_only(uri: Column) -> Column:
-    return F.regexp_replace(uri, "^[a-z0-9]+:/+", "/")
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    sizes = frame.select(file.alias("file"), row.alias("row")).groupBy("file").agg((F.max("row") + 1).alias("rows"))
+    # One row per file reaches the driver, which lists the files anyway.
+    counted = sizes.select("file", F.xxhash64("file").alias("hash"), "rows").orderBy("file").collect()
+    if len({r["hash"] for r in counted}) < len(counted):
+        raise OrderError(f'two files of "{path}" share a hash: name a column that orders the rows')
+    starts = accumulate((r["rows"] for r in counted), initial=0)
+    listed = spark.createDataFrame([(r["hash"], s) for r, s in zip(counted, starts)], "_file long, _start long")
+    if len(counted) * 16 <= broadcast_limit(spark):
+        listed = F.broadcast(listed)
+    return Sheet(name, _positioned(frame, listed, path), POSITION)
+
+
+def _positioned(frame: DataFrame, starts: DataFrame, path: str) -> DataFrame:
+    """Add each row's position, given ``_start`` of each file by the hash ``_file`` of its path."""
+    file, row = F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.row_index")
+    located = frame.select("*", file.alias("_file"), row.alias("_row")).join(starts, "_file", "left")
+    missing = F.raise_error(F.lit(f'"{path}" has files that were not there when its rows were counted')).cast("long")
+    at = F.coalesce(F.col("_start"), missing) + F.col("_row")
+    return located.select(*[F.col(f"`{c}`") for c in frame.columns], at.alias(POSITION))
 
 
 def read_csv(
@@ -107,21 +117,18 @@ def read_csv(
     """RFC 4180 text: quoted commas and line breaks, doubled quotes, CRLF; blanks are null.
 
     Without a schema every column is text, so no second pass infers types. Quoted line breaks need
-    whole files per task; ``multiline=False`` lets large files without them be split.
+    whole files per task here; ``multiline=False`` lets large files without them be split, and ``csv_records`` splits any.
     """
     reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multiline, enforceSchema=False)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
-def read_csv_sheet(spark: SparkSession, name: str, path: str, pos: str | None = None, multiline: bool = True) -> Sheet:
-    """A CSV file as a sheet, ordered by its own column or else by its lines.
+def read_csv_sheet(spark: SparkSession, name: str, path: str, pos: str | None = None) -> Sheet:
+    """CSV files as a sheet of text columns, ordered by a column of theirs or else by their lines, file after file.
 
-    Text files carry no row index, so line order is known for one file only: its splits are read in
-    order and counted right at the scan.
+    Without ``pos``, files are read in splits and the position is a record's byte offset (``csv_records``).
     """
-    frame = read_csv(spark, path, multiline=multiline)
     if pos is not None:
+        frame = read_csv(spark, path)
         return Sheet(name, frame.withColumn(pos, F.col(f"`{pos}`").cast("long")), pos)
-    if len(frame.inputFiles()) > 1:
-        raise OrderError(f'"{path}" holds several files: name a column that orders the rows')
-    return Sheet(name, frame.withColumn(POSITION, F.monotonically_increasing_id()), POSITION)
+    return Sheet(name, read_split_csv(spark, path, POSITION), POSITION)
