@@ -1,6 +1,7 @@
 """Registries that merge rows, regexes and thresholds of rule files, scratch scopes, ingest, and stream state that ends."""
 
 import os
+import threading
 
 import pytest
 from conftest import AS_OF
@@ -14,7 +15,7 @@ from veilframe.operators.preview import preview, preview_meta
 from veilframe.plans.rules import DEFAULT_RULES, Rule, RuleError, RuleSet
 from veilframe.session import materialize, scratch, shared_folder
 from veilframe.sinks.outputs import write_outputs
-from veilframe.sources.sheets import Workbook
+from veilframe.sources.sheets import Sheet, Workbook
 from veilframe.sources.workbook_files import outcomes, read_workbook_rows, to_workbook, workbook_rows
 from veilframe.streaming.throttle import throttle_stream
 
@@ -80,6 +81,41 @@ def test_outputs_leave_no_intermediate_tables(spark, sheet, tmp_path):
     assert book["sheet"].rows.count() == 2  # the book still works
 
 
+def test_scopes_of_threads_stay_apart(spark):
+    """A table that one thread writes while another has a scope open isn't deleted with that scope."""
+    opened, written = threading.Event(), threading.Event()
+    tables = {}
+
+    def other():
+        opened.wait(60)
+        tables["other"] = materialize(spark.range(7), "y")
+        written.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scratch(spark) as folder:
+        opened.set()
+        assert written.wait(60)
+        materialize(spark.range(5), "x")
+        assert all("/y-" not in f for f in files_below(folder))
+    thread.join()
+    assert tables["other"].count() == 7
+
+
+def test_a_failed_run_leaves_nothing_and_none_is_overwritten(spark, sheet, tmp_path):
+    good, bad = sheet("NHI string, v int", [("a", 1)], "good"), sheet("v int", [(1,)], "bad")
+    broken = Sheet("bad", bad.frame.withColumn("v", F.raise_error(F.lit("no such cell"))), "_pos")
+    with pytest.raises(Exception, match="no such cell"):
+        write_outputs(clean_workbook(Workbook([good, broken]), DEFAULT_RULES, as_of=AS_OF), str(tmp_path / "out"), "in.xlsx", "r1")
+    assert not (tmp_path / "out").exists() or os.listdir(tmp_path / "out") == []
+    book = clean_workbook(Workbook([good]), DEFAULT_RULES, as_of=AS_OF)
+    run = write_outputs(book, str(tmp_path / "out"), "in.xlsx", "r1")
+    assert os.listdir(tmp_path / "out") == ["run=r1"] and os.path.isdir(run.sheets[0])
+    with pytest.raises(FileExistsError):
+        write_outputs(book, str(tmp_path / "out"), "in.xlsx", "r1")
+    assert os.listdir(tmp_path / "out") == ["run=r1"]
+
+
 def test_every_listed_file_has_an_outcome(spark, tmp_path):
     good = xlsx_bytes([("s", [["h"], [1.0]])])
     large = xlsx_bytes([("s", [["h"], *[[f"{i}" * 40] for i in range(900)]])])

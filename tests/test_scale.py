@@ -69,6 +69,23 @@ def test_large_mapping_broadcasts_hot_keys_only(spark):
         assert "BroadcastHashJoin" in plan and ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan)
 
 
+def test_hot_keys_of_any_length_are_broadcast(spark):
+    """A third of the rows share a key of 2 KiB, another third one that differs in its last letter."""
+    long = "x" * 2048
+    frame = spark.range(6000).select(
+        F.col("id").alias("_pos"),
+        F.when(F.col("id") % 3 == 0, long + "a").when(F.col("id") % 3 == 1, long + "b").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("NHI"),
+        F.col("id").alias("x"),
+    )
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        clean = clean_sheet(Sheet("s", frame, "_pos"))
+        assert ordered(clean) == expected_ids([(r["NHI"], r["x"]) for r in frame.orderBy("_pos").collect()])
+        plan = plan_of(clean.rows)
+    assert "_rdigest" in plan and "BroadcastHashJoin" in plan
+    uses = {r["key"]: r["uses"] for r in clean.mapping.frame.where("uses > 1").collect()}
+    assert uses == {long + "a": 2000, long + "b": 2000}
+
+
 def test_lookup_paths_agree(spark):
     left = spark.range(3000).select(
         "id", F.when(F.col("id") % 5 > 0, F.when(F.col("id") % 5 < 3, 7).otherwise(F.col("id") % 97)).cast("long").alias("k")

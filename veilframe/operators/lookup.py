@@ -14,8 +14,6 @@ from veilframe.session import broadcast_limit
 HOT_PARTS = 4096
 # Rows whose key is null, or already resolved, spread over this many filler keys.
 SPREAD = 4096
-# Hot keys longer than this stay in the shuffled part, so a hot side is at most 4096 * 1 KiB of keys.
-HOT_KEY_BYTES = 1024
 # Bytes added per row for the parts of a broadcast row that are not the key.
 ROW_OVERHEAD = 64
 
@@ -43,8 +41,8 @@ def lookup(frame: DataFrame, key: list[Column], table: Table, spread: Column, in
 
     Without use counts (a stream, whose batches are bounded) there is no hot part.
     A lookup side of proven small size is broadcast. Otherwise the hot keys (at most ``HOT_PARTS``
-    of them, whatever the data) are broadcast and the others are shuffled; rows that need no
-    second lookup, null keys above all, travel under filler keys that spread and never match.
+    of them, whatever the data) are broadcast as digests of fixed width, so their length doesn't matter, and the others are
+    shuffled; rows that need no second lookup, null keys above all, travel under filler keys that spread and never match.
     """
     columns = [F.col(c) for c in table.key]
     right = table.frame.select(*columns, F.col(table.payload).alias("_payload"), *([F.col(table.uses)] if table.uses else []))
@@ -52,14 +50,22 @@ def lookup(frame: DataFrame, key: list[Column], table: Table, spread: Column, in
         return _join(frame, key, F.broadcast(right), table.key, "_payload", into)
     if table.uses is None or not table.total_uses:
         return _spread_join(frame, key, right, table.key, spread, "_payload", into)
-    short = reduce(lambda a, b: a & b, [F.octet_length(c.cast("string")) <= HOT_KEY_BYTES for c in columns])
-    hot = (F.col(table.uses) * HOT_PARTS >= F.lit(table.total_uses)) & short
-    first = _join(frame, key, F.broadcast(right.where(hot)), table.key, "_payload", "_hot")
+    hot = F.col(table.uses) * HOT_PARTS >= F.lit(table.total_uses)
+    # Rows meet by a short hash; only where that agrees, the digest decides.
+    told = right.where(hot).select(F.xxhash64(*columns).alias("_rhash"), _digest(columns).alias("_rdigest"), F.col("_payload").alias("_hot"))
+    same = (F.xxhash64(*key) == F.col("_rhash")) & (_digest(key) == F.col("_rdigest"))
+    first = frame.join(F.broadcast(told), same, "left").drop("_rhash", "_rdigest")
     open_key = [F.when(F.col("_hot").isNull(), k) for k in key]
     both = _spread_join(first, open_key, right.where(~hot), table.key, spread, "_payload", "_cold")
     return both.withColumn(into, F.coalesce("_hot", "_cold")).drop("_hot", "_cold")
 
 
+def _digest(columns: list[Column]) -> Column:
+    """32 bytes that stand for a key; null if any part is null."""
+    texts = [c.cast("string") for c in columns]
+    return F.unhex(F.sha2(F.concat(*[F.concat(F.octet_length(t).cast("string"), F.lit(":"), t) for t in texts]), 256))
+
+
 def _join(frame: DataFrame, key: list[Column], right: DataFrame, names: tuple[str, ...], payload: str, into: str) -> DataFrame:
     other = right.select(*[F.col(n).alias(f"_r{i}") for i, n in enumerate(names)], F.col(payload).alias(into))
     condition = reduce(lambda a, b: a & b, [k == F.col(f"_r{i}") for i, k in enumerate(key)])

@@ -22,7 +22,7 @@ from veilframe.functions.text import trim_ws
 from veilframe.operators.ids import KeyColumn, first_seen, format_id
 from veilframe.operators.lookup import Table
 from veilframe.operators.ordered import _PART, global_number, in_global_order
-from veilframe.session import materialize
+from veilframe.session import file_system, materialize, move_new
 from veilframe.sources.sheets import POSITION
 
 SCHEMA = "key string, id string, number long, version long"
@@ -83,8 +83,7 @@ class Registry:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _hadoop(self, *names: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return file_system(self.spark, "/".join([self.path, *names]))
 
     def versions(self) -> list[int]:
         """All committed versions, oldest first."""
@@ -124,21 +123,14 @@ class Registry:
         files.delete(path, True)
 
     def _commit(self, version: Version) -> int:
-        path, files = self._hadoop("commits", f"{version.version:012d}.json")
-        staged, _ = self._hadoop("commits", f".{uuid.uuid4().hex}")
-        stream = files.create(staged, False)
+        name, staged = (f"{self.path}/commits/{n}" for n in (f"{version.version:012d}.json", f".{uuid.uuid4().hex}"))
+        path, files = file_system(self.spark, staged)
+        stream = files.create(path, False)
         stream.write(json.dumps(version.__dict__).encode())
         stream.close()
-        jvm = self.spark._jvm
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
-        try:
-            context.rename(staged, path, options)  # without options an existing target makes it fail
-        except Exception as problem:
-            files.delete(staged, False)
-            if files.exists(path):
-                raise RegistryConflict(f"version {version.version} of the registry has been committed by another run") from problem
-            raise
+        if not move_new(self.spark, staged, name):
+            files.delete(path, False)
+            raise RegistryConflict(f"version {version.version} of the registry has been committed by another run")
         return version.version
 
     def seed(self, rows: DataFrame) -> int:

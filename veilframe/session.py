@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +52,8 @@ def shared_folder(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-_scopes: list[str] = []
+# Scopes of the running thread or task, outermost first, as (application, folder).
+_scopes: ContextVar[tuple[tuple[str, str], ...]] = ContextVar("scratch scopes", default=())
 
 
 @contextmanager
@@ -59,21 +61,24 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     """A scope for written intermediate tables, which hold raw identifiers: its folder goes when the scope ends, by an error too.
 
     Frames made inside read from it, so use or write them inside. Without a scope, intermediate tables stay in the
-    shared folder, under the application's id, until someone clears it.
+    shared folder, under the application's id, until someone clears it. A scope belongs to the thread that opened it.
     """
-    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/scope-{uuid.uuid4().hex}"
-    _scopes.append(folder)
+    application = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/{application}/scope-{uuid.uuid4().hex}"
+    token = _scopes.set((*_scopes.get(), (application, folder)))
     try:
         yield folder
     finally:
-        _scopes.remove(folder)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scopes.reset(token)
+        path, files = file_system(spark, folder)
+        files.delete(path, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the innermost scope, else below the shared folder, grouped by application."""
-    folder = _scopes[-1] if _scopes else f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    """A fresh path in this thread's innermost scope, else below the shared folder, grouped by application."""
+    application = spark.sparkContext.applicationId
+    own = [folder for of, folder in _scopes.get() if of == application]
+    folder = own[-1] if own else f"{shared_folder(spark)}/{application}"
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
@@ -85,6 +90,28 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, name: str):
+    """A path and its file system, as Hadoop knows them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file or folder in one step. False, and nothing done, if the target exists already."""
+    path, files = file_system(spark, target)
+    files.mkdirs(path.getParent())
+    jvm = spark._jvm
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(file_system(spark, source)[0], path, options)  # without options an existing target makes it fail
+    except Exception:
+        if files.exists(path):
+            return False
+        raise
+    return True
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """Bytes that the session allows on a broadcast side; not positive when switched off."""
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()

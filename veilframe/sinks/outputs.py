@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from veilframe.functions.text import plain_number_sql, sanitize_name
 from veilframe.operators.clean import COUNTERS, CleanSheet, CleanWorkbook
 from veilframe.operators.stats import sheet_stats
-from veilframe.session import scratch
+from veilframe.session import file_system, move_new, scratch
 from veilframe.sources.sheets import POSITION
 
 # Names used when nothing is left of the given ones.
@@ -87,23 +87,32 @@ def write_outputs(
 ) -> RunOutput:
     """Persist a cleaned workbook. Grouped rows are written once and serve both CSV and counters.
 
-    Nothing but the outputs is left, neither after a failure: intermediate tables live in a scope of their own.
+    All is written to a hidden folder and moved into place at the end, so that a run is there as a whole or not at all; a run id that
+    exists already raises an error. Nothing but the outputs is left, neither after a failure: intermediate tables live in a scope of their own.
     """
     spark = book.sheets[0].grouped.sparkSession
     base = safe_names(spark, [source_name.rsplit(".", 1)[0]], BASE_FALLBACK)[0]
     run_id = run_id or f"{base}-{uuid.uuid4().hex}"
-    path = f"{out.rstrip('/')}/run={run_id}"
+    path, staged = f"{out.rstrip('/')}/run={run_id}", f"{out.rstrip('/')}/.staged-{uuid.uuid4().hex}"
+    there, files = file_system(spark, path)
+    if files.exists(there):
+        raise FileExistsError(f'run "{run_id}" has been written already')
     folders = [
         f"sheet={i}-{name}" for i, name in enumerate(safe_names(spark, [s.name for s in book], SHEET_FALLBACK))
     ]
-    with scratch(spark):
-        own = book.copy()
-        # Before any sheet: ids that are seen outside must never be given to someone else.
-        own.commit_ids()
-        for sheet, folder in zip(own, folders):
-            write_csv(sheet.persist_rows(), f"{path}/{folder}")
-        # The manifest comes last: a run without one is incomplete.
-        manifest(own, source_name, folders, generated_at).write.json(f"{path}/manifest")
+    try:
+        with scratch(spark):
+            own = book.copy()
+            # Before any sheet: ids that are seen outside must never be given to someone else.
+            own.commit_ids()
+            for sheet, folder in zip(own, folders):
+                write_csv(sheet.persist_rows(), f"{staged}/{folder}")
+            # The manifest comes last: where a store copies folders instead of renaming them, a run without one is incomplete.
+            manifest(own, source_name, folders, generated_at).write.json(f"{staged}/manifest")
+        if not move_new(spark, staged, path):
+            raise FileExistsError(f'run "{run_id}" has been written already')
+    finally:
+        files.delete(file_system(spark, staged)[0], True)
     return RunOutput(run_id, path, [f"{path}/{f}" for f in folders], f"{path}/manifest")
 
 
