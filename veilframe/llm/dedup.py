@@ -92,8 +92,28 @@ def keyed(rows: DataFrame, groups: DataFrame, id_column: str, text_column: str)
 
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    groups = duplicate_groups(docs, id_column, text_column, keep)
-    rows, kept, key = keyed(docs, groups.where("kept"), id_column, text_column)
-    # Joined by digest and id, so copies of one text spread; rows that repeat both collapse to one.
-    return rows.join(kept.select(key), key).dropDuplicates([key]).drop(key)
+    """The rows of ``docs`` that stay, with all their columns. Of rows that repeat both id and text the smallest by all columns stays,
+    or any of them if columns can't be compared.
+
+    What goes is told by keys of digest and id, so texts are only shuffled where the table of keys is too large to broadcast.
+    """
+    groups = materialize(duplicate_groups(docs, id_column, text_column, keep), "groups")
+    rows, told, key = keyed(docs, groups.where("group_size > 1"), id_column, text_column)
+    other = ~F.col("id").eqNullSafe(F.col("keep_id"))
+    gone = materialize(told.where(other).select(key).distinct(), "gone")
+    repeated = materialize(told.where(~other).groupBy(key).count().where("count > 1").select(key), "repeated")
+    left = rows.join(gone, key, "left_anti")
+    if repeated.isEmpty():
+        return left.drop(key)
+    again = left.join(repeated, key)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if all(_ordered(f.dataType) for f in docs.schema.fields):
+        one = again.groupBy(key).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    else:
+        one = again.dropDuplicates([key]).drop(key)
+    return left.join(repeated, key, "left_anti").drop(key).unionByName(one)
+
+
+def _ordered(kind) -> bool:
+    text = kind.simpleString()
+    return "map<" not in text and "variant" not in text and "interval" not in text
