@@ -3,6 +3,7 @@
 Which sets meet: two sets of sizes a and b link only if they differ in at most ``(100 - p)(a + b) / (100 + p)`` shingles. So if the hash range is cut
 into more parts than that, at least one part is equal in both. Every set gives a signature per part; sets with a common signature form families,
 one for each first node of any of their signatures. Signatures are compressed before the shuffle (each once per input batch, packed by ranges) and never paired: the rest point to the first.
+A set first joins only the family that most of its signatures speak for. Its other families come second, and only those whose sets then still lie in several components.
 
 Which sets link: a family's sets are put in one global order, frequent shingles first, and stored in a compressed prefix tree. Each set walks the
 tree before it enters it, sharing the overlap counted so far among all sets below a node, and leaves out subtrees that can't reach the
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -157,7 +158,10 @@ def _sketch(width: int, percent: int, buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: documents and edges pass; of the rows of a signature in its bucket, all point to the smallest node."""
+    """Rows sorted by key: documents and edges pass; of the rows of a signature in its bucket, all point to the smallest node.
+
+    The key of a row that points is the number of signatures that say so.
+    """
     bucket, parts = None, []
 
     def edges() -> Iterator[pa.RecordBatch]:
@@ -166,8 +170,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             lead = node[_firsts(key)]
-            pairs = np.unique(np.stack([node, lead])[:, node != lead], axis=1)
-            yield _batch(np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1], np.full(pairs.shape[1], MET))
+            pairs, votes = np.unique(np.stack([node, lead])[:, node != lead], axis=1, return_counts=True)
+            yield _batch(votes.astype(np.int64), pairs[0], pairs[1], np.full(pairs.shape[1], MET))
 
     for batch in batches:
         passing = batch.column("size").to_numpy() != SIGNATURE
@@ -205,6 +209,7 @@ class PrefixTree:
         self.percent, self.root = percent, _Node(np.empty(0, np.int64), 0, -1)
         self.within = np.zeros(ranks, bool)
         self.parent: list[int] = []
+        self.first: dict[int, int] = {}
         self.sets = 0
 
     def find(self, i: int) -> int:
@@ -213,10 +218,11 @@ class PrefixTree:
             i = self.parent[i]
         return i
 
-    def join(self, q: np.ndarray) -> list[int]:
-        """Earlier sets that link with ``q``: one or more of every component that has any."""
+    def join(self, q: np.ndarray, known: int) -> list[int]:
+        """Earlier sets that link with ``q``: one or more of every component that has any, but for those in the ``known`` one of ``q``."""
         own, links = self.sets, []
-        self.parent.append(own)
+        self.parent.append(self.find(self.first[known]) if known in self.first else own)
+        self.first.setdefault(known, own)
         self.sets += 1
         self.within[q] = True
         p, size = self.percent, len(q)
@@ -272,8 +278,8 @@ class PrefixTree:
             n.one = below[0] if min(below) >= 0 and len({self.find(b) for b in below}) == 1 else -1
 
 
-def linked(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all linked sets, found with a prefix tree."""
+def linked(nodes: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets, found with a prefix tree. Sets of one ``known`` component count as connected."""
     used = [i for i, s in enumerate(sets) if len(s)]
     if len(used) < 2:
         return []
@@ -284,7 +290,7 @@ def linked(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
     tree = PrefixTree(percent, len(counts))
     out = []
     for n, s in enumerate(ordered):
-        out += [(nodes[used[n]], nodes[used[o]]) for o in tree.join(np.sort(s))]
+        out += [(nodes[used[n]], nodes[used[o]]) for o in tree.join(np.sort(s), n if known is None else known[used[n]])]
     return [(a, b) for a, b in out if a != b]
 
 
@@ -298,23 +304,46 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90, id_colum
     rows = texts.mapInArrow(_sketch(width, percent, buckets), SCHEMA).repartition("key").sortWithinPartitions("key")
     met = materialize(rows.mapInArrow(_meet, SCHEMA).drop("packed"), "met")
     each = met.where("size >= 0").select(F.col("node").alias("id"), F.col("other").alias("stands"), F.col("size").alias("n_shingles"))
-    pointing = lambda kind: met.where(f"size = {kind}").select("node", F.col("other").alias("family"))
+    pointing = lambda kind: met.where(f"size = {kind}").select("node", F.col("other").alias("family"), "key")
     # Whom a batch's first node points to, all that point to it in the batch point to as well.
-    near, far = pointing(EDGE), pointing(MET).distinct()
-    onward = near.alias("n").join(far.alias("f"), F.col("n.family") == F.col("f.node")).select("n.node", "f.family")
-    pointed = near.union(far).union(onward)
-    stars = pointed.union(pointed.select(F.col("family").alias("node"), "family")).distinct()
+    near, far = pointing(EDGE).withColumn("key", F.lit(0).cast("long")), pointing(MET)
+    far = materialize(far.groupBy("node", "family").agg(F.sum("key").alias("key")), "far")
+    onward = near.alias("n").join(far.alias("f"), F.col("n.family") == F.col("f.node")).select("n.node", "f.family", "f.key")
+    pointed = near.unionByName(far).unionByName(onward).groupBy("node", "family").agg(F.max("key").alias("votes"))
+    pointed = materialize(pointed, "pointed")
+    own = pointed.select(F.col("family").alias("node"), "family")
+    stars = pointed.select("node", "family").union(own).distinct()
+    # The family that most signatures of a node speak for.
+    best = pointed.groupBy("node").agg(F.max(F.struct("votes", (-F.col("family")).alias("minus"))).alias("best"))
+    chosen = best.select("node", (-F.col("best.minus")).alias("family"))
+    chosen = chosen.union(chosen.select(F.col("family").alias("node"), "family")).distinct()
     copies = each.where("id <> stands").select(F.col("id").alias("u"), F.col("stands").alias("v"))
-    found = _linked_components(texts, each, stars, copies, width, percent)
+    # Each node meets the family it has most in common with; further families only matter where they still span several components.
+    found = _hub_components(texts, each, chosen, copies, width, percent)[0]
+    found = _linked_components(texts, each, _spanning(stars, found), found.select(F.col("node").alias("u"), F.col("component").alias("v")), width, percent)
     return each.join(found, each["id"] == found["node"], "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
 
 
-def _linked_components(
-    texts: DataFrame, each: DataFrame, families: DataFrame, copies: DataFrame, width: int, percent: int
-) -> DataFrame:
-    """(node, component) under the links within ``families`` (node, family), and the links between equal sets, ``copies``."""
+def _spanning(families: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of the families (node, family) whose nodes aren't all in one component of ``found``, with their component."""
+    state = families.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    state = materialize(state, "state")
+    spread = state.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("family")
+    return materialize(state.join(spread, "family").select("node", "family", "component"), "spanning")
+
+
+def _hub_components(
+    texts: DataFrame, each: DataFrame, families: DataFrame, known: DataFrame, width: int, percent: int
+) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(node, component) under the edges ``known`` (u, v) and the links that come up when, in every family of (node, family), all blocks
+    of sets meet the first; the families' rows with their blocks; and the function that finds the links within further groups.
+
+    Nodes may come with a ``component`` that they are known to belong to; links within it aren't looked for.
+    """
+    if "component" not in families.columns:
+        families = families.withColumn("component", F.col("node"))
     sizes = each.groupBy(F.col("id").alias("node")).agg(F.max("n_shingles").alias("size"))
     members, _ = saved(families.join(sizes, "node"), "members")
     totals = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
@@ -323,26 +352,36 @@ def _linked_components(
     placed = members.join(totals.select("family", blocks.alias("blocks")), "family")
     placed, _ = saved(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
 
-    # The members' texts are picked out once, for both rounds.
+    # The members' texts are picked out once, for all rounds.
     wanted = texts.join(placed.select(F.col("node").alias("id")), "id", "left_semi")
     bodies = materialize(wanted.mapInArrow(_deflated, "id long, body binary"), "bodies")
 
     def join_sets(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
-        links = linked(rows["node"].tolist(), list(shingle_sets([zlib.decompress(b).decode() for b in rows["body"]], width)), percent)
+        sets = list(shingle_sets([zlib.decompress(b).decode() for b in rows["body"]], width))
+        links = linked(rows["node"].tolist(), sets, percent, rows["component"].tolist())
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     def joined(groups: DataFrame) -> DataFrame:
-        """``groups``: node, family and the name of a group; all sets of a group meet in a tree."""
-        full = bodies.join(groups, bodies["id"] == groups["node"]).select("family", "part", "node", "body")
+        """``groups``: node, family, component and the name of a group; all sets of a group meet in a tree."""
+        full = bodies.join(groups, bodies["id"] == groups["node"]).select("family", "part", "node", "component", "body")
         return materialize(full.groupBy("family", "part").applyInPandas(join_sets, "u long, v long"), "links")
 
     # The hub block goes to every other block's group.
     others = F.when(F.col("block") > 0, F.array("block")).when(F.col("blocks") == 1, F.array(F.lit(0).cast("long")))
     hub = placed.withColumn("part", F.explode(others.otherwise(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("blocks") - 1, F.lit(1))))))
-    links = joined(hub.select("node", "family", F.col("part").cast("string").alias("part")))
+    links = joined(hub.select("node", "family", "component", F.col("part").cast("string").alias("part")))
+    found, _ = saved(components(links.union(known)), "components")
+    return found, placed, joined
+
+
+def _linked_components(
+    texts: DataFrame, each: DataFrame, families: DataFrame, known: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """(node, component) under the links within ``families`` (node, family, component) and the edges ``known`` (u, v)."""
+    found, placed, joined = _hub_components(texts, each, families, known, width, percent)
+    placed = placed.drop("component")
     large = placed.where("blocks > 1")
-    found, _ = saved(components(links.union(copies)), "components")
     state = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_families = state.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("family")
     state, (unconnected,) = saved(state.join(open_families, "family").select("node", "family", "component", "size"), "open")
@@ -360,7 +399,7 @@ def _linked_components(
     names = state.join(sized.select("family", "component", "alone"), ["family", "component"]).withColumn("pool", F.when(F.col("alone"), F.col("component")))
     again = names.alias("n").join(shapes.alias("s"), (F.col("n.family") == F.col("s.family")) & F.col("n.pool").eqNullSafe(F.col("s.pool")))
     again = materialize(
-        again.select(F.col("n.node").alias("node"), F.col("n.family").alias("family"), F.col("n.pool").alias("pool"), F.pmod(F.xxhash64(F.col("n.node")), F.col("cuts")).alias("cut")),
+        again.select(F.col("n.node").alias("node"), F.col("n.family").alias("family"), F.col("n.component").alias("component"), F.col("n.pool").alias("pool"), F.pmod(F.xxhash64(F.col("n.node")), F.col("cuts")).alias("cut")),
         "again",
     )
     listed = again.select("family", F.struct(F.coalesce("pool", F.lit(-1)).alias("pool"), F.col("pool").isNull().alias("mixed"), "cut").alias("b")).distinct()
@@ -371,5 +410,5 @@ def _linked_components(
     part = F.concat_ws("/", F.to_json("first"), F.to_json("second"))
     ends = pairs.select("family", part.alias("part"), F.explode(F.array_distinct(F.array("first", "second"))).alias("b"))
     own_block = F.struct(F.coalesce("pool", F.lit(-1)).alias("pool"), F.col("pool").isNull().alias("mixed"), "cut")
-    groups = again.withColumn("b", own_block).join(ends, ["family", "b"]).select("node", "family", "part")
+    groups = again.withColumn("b", own_block).join(ends, ["family", "b"]).select("node", "family", "component", "part")
     return components(joined(groups).union(found.select("node", "component")))
