@@ -70,3 +70,8 @@ def test_odd_rows(odd_docs, no_docs):
     assert {r.lang for r in only.collect()} == {None}
     assert sample(odd_docs, targets={"lang": {}}).count() == 0
     assert sample(odd_docs.withColumn("mixing", F.lit(1))).columns == [*odd_docs.columns, "mixing"]
+
+
+def test_the_query_keeps_the_share_asked_for(spark):
+    n, kept = QUERIES["op6_mixing"](spark, SF).selectExpr("sum(n_tokens)", "sum(n_tokens * probability)").first()
+    assert kept / n == pytest.approx(0.5, abs=1e-4)

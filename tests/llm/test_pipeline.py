@@ -48,8 +48,14 @@ def test_near_dedup_keeps_one_of_each_group(steps):
 
 
 def test_mixing_follows_the_calibrated_fates(steps):
-    fates = {r.doc_id: r.mixing.kept for r in mix(steps[3], fraction=1.0, flatten=0.9).collect()}
-    assert sorted(r.doc_id for r in steps[4].collect()) == sorted(i for i, k in fates.items() if k)
+    fates = {r.doc_id: r.mixing for r in mix(steps[3], fraction=0.8, flatten=0.9, hold=True).collect()}
+    assert sorted(r.doc_id for r in steps[4].collect()) == sorted(i for i, m in fates.items() if m.kept)
+    assert sum(m.tokens * m.probability for m in fates.values()) == pytest.approx(0.8 * sum(m.tokens for m in fates.values()))
+
+
+def test_a_rare_source_does_not_empty_the_mixture(spark):
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "'one two three' AS text", "IF(id = 0, 'rare', 'hot') AS source", "IF(id = 0, NULL, 'en') AS lang")
+    assert dict(pipeline.STAGES)["mixing"](spark, docs, SF).count() == pytest.approx(8_000, rel=0.03)
 
 
 def test_ids_equal_the_library(steps):

@@ -148,7 +148,10 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 
 def oracle_sql(fraction: float = 0.5, flatten: float = 0.7, rounds: int = 6) -> str:
-    """The same in SQL, the rounds written out."""
+    """The same with ``hold`` in SQL, the rounds written out.
+
+    With any leading cells by rate capped, a scale keeps at most what it keeps with the right ones capped; so the scale wanted is the largest of them.
+    """
     cases = " ".join(f"WHEN {test.format(t=EMPTY_TEXT)} THEN '{name}'" for name, test in TOPICS.items())
     digits = " + ".join(f"(instr('0123456789abcdef', substr(h, {i + 1}, 1)) - 1) * {16 ** (6 - i)}" for i in range(7))
     parts = [
@@ -177,9 +180,13 @@ def oracle_sql(fraction: float = 0.5, flatten: float = 0.7, rounds: int = 6) ->
     same = " AND ".join(f"c.{d} IS NOT DISTINCT FROM f_{d}.{d}" for d in DIMENSIONS)
     tables = ", ".join(f"{d}_{last[d]} f_{d}" for d in DIMENSIONS)
     parts.append(
-        f"rates AS (SELECT c.source, c.lang, c.topic, {' * '.join(f'f_{d}.factor' for d in DIMENSIONS)} AS rate FROM cells c, {tables} WHERE {same})"
+        f"rates AS (SELECT c.source, c.lang, c.topic, c.tokens, {' * '.join(f'f_{d}.factor' for d in DIMENSIONS)} AS rate FROM cells c, {tables} WHERE {same})"
     )
-    parts.append(f"scaled AS (SELECT *, rate * least({fraction}, 1 / (SELECT max(rate) FROM rates)) AS p FROM rates)")
+    before = "OVER (ORDER BY rate DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    onward = "OVER (ORDER BY rate DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    parts.append(f"capped AS (SELECT coalesce(sum(tokens) {before}, 0) AS given, sum(tokens * rate) {onward} AS rest FROM rates)")
+    parts.append(f"scale AS (SELECT max(({fraction} * total - given) / rest) AS scale FROM capped, whole WHERE rest > 0)")
+    parts.append("scaled AS (SELECT *, least(1.0, rate * (SELECT scale FROM scale)) AS p FROM rates)")
     on = " AND ".join(f"n.{d} IS NOT DISTINCT FROM s.{d}" for d in DIMENSIONS)
     return f"""WITH {", ".join(parts)}
         SELECT doc_id, n.topic, CAST(n.tokens AS BIGINT) AS n_tokens, round(s.rate, 6) AS rate, round(s.p, 6) AS probability,

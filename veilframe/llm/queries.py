@@ -92,10 +92,10 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The topic, calibrated rate and fate of every document, with flattened source, language and topic marginals as targets."""
+    """The topic, calibrated rate and fate of every document, with flattened source, language and topic marginals as targets; half of the tokens stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     m = F.col("mixing")
-    return mix(docs).select(
+    return mix(docs, fraction=0.5, hold=True).select(
         "doc_id", m.topic.alias("topic"), m.tokens.alias("n_tokens"), F.round(m.rate, 6).alias("rate"),
         F.round(m.probability, 6).alias("probability"), m.kept.alias("kept"),
     )
