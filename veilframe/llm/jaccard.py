@@ -308,11 +308,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90, id_colum
     # Whom a batch's first node points to, all that point to it in the batch point to as well.
     near, far = pointing(EDGE).withColumn("key", F.lit(0).cast("long")), pointing(MET)
     far = materialize(far.groupBy("node", "family").agg(F.sum("key").alias("key")), "far")
-    onward = near.alias("n").join(far.alias("f"), F.col("n.family") == F.col("f.node")).select("n.node", "f.family", "f.key")
+    # A node's families travel as one list, so that joins have a row per node, however many groups of copies it is in.
+    leads = far.groupBy(F.col("node").alias("family")).agg(F.collect_list(F.struct("family", "key")).alias("leads"))
+    onward = near.join(leads, "family").select("node", F.explode("leads").alias("lead")).select("node", "lead.family", "lead.key")
     pointed = near.unionByName(far).unionByName(onward).groupBy("node", "family").agg(F.max("key").alias("votes"))
     pointed = materialize(pointed, "pointed")
     own = pointed.select(F.col("family").alias("node"), "family")
-    stars = pointed.select("node", "family").union(own).distinct()
+    stars = pointed.select("node", "family").union(own).groupBy("node").agg(F.collect_set("family").alias("families"))
     # The family that most signatures of a node speak for.
     best = pointed.groupBy("node").agg(F.max(F.struct("votes", (-F.col("family")).alias("minus"))).alias("best"))
     chosen = best.select("node", (-F.col("best.minus")).alias("family"))
@@ -326,10 +328,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90, id_colum
     )
 
 
-def _spanning(families: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of the families (node, family) whose nodes aren't all in one component of ``found``, with their component."""
-    state = families.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    state = materialize(state, "state")
+def _spanning(stars: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the ``stars`` (node, families), as (node, family, component), those families whose nodes aren't all in one component of ``found``."""
+    placed = stars.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    state = materialize(placed, "state").select("node", "component", F.explode("families").alias("family"))
     spread = state.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("family")
     return materialize(state.join(spread, "family").select("node", "family", "component"), "spanning")
 
