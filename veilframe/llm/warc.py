@@ -4,13 +4,14 @@
 that refer to it. ``build_index`` sorts the captures by their reversed-host URL key, cuts each range of keys into compressed blocks, and
 ends each index file with a sparse directory: first key, place and length of every block. A catalogue has one row per index file with its key
 range. ``read_urls`` sends each wanted key to the files whose range holds it, bisects the directory, unpacks only the blocks that can have
-it, and reads only the records' bytes from the archives.
+it. ``read_records`` deals the records to tasks by file and place, and each task reads only their bytes from the archives, in order.
 
-All files go to a folder that every executor reaches, through Arrow's file systems. A task that runs again writes files of other names, and only the
+All files go to a folder that every executor reaches, through Arrow's file systems; a folder without a scheme lies where Hadoop's default file system says. A task that runs again writes files of other names, and only the
 rows of the attempt that succeeded name a file.
 
-Defined results: a null payload is empty. A null URL is empty; it has a key like any other, and control characters, spaces and non-ASCII
-characters are percent-encoded in the record. Pages without an id are written too; on equal payloads they lose to any id. Of rows that repeat id and
+Defined results: a null payload is empty. A null URL is empty; it has a key like any other. Control characters, spaces and non-ASCII
+characters are percent-encoded in the record's target; such a record names the URL as captured in a field of its own, so that every URL is read back
+as it was. Pages without an id are written too; on equal payloads they lose to any id. Of rows that repeat id and
 payload one is the response. Empty tables give an empty index.
 """
 
@@ -35,11 +36,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.llm.dedup import duplicate_groups, keyed
-from veilframe.session import materialize, scratch_path
+from veilframe.session import file_system, materialize, scratch_path
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK_LINES = 512
 FILE_ROWS = 50_000
+#: Bytes of an archive that one task reads in a row, and about how many it reads in all.
+STRETCH_BYTES, TASK_BYTES = 1 << 23, 1 << 26
+#: Names that Hadoop's connectors give to file systems that Arrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+#: The field that holds a URL, percent-encoded throughout, that can't be a record's target as it is.
+CAPTURED = "X-Captured-URL"
 
 
 @dataclass(frozen=True)
@@ -67,16 +74,19 @@ def _record(page: int | None, url: str, payload: bytes, refers: int | None, revi
     urn = lambda i: f"<urn:page:{'' if i is None else i}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
+    target = urllib.parse.quote(url, safe="%/:?#[]@!$&()*+,;=~'")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {urn(page)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {urllib.parse.quote(url, safe='%/:?#[]@!$&()*+,;=~' + chr(39))}",
+        f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{_digest(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
+    if target != url:
+        head.append(f"{CAPTURED}: {urllib.parse.quote(url, safe='')}")
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {urn(refers)}"]
     packer = zlib.compressobj(4, zlib.DEFLATED, 31)
@@ -97,7 +107,7 @@ def parse_record(member: bytes) -> dict:
         raise ValueError(f"record {fields['WARC-Record-ID']} is cut short: {len(payload)} of {size} bytes")
     return {
         "page_id": page(fields["WARC-Record-ID"]),
-        "url": urllib.parse.unquote(fields["WARC-Target-URI"]),
+        "url": urllib.parse.unquote(fields[CAPTURED]) if CAPTURED in fields else fields["WARC-Target-URI"],
         "payload_bytes": size,
         "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else _digest(payload),
         "record_type": fields["WARC-Type"],
@@ -106,6 +116,12 @@ def parse_record(member: bytes) -> dict:
     }
 
 
+def arrow_uri(qualified: str) -> str:
+    """A qualified Hadoop path as Arrow's file systems take it."""
+    scheme, _, rest = qualified.partition(":")
+    return f"{SCHEMES.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}"
+
+
 def _attempt() -> str:
     context = TaskContext.get()
     return f"{context.partitionId():06d}-{context.taskAttemptId()}" if context else "0"
@@ -261,7 +277,11 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> Dat
                         out, size = [], 0
             yield _batch(out, names, kinds)
 
-    return captures.mapInArrow(read, schema)
+    # Rows of a few bytes stand for records of any size, so tasks are counted by the records' bytes.
+    pieces = materialize(captures.select("file", "offset", "length"), "pieces")
+    tasks = max(pieces.sparkSession.sparkContext.defaultParallelism, math.ceil((pieces.agg(F.sum("length")).first()[0] or 0) / TASK_BYTES))
+    dealt = pieces.repartition(tasks, "file", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(read, schema)
 
 
 def _batch(records: list[dict], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -271,5 +291,6 @@ def _batch(records: list[dict], names: list[str], kinds: list[pa.DataType]) -> p
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, least_bytes: int = 0, **columns: str) -> tuple[Index, str]:
     """Write and index all pages below ``folder`` (a fresh one in the shared folder if not given)."""
     folder = folder or scratch_path(spark, "warc")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    path, files = file_system(spark, folder)
+    folder = arrow_uri(files.makeQualified(path).toString())
     return build_index(write_archives(pages, folder, least_bytes=least_bytes, **columns), folder), folder
