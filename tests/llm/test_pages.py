@@ -12,6 +12,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from veilframe.llm import warc
+from veilframe.llm.common import bounded_sample
 from veilframe.llm.queries import QUERIES, URL_RULES
 from veilframe.llm.urls import ALLOW, BLOCK, host_of, judge, path_of, rule_of
 
@@ -72,6 +73,22 @@ def test_trees_learn_from_features(spark):
     assert len(got) == 300 and sum(r.verdict == (BLOCK if r.page_id % 3 == 0 else ALLOW) for r in got) > 285
 
 
+def test_a_capped_sample_keeps_the_share_of_verdicts(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://a.site/', substr(md5(string(id)), 1, 6)) AS url")
+    labels = pages.selectExpr("page_id", "IF(crc32(string(page_id)) % 5 = 0, 'block', 'allow') AS verdict")
+    # Nothing in these URLs tells the verdicts apart, so the common one is right, also where a sample holds as many of either.
+    got = dict(judge(pages, {}, labels, per_class=300).groupBy("verdict").count().collect())
+    assert got.get(BLOCK, 0) < 300
+
+
+def test_a_sample_has_one_row_per_id(spark):
+    rows = spark.range(5000).selectExpr("'g' AS g", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS i", "id % 50 AS v")
+    got = bounded_sample(rows, "g", "i", 40)
+    assert got.columns == rows.columns and got.count() == got.select("i").distinct().count() == 40
+    every = bounded_sample(rows, "g", "i", 10_000)
+    assert every.count() == rows.select("i").distinct().count() and every.where("i = 7 OR i IS NULL").selectExpr("max(v)").first()[0] <= 1
+
+
 def test_odd_urls(odd_pages, spark):
     got = judge(odd_pages, URL_RULES).collect()
     assert len(got) == len(ODD_URLS) and all(r.verdict in (ALLOW, BLOCK) for r in got)
@@ -121,6 +138,31 @@ def test_warc_odd_rows(odd_pages, spark, monkeypatch):
     assert heads.count(b"WARC/1.1\r\n") == len(ODD_URLS)
 
 
+def test_urls_come_back_as_captured(odd_pages, spark):
+    urls = ["http://a.com/x%20y?q=%41", "http://a.com/x y", "http://a.com/%25", "é", "http://a.com/100%", "", "http://a.com/a'b\r\nX: y"]
+    pages = spark.createDataFrame([(i, u, "p") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    index, folder = warc.archive(spark, pages)
+    assert {r.page_id: r.url for r in warc.read_records(index.captures, folder).collect()} == dict(enumerate(urls))
+    index, folder = warc.archive(spark, odd_pages)
+    read = sorted((r.page_id or -1, r.url) for r in warc.read_records(index.captures, folder).collect())
+    assert read == sorted((i or -1, u or "") for i, u, _ in ODD_URLS)
+
+
+def test_folders_follow_the_default_file_system(odd_pages, spark, tmp_path):
+    assert warc.arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and warc.arrow_uri("hdfs://name:8020/a") == "hdfs://name:8020/a"
+    assert warc.arrow_uri("file:/a/b") == warc.arrow_uri("file:///a/b") == "file:///a/b"
+    index, folder = warc.archive(spark, odd_pages, str(tmp_path / "plain"))
+    assert folder == f"file://{tmp_path}/plain" and warc.read_records(index.captures, folder).count() == len(ODD_URLS)
+
+
+def test_records_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "STRETCH_BYTES", 1 << 10)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    index, folder = warc.archive(spark, pages)
+    records = warc.read_records(warc.find_captures(index, folder, pages.select(warc.url_key(F.col("url")).alias("key"))), folder)
+    assert records.select(F.spark_partition_id()).distinct().count() > 1 and records.count() == pages.count()
+
+
 def test_warc_threshold_and_empty(odd_pages, spark):
     index, folder = warc.archive(spark, odd_pages, least_bytes=8)
     kinds = warc.read_records(index.captures, folder).collect()

@@ -56,13 +56,18 @@ def fresh(frame: DataFrame, name: str) -> str:
 def bounded_sample(rows: DataFrame, group: str, id_column: str, per_group: int) -> DataFrame:
     """At most ``per_group`` rows of each group, the same ones every time: those with the smallest id hashes.
 
-    A count per group sets a hash threshold first, so that what is ranked is a few times the sample
-    and no group's rows meet in one task, however large the group is.
+    Rows of a group that share an id, or have none, count as one: the smallest. The number of ids per group sets a hash threshold first, so that
+    what is ranked is a few times the sample; repeats of an id go before anything is shuffled. So no group's rows meet in one
+    task, however large the group is and however often an id comes up.
     """
     top = 1 << 32
     hashed = rows.withColumn("_h", F.pmod(F.xxhash64(F.col(id_column)), F.lit(top)))
     # Written, so that its size is known: a few groups are broadcast, many are joined.
-    counts = materialize(hashed.groupBy(group).agg(F.count("*").alias("_n")), "counts")
+    ids = F.greatest(F.approx_count_distinct(id_column), F.lit(1))
+    counts = materialize(hashed.groupBy(group).agg(ids.alias("_n")), "counts")
     near = hashed.join(counts, group).where(F.col("_h") * F.col("_n") <= F.lit(2 * per_group + 32) * F.lit(float(top)))
+    others = [c for c in rows.columns if c not in (group, id_column)]
+    single = near.groupBy(group, id_column, "_h").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_row"))
     order = Window.partitionBy(group).orderBy("_h", id_column)
-    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_group).drop("_h", "_n", "_r")
+    ranked = single.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_group)
+    return ranked.select(*[F.col(f"_row.{c}").alias(c) if c in others else F.col(c) for c in rows.columns])

@@ -173,7 +173,8 @@ def train(
     ids = chosen.select("id", "lang").distinct()
     # A measured handful of ids goes to the texts; the texts stay where they are.
     found = whole.join(F.broadcast(ids) if wanted <= BROADCAST_ROWS else ids, ["id", "lang"]).select("lang", F.col("id").cast("string").alias("id"), part)
-    data = found.orderBy("lang", "id", "part").toArrow().to_pylist()
+    # One text per sampled id: the bound holds whatever repeats there are.
+    data = found.groupBy("lang", "id").agg(F.min("part").alias("part")).orderBy("lang", "id").toArrow().to_pylist()
     return tuple((lang, tuple(r["part"] + " " for r in group)) for lang, group in groupby(data, key=lambda r: r["lang"]))
 
 

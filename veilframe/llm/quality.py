@@ -175,7 +175,7 @@ def train(
 ) -> Additive:
     """Fit on at most ``per_class`` labelled rows of each label value, those with the smallest id hashes. Each weighs its label's rows over those sampled.
 
-    ``may_learn``: a condition on ``labels`` that says which rows may be learned from.
+    ``may_learn``: a condition on ``labels`` that says which rows may be learned from. Of texts that share an id, the one of the smallest measures is taken.
     """
     usable = labels.where(may_learn & F.col(label_column).isin(0, 1)).select(id_column, F.col(label_column).cast("int").alias("label"))
     # 2 * per_class ids: bounded, so they can be broadcast and no text is shuffled.
@@ -191,7 +191,8 @@ def train(
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), values], ["id", "label", "x"])
 
     got = rows.select(F.col(id_column).cast("string").alias("id"), "label", "text").mapInArrow(measured, "id string, label int, x array<double>")
-    data = got.orderBy("id", "label", "x").toArrow()
+    # One row per sampled id: the bound holds whatever repeats there are in the documents.
+    data = got.groupBy("id", "label").agg(F.min("x").alias("x")).orderBy("id", "label", "x").toArrow()
     x = np.array(data["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y = data["label"].to_numpy()
     weights = np.array([there.get(v, 0) / max(1, taken.get(v, 0)) for v in (0, 1)])[y]

@@ -1,7 +1,8 @@
 """URL filters: rules on host and path, and boosted trees on lexical features for the URLs that no rule fits.
 
 Everything is a DataFrame expression: parsing, rule matching, features, suffix statistics, and Spark ML's gradient-boosted trees. They are trained on
-labelled URLs: those that a rule decides, or those of a table of labels. The training rows are a bounded sample, ``per_class`` of each verdict.
+labelled URLs: those that a rule decides, or those of a table of labels. The training rows are a bounded sample, ``per_class`` of each verdict;
+each weighs as many labelled rows as it stands for, so the share of either verdict is the true one at every size.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A to Z lower-cased. Path: from there up to ``?``, ``#`` or the end. A
 rule ``host/path`` fits its host and all subdomains if the path begins with the rule's; of fitting rules the longest wins.
@@ -116,18 +117,24 @@ def train(labelled: DataFrame, per_class: int = 5000, rounds: int = 12, depth: i
 
     The statistics cover all labelled rows, the trees a sample of at most ``per_class`` rows of each label.
     """
-    labels = [r.label for r in labelled.select("label").distinct().collect()]
-    if len(labels) < 2:
-        return BLOCK if labels == [1] else ALLOW
+    there = dict(labelled.groupBy("label").count().collect())
+    if len(there) < 2:
+        return BLOCK if 1 in there else ALLOW
     rates = {name: materialize(_rates(labelled, name), "rates") for name in ("suffix", "domain")}
     # The sample is bounded, so a few partitions hold it.
     sample = materialize(bounded_sample(labelled.select("page", "label", "lexical", "suffix", "domain"), "label", "page", per_class), "sample")
-    data = _vectors(sample, rates).select("label", "features").coalesce(8)
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=7, subsamplingRate=1.0, cacheNodeIds=False)
+    taken = dict(sample.groupBy("label").count().collect())
+    scale = sum(taken.values()) / sum(there.values())
+    weight = F.when(F.col("label") == 1, there[1] / taken[1] * scale).otherwise(there[0] / taken[0] * scale)
+    data = _vectors(sample, rates).select("label", "features", weight.alias("weight")).coalesce(8)
+    trees = GBTClassifier(weightCol="weight", maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=7, subsamplingRate=1.0, cacheNodeIds=False)
     return trees.fit(data), rates
 
 
-def judge(pages: DataFrame, rules: dict[str, str], labels: DataFrame | None = None, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judge(
+    pages: DataFrame, rules: dict[str, str], labels: DataFrame | None = None, id_column: str = "page_id", url_column: str = "url",
+    per_class: int = 5000,
+) -> DataFrame:
     """One row per page: id, host, path, rule and verdict.
 
     ``labels``: optional rows (id, verdict) of pages to learn from; if not given, the pages that a rule decides are learned from.
@@ -141,7 +148,7 @@ def judge(pages: DataFrame, rules: dict[str, str], labels: DataFrame | None = No
         given = labels.select(F.col(id_column).alias("page"), F.col("verdict").alias("known"))
         known = ruled.join(given, "page")
     labelled = known.where(F.col("known").isNotNull()).withColumn("label", (F.col("known") == BLOCK).cast("int"))
-    model = train(labelled)
+    model = train(labelled, per_class)
     if isinstance(model, str):
         judged = ruled.withColumn("guess", F.lit(model))
     else:
