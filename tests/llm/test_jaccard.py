@@ -1,12 +1,13 @@
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 from veilframe.llm import jaccard
 from veilframe.llm.components import components
-from veilframe.llm.jaccard import near_duplicates, signatures
+from veilframe.llm.jaccard import COUNTERS, first_shingles, linked, near_duplicates, signatures
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -57,8 +58,6 @@ def test_chains_and_large_families_in_blocks(spark, monkeypatch, percent):
 
 
 def test_sets_that_link_share_a_signature():
-    import numpy as np
-
     rng = np.random.default_rng(3)
     for size in [1, 2, 5, 9, 10, 11, 19, 20, 40, 150, 700]:
         for percent in (80, 90):
@@ -72,6 +71,47 @@ def test_sets_that_link_share_a_signature():
                 assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist()), (size, percent, gone)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_the_smaller_of_two_linked_sets_is_indexed_under_a_first_shingle_of_the_larger(percent):
+    rng = np.random.default_rng(percent)
+    order = rng.integers(2, 9, COUNTERS).astype(np.uint8)
+    tried = 0
+    for size in [1, 2, 5, 9, 10, 19, 20, 41, 150]:
+        for _ in range(40):
+            both = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            a = np.unique(np.append(both, rng.integers(0, 1 << 63, rng.integers(0, size // 5 + 2), dtype=np.uint64)))
+            b = np.unique(np.append(both, rng.integers(0, 1 << 63, rng.integers(0, size // 5 + 2), dtype=np.uint64)))
+            a, b = sorted((a, b), key=len)
+            if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                tried += 1
+                (keys, indexed), (others, _) = first_shingles(a, percent, order), first_shingles(b, percent, order)
+                assert np.intersect1d(keys[indexed], others).size
+    assert tried > 20
+
+
+def test_sets_that_are_not_indexed_meet_only_those_that_are():
+    sets = [np.arange(10, dtype=np.uint64)] * 3
+    assert linked([1, 2, 3], sets, 90, [1, 2, 3], [False, False, False]) == []
+    assert {frozenset(x) for x in linked([1, 2, 3], sets, 90, [1, 2, 3], [False, True, False])} == {frozenset((1, 2)), frozenset((2, 3))}
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_copies_that_share_signatures_but_hardly_link(spark, monkeypatch, width, percent):
+    # Copies with one to four words changed: few link, all share much. Some are pairs that link with each other only.
+    for name, value in (("BLOCK_SETS", 4), ("MOST_BLOCK_SETS", 8)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(160):
+        words = [f"w{k}" for k in range(60)]
+        for at in rng.choice(60, i % 5, replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+        if i % 7 == 0:
+            rows.append((1000 + i, " ".join([*words, "more"])))
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), width, percent)
+
+
 def test_empty(no_docs):
     assert near_duplicates(no_docs).collect() == []
 

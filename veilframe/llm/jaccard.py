@@ -3,12 +3,15 @@
 Which sets meet: two sets of sizes a and b link only if they differ in at most ``(100 - p)(a + b) / (100 + p)`` shingles. So if the hash range is cut
 into more parts than that, at least one part is equal in both. Every set gives a signature per part; sets with a common signature form families,
 one for each first node of any of their signatures. Signatures are compressed before the shuffle (each once per input batch, packed by ranges) and never paired: the rest point to the first.
-A set first joins only the family that most of its signatures speak for. Its other families come second, and only those whose sets then still lie in several components.
+A set first joins only the family that most of its signatures speak for. Sets of families that then still lie in several components are open: only they may
+have links left. One global order is put on the shingles of all open sets, rare ones first, and a link's sets then have a shingle in common among the first of
+both: among the first ``(100 - p) / (100 + p)`` of the smaller set, which is indexed under them, and the first ``(100 - p) / 100`` of the larger one. So open sets
+meet per such shingle, an indexed one with any. Copies of one text that differ too much to link begin with shingles of their own and no longer meet.
 
-Which sets link: a family's sets are put in one global order, frequent shingles first, and stored in a compressed prefix tree. Each set walks the
+Which sets link: the shingles of a family's sets are put in one order, frequent ones first, and the sets are stored in a compressed prefix tree. Each set walks the
 tree before it enters it, sharing the overlap counted so far among all sets below a node, and leaves out subtrees that can't reach the
 threshold with the lengths that remain, and subtrees that it is already connected with. Large families come in blocks: first every block
-with one hub block; only blocks that this leaves unconnected meet each other. So no group of rows in one task is unbounded, no pairs are listed, and no
+with one hub block, which holds all indexed sets if they are few; only blocks that this leaves unconnected meet each other. So no group of rows in one task is unbounded, no pairs are listed, and no
 link between different components is missed.
 
 Defined results: texts without words have an empty set and link with nothing. Null texts are empty. Rows that share an id are one node with all their
@@ -34,6 +37,8 @@ from veilframe.session import materialize
 
 BLOCK_SETS, MOST_BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 20
 EDGE, SIGNATURE, MET = -1, -2, -3
+#: The global order of shingles tells them apart by counters of so many hash ranges, sent around in chunks. A broadcast of one byte each, whatever the input.
+COUNTERS, COUNTER_CHUNK = 1 << 22, 1 << 14
 #: Text characters per bucket of signatures: with one signature for every few characters, some hundred thousand in a bucket.
 BUCKET_CHARS = 4_000_000
 _COLUMNS = ["key", "node", "other", "size", "packed"]
@@ -192,6 +197,10 @@ def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary())], names=["id", "body"])
 
 
+def _inflated(bodies) -> list[str]:
+    return [zlib.decompress(b).decode() for b in bodies]
+
+
 class _Node:
     __slots__ = ("part", "children", "ends", "least", "most", "one")
 
@@ -218,8 +227,11 @@ class PrefixTree:
             i = self.parent[i]
         return i
 
-    def join(self, q: np.ndarray, known: int) -> list[int]:
-        """Earlier sets that link with ``q``: one or more of every component that has any, but for those in the ``known`` one of ``q``."""
+    def join(self, q: np.ndarray, known: int, enters: bool = True) -> list[int]:
+        """Earlier sets that link with ``q``: one or more of every component that has any, but for those in the ``known`` one of ``q``.
+
+        A set that doesn't enter the tree is not met by later ones.
+        """
         own, links = self.sets, []
         self.parent.append(self.find(self.first[known]) if known in self.first else own)
         self.first.setdefault(known, own)
@@ -247,7 +259,8 @@ class PrefixTree:
                     links.append(other)
             stack += [(child, depth, overlap) for child in node.children.values()]
         self.within[q] = False
-        self._add(q, own)
+        if enters:
+            self._add(q, own)
         return links
 
     def _add(self, q: np.ndarray, own: int) -> None:
@@ -278,9 +291,16 @@ class PrefixTree:
             n.one = below[0] if min(below) >= 0 and len({self.find(b) for b in below}) == 1 else -1
 
 
-def linked(nodes: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect all linked sets, found with a prefix tree. Sets of one ``known`` component count as connected."""
+def linked(
+    nodes: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None, indexed: list[bool] | None = None
+) -> list[tuple[int, int]]:
+    """Links that connect all linked sets, found with a prefix tree. Sets of one ``known`` component count as connected.
+
+    With ``indexed``, sets that aren't indexed only meet those that are.
+    """
     used = [i for i, s in enumerate(sets) if len(s)]
+    if indexed is not None:
+        used.sort(key=lambda i: not indexed[i])
     if len(used) < 2:
         return []
     _, ranks, counts = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
@@ -290,10 +310,106 @@ def linked(nodes: list[int], sets: list[np.ndarray], percent: int, known: list[i
     tree = PrefixTree(percent, len(counts))
     out = []
     for n, s in enumerate(ordered):
-        out += [(nodes[used[n]], nodes[used[o]]) for o in tree.join(np.sort(s), n if known is None else known[used[n]])]
+        found = tree.join(np.sort(s), n if known is None else known[used[n]], indexed is None or bool(indexed[used[n]]))
+        out += [(nodes[used[n]], nodes[used[o]]) for o in found]
     return [(a, b) for a, b in out if a != b]
 
 
+def _counters(width: int):
+    """Per task: how many shingles of its sets fall into each hash range, as one packed row per chunk of ranges."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in shingle_sets(_inflated(batch.column("body").to_pylist()), width):
+                np.add.at(total, _counter_of(s), 1)
+        for chunk in range(COUNTERS // COUNTER_CHUNK):
+            counts = total[chunk * COUNTER_CHUNK : (chunk + 1) * COUNTER_CHUNK]
+            at = np.flatnonzero(counts)
+            if len(at):
+                packed = at.astype(np.uint16).tobytes() + counts[at].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed], pa.binary())], names=["chunk", "packed"])
+
+    return work
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk: the sum of each chunk's counters, as one byte each (see ``_class_of``)."""
+    current, total = None, np.zeros(COUNTER_CHUNK, np.int64)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([current]), pa.array([_class_of(total).tobytes()], pa.binary())], names=["chunk", "packed"])
+
+    for batch in batches:
+        for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            if chunk != current:
+                if current is not None:
+                    yield row()
+                current, total = chunk, np.zeros(COUNTER_CHUNK, np.int64)
+            n = len(packed) // 10
+            total[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.int64, n, 2 * n)
+    if current is not None:
+        yield row()
+
+
+def _class_of(counts: np.ndarray) -> np.ndarray:
+    """0 for none, 1 for one, from 5 on in quarters of powers of two."""
+    return np.where(counts > 0, np.floor(4 * np.log2(np.maximum(counts, 1))) + 1, 0).astype(np.uint8)
+
+
+def _counter_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def first_shingles(shingles: np.ndarray, percent: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a set under which it meets others, and whether it is indexed under each.
+
+    Of two sets that link, the smaller one is indexed under a shingle that is also among the larger one's. Shingles alone in their hash range are left out.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles, np.empty(0, bool)
+    rarity = order[_counter_of(shingles)]
+    indexed = n - -(-2 * percent * n // (100 + percent)) + 1
+    chosen = np.lexsort((shingles, rarity))[: n - -(-percent * n // 100) + 1]
+    shared = rarity[chosen] != 1
+    return shingles[chosen][shared], (np.arange(len(chosen)) < indexed)[shared]
+
+
+def _first_shingles(width: int, percent: int, order):
+    """Rows (node, family, indexed): the shingles under which each set meets others."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            sets = shingle_sets(_inflated(batch.column("body").to_pylist()), width)
+            for node, s in zip(ids.tolist(), sets, strict=True):
+                key, indexed = first_shingles(s, percent, order.value)
+                arrays = [pa.array(np.full(len(key), node, np.int64)), pa.array(key.view(np.int64)), pa.array(indexed)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "family", "indexed"])
+
+    return work
+
+
+def _meeting(bodies: DataFrame, opened: DataFrame, width: int, percent: int) -> DataFrame:
+    """Groups (node, family, component, indexed) in which all links between the components of ``opened`` (node, component) lie."""
+    spark = bodies.sparkSession
+    counters = bodies.mapInArrow(_counters(width), "chunk long, packed binary").repartition("chunk").sortWithinPartitions("chunk")
+    order = np.zeros(COUNTERS, np.uint8)
+    for chunk, packed in counters.mapInArrow(_classes, "chunk long, packed binary").collect():
+        order[chunk * COUNTER_CHUNK : (chunk + 1) * COUNTER_CHUNK] = np.frombuffer(packed, np.uint8)
+    order = spark.sparkContext.broadcast(order)
+    keys = bodies.mapInArrow(_first_shingles(width, percent, order), "node long, family long, indexed boolean")
+    rows = materialize(keys.groupBy("node", "family").agg(F.max("indexed").alias("indexed")).join(opened, "node"), "meeting")
+    # Groups of the same sets are one group.
+    who = [F.bit_xor(F.xxhash64("node", "indexed")), F.sum(F.xxhash64("indexed", "node").cast("decimal(38,0)")), F.count("*")]
+    groups = rows.groupBy("family").agg(
+        F.struct(*who).alias("who"), F.min("component").alias("a"), F.max("component").alias("b"), F.max("indexed").alias("any")
+    )
+    groups = groups.where("a <> b and any").groupBy("who").agg(F.min("family").alias("family"))
+    return materialize(rows.join(groups.select("family"), "family").select("node", "family", "component", "indexed"), "groups")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable over links)."""
     if not 0 < percent <= 100 or not 0 < width < 32:
@@ -321,8 +437,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90, id_colum
     chosen = chosen.union(chosen.select(F.col("family").alias("node"), "family")).distinct()
     copies = each.where("id <> stands").select(F.col("id").alias("u"), F.col("stands").alias("v"))
     # Each node meets the family it has most in common with; further families only matter where they still span several components.
-    found = _hub_components(texts, each, chosen, copies, width, percent)[0]
-    found = _linked_components(texts, each, _spanning(stars, found), found.select(F.col("node").alias("u"), F.col("component").alias("v")), width, percent)
+    found = _hub_components(_bodies(texts, chosen), each, chosen, copies, width, percent)[0]
+    opened, (left,) = saved(_spanning(stars, found).select("node", "component").distinct(), "opened")
+    if left:
+        bodies = _bodies(texts, opened)
+        groups = _meeting(bodies, opened, width, percent)
+        found = _linked_components(bodies, each, groups, found.select(F.col("node").alias("u"), F.col("component").alias("v")), width, percent)
     return each.join(found, each["id"] == found["node"], "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
@@ -336,57 +456,65 @@ def _spanning(stars: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(state.join(spread, "family").select("node", "family", "component"), "spanning")
 
 
+def _bodies(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, body): the texts of ``nodes`` in few bytes, picked out once for all that is done with them."""
+    wanted = texts.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+    return materialize(wanted.mapInArrow(_deflated, "id long, body binary"), "bodies")
+
+
 def _hub_components(
-    texts: DataFrame, each: DataFrame, families: DataFrame, known: DataFrame, width: int, percent: int
+    bodies: DataFrame, each: DataFrame, families: DataFrame, known: DataFrame, width: int, percent: int
 ) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
     """(node, component) under the edges ``known`` (u, v) and the links that come up when, in every family of (node, family), all blocks
     of sets meet the first; the families' rows with their blocks; and the function that finds the links within further groups.
 
-    Nodes may come with a ``component`` that they are known to belong to; links within it aren't looked for.
+    Nodes may come with a ``component`` that they are known to belong to; links within it aren't looked for. They may also come as
+    ``indexed`` or not; of two nodes that aren't, no links are looked for in this family.
     """
     if "component" not in families.columns:
-        families = families.withColumn("component", F.col("node"))
+        families = families.withColumn("component", F.col("node")).withColumn("indexed", F.lit(True))
     sizes = each.groupBy(F.col("id").alias("node")).agg(F.max("n_shingles").alias("size"))
     members, _ = saved(families.join(sizes, "node"), "members")
-    totals = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    known_sizes = [F.count("*").alias("n"), F.sum("size").alias("s"), F.count_if("indexed").alias("i"), F.sum(F.expr("if(indexed, size, 0)")).alias("t")]
+    totals = members.groupBy("family").agg(*known_sizes)
     block = F.least(F.greatest(F.col("n") / 64, F.lit(BLOCK_SETS)), F.lit(MOST_BLOCK_SETS))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("long")
-    placed = members.join(totals.select("family", blocks.alias("blocks")), "family")
-    placed, _ = saved(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
-
-    # The members' texts are picked out once, for all rounds.
-    wanted = texts.join(placed.select(F.col("node").alias("id")), "id", "left_semi")
-    bodies = materialize(wanted.mapInArrow(_deflated, "id long, body binary"), "bodies")
+    # Few indexed sets are the hub block as a whole; then no blocks are left to meet.
+    few = (blocks > 1) & (F.col("i") <= block) & (F.col("t") <= BLOCK_SHINGLES)
+    placed = members.join(totals.select("family", blocks.alias("blocks"), few.alias("few")), "family")
+    dealt = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = F.when(F.col("few"), F.expr("if(indexed, 0, 1 + pmod(xxhash64(node), blocks - 1))")).otherwise(dealt)
+    placed, _ = saved(placed.withColumn("block", dealt.cast("long")), "placed")
 
     def join_sets(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
-        sets = list(shingle_sets([zlib.decompress(b).decode() for b in rows["body"]], width))
-        links = linked(rows["node"].tolist(), sets, percent, rows["component"].tolist())
+        sets = list(shingle_sets(_inflated(rows["body"]), width))
+        links = linked(rows["node"].tolist(), sets, percent, rows["component"].tolist(), rows["indexed"].tolist())
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     def joined(groups: DataFrame) -> DataFrame:
-        """``groups``: node, family, component and the name of a group; all sets of a group meet in a tree."""
-        full = bodies.join(groups, bodies["id"] == groups["node"]).select("family", "part", "node", "component", "body")
+        """``groups``: node, family, component, indexed and the name of a group; all sets of a group meet in a tree."""
+        full = bodies.join(groups, bodies["id"] == groups["node"]).select("family", "part", "node", "component", "indexed", "body")
         return materialize(full.groupBy("family", "part").applyInPandas(join_sets, "u long, v long"), "links")
 
     # The hub block goes to every other block's group.
     others = F.when(F.col("block") > 0, F.array("block")).when(F.col("blocks") == 1, F.array(F.lit(0).cast("long")))
     hub = placed.withColumn("part", F.explode(others.otherwise(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("blocks") - 1, F.lit(1))))))
-    links = joined(hub.select("node", "family", "component", F.col("part").cast("string").alias("part")))
+    links = joined(hub.select("node", "family", "component", "indexed", F.col("part").cast("string").alias("part")))
     found, _ = saved(components(links.union(known)), "components")
     return found, placed, joined
 
 
 def _linked_components(
-    texts: DataFrame, each: DataFrame, families: DataFrame, known: DataFrame, width: int, percent: int
+    bodies: DataFrame, each: DataFrame, families: DataFrame, known: DataFrame, width: int, percent: int
 ) -> DataFrame:
-    """(node, component) under the links within ``families`` (node, family, component) and the edges ``known`` (u, v)."""
-    found, placed, joined = _hub_components(texts, each, families, known, width, percent)
+    """(node, component) under the links within ``families`` (node, family, component, indexed) and the edges ``known`` (u, v)."""
+    found, placed, joined = _hub_components(bodies, each, families, known, width, percent)
     placed = placed.drop("component")
-    large = placed.where("blocks > 1")
+    large = placed.where("blocks > 1 and not few")
     state = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_families = state.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("family")
-    state, (unconnected,) = saved(state.join(open_families, "family").select("node", "family", "component", "size"), "open")
+    state, (unconnected,) = saved(state.join(open_families, "family").select("node", "family", "component", "indexed", "size"), "open")
     if not unconnected:
         return found
     # Blocks anew: large components in blocks of their own, which needn't meet each other; the rest pooled.
@@ -398,19 +526,20 @@ def _linked_components(
     shapes = own.select("family", "pool", cut.cast("long").alias("cuts")).union(
         pooled.select("family", F.lit(None).cast("long").alias("pool"), cut.cast("long").alias("cuts"))
     )
+    # Blocks of sets that aren't indexed don't meet each other either.
     names = state.join(sized.select("family", "component", "alone"), ["family", "component"]).withColumn("pool", F.when(F.col("alone"), F.col("component")))
     again = names.alias("n").join(shapes.alias("s"), (F.col("n.family") == F.col("s.family")) & F.col("n.pool").eqNullSafe(F.col("s.pool")))
     again = materialize(
-        again.select(F.col("n.node").alias("node"), F.col("n.family").alias("family"), F.col("n.component").alias("component"), F.col("n.pool").alias("pool"), F.pmod(F.xxhash64(F.col("n.node")), F.col("cuts")).alias("cut")),
+        again.select(F.col("n.node").alias("node"), F.col("n.family").alias("family"), F.col("n.component").alias("component"), F.col("n.indexed").alias("indexed"), F.col("n.pool").alias("pool"), F.pmod(F.xxhash64(F.col("n.node")), F.col("cuts")).alias("cut")),
         "again",
     )
-    listed = again.select("family", F.struct(F.coalesce("pool", F.lit(-1)).alias("pool"), F.col("pool").isNull().alias("mixed"), "cut").alias("b")).distinct()
+    own_block = F.struct(F.coalesce("pool", F.lit(-1)).alias("pool"), F.col("pool").isNull().alias("mixed"), "cut", "indexed")
+    listed = again.select("family", own_block.alias("b")).distinct()
     pairs = listed.alias("x").join(listed.alias("y"), F.col("x.family") == F.col("y.family")).where(
         (F.col("x.b") < F.col("y.b")) & ((F.col("x.b.pool") != F.col("y.b.pool")) | F.col("x.b.mixed") | F.col("y.b.mixed")) | (F.col("x.b") == F.col("y.b")) & F.col("x.b.mixed")
-    )
+    ).where("x.b.indexed or y.b.indexed")
     pairs = pairs.select(F.col("x.family").alias("family"), F.col("x.b").alias("first"), F.col("y.b").alias("second"))
     part = F.concat_ws("/", F.to_json("first"), F.to_json("second"))
     ends = pairs.select("family", part.alias("part"), F.explode(F.array_distinct(F.array("first", "second"))).alias("b"))
-    own_block = F.struct(F.coalesce("pool", F.lit(-1)).alias("pool"), F.col("pool").isNull().alias("mixed"), "cut")
-    groups = again.withColumn("b", own_block).join(ends, ["family", "b"]).select("node", "family", "component", "part")
+    groups = again.withColumn("b", own_block).join(ends, ["family", "b"]).select("node", "family", "component", "indexed", "part")
     return components(joined(groups).union(found.select("node", "component")))
