@@ -37,8 +37,6 @@ from veilframe.session import materialize
 
 BLOCK_SETS, MOST_BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 20
 EDGE, SIGNATURE, MET = -1, -2, -3
-#: The global order of shingles tells them apart by counters of so many hash ranges, sent around in chunks. A broadcast of one byte each, whatever the input.
-COUNTERS, COUNTER_CHUNK = 1 << 22, 1 << 14
 #: Text characters per bucket of signatures: with one signature for every few characters, some hundred thousand in a bucket.
 BUCKET_CHARS = 4_000_000
 _COLUMNS = ["key", "node", "other", "size", "packed"]
@@ -315,92 +313,44 @@ def linked(
     return [(a, b) for a, b in out if a != b]
 
 
-def _counters(width: int):
-    """Per task: how many shingles of its sets fall into each hash range, as one packed row per chunk of ranges."""
+def _shingle_rows(width: int):
+    """Rows (node, tag, shingle) of all sets; the tag holds a set's size and tells the sets of a node apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for s in shingle_sets(_inflated(batch.column("body").to_pylist()), width):
-                np.add.at(total, _counter_of(s), 1)
-        for chunk in range(COUNTERS // COUNTER_CHUNK):
-            counts = total[chunk * COUNTER_CHUNK : (chunk + 1) * COUNTER_CHUNK]
-            at = np.flatnonzero(counts)
-            if len(at):
-                packed = at.astype(np.uint16).tobytes() + counts[at].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed], pa.binary())], names=["chunk", "packed"])
+            sets = shingle_sets(_inflated(batch.column("body").to_pylist()), width)
+            for node, s in zip(batch.column("id").to_pylist(), sets, strict=True):
+                tag = zlib.crc32(s.tobytes()) >> 1 << 32 | len(s)
+                arrays = [pa.array(np.full(len(s), x, np.int64)) for x in (node, tag)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(s.view(np.int64))], names=["node", "tag", "shingle"])
 
     return work
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chunk: the sum of each chunk's counters, as one byte each (see ``_class_of``)."""
-    current, total = None, np.zeros(COUNTER_CHUNK, np.int64)
-
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([current]), pa.array([_class_of(total).tobytes()], pa.binary())], names=["chunk", "packed"])
-
-    for batch in batches:
-        for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-            if chunk != current:
-                if current is not None:
-                    yield row()
-                current, total = chunk, np.zeros(COUNTER_CHUNK, np.int64)
-            n = len(packed) // 10
-            total[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.int64, n, 2 * n)
-    if current is not None:
-        yield row()
-
-
-def _class_of(counts: np.ndarray) -> np.ndarray:
-    """0 for none, 1 for one, from 5 on in quarters of powers of two."""
-    return np.where(counts > 0, np.floor(4 * np.log2(np.maximum(counts, 1))) + 1, 0).astype(np.uint8)
-
-
-def _counter_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
-
+def first_shingles(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, family, indexed): shingles under which the sets of ``rows`` (node, tag, shingle) meet, and whether a set is indexed there.
 
-def first_shingles(shingles: np.ndarray, percent: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of a set under which it meets others, and whether it is indexed under each.
-
-    Of two sets that link, the smaller one is indexed under a shingle that is also among the larger one's. Shingles alone in their hash range are left out.
+    Of two sets that link, the smaller one is indexed under a shingle that is also among the larger one's. Shingles go by how many sets
+    have them, rare ones first; those of one set alone come first and are only counted. Counts are added before the shuffle, and
+    a shingle that many sets have has one row on its side of the join, so that Spark can split the other side.
     """
-    n = len(shingles)
-    if not n:
-        return shingles, np.empty(0, bool)
-    rarity = order[_counter_of(shingles)]
-    indexed = n - -(-2 * percent * n // (100 + percent)) + 1
-    chosen = np.lexsort((shingles, rarity))[: n - -(-percent * n // 100) + 1]
-    shared = rarity[chosen] != 1
-    return shingles[chosen][shared], (np.arange(len(chosen)) < indexed)[shared]
-
-
-def _first_shingles(width: int, percent: int, order):
-    """Rows (node, family, indexed): the shingles under which each set meets others."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            sets = shingle_sets(_inflated(batch.column("body").to_pylist()), width)
-            for node, s in zip(ids.tolist(), sets, strict=True):
-                key, indexed = first_shingles(s, percent, order.value)
-                arrays = [pa.array(np.full(len(key), node, np.int64)), pa.array(key.view(np.int64)), pa.array(indexed)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["node", "family", "indexed"])
-
-    return work
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.join(counts, "shingle").groupBy("node", "tag").agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("shared"))
+    size = F.col("tag").bitwiseAND((1 << 32) - 1)
+    # Whole numbers throughout: places before these in the order are first ones.
+    until = size - F.expr(f"({percent} * size + 99) div 100") + 1
+    indexed = size - F.expr(f"({2 * percent} * size + {99 + percent}) div {100 + percent}") + 1
+    places = shared.withColumn("size", size).withColumn("alone", F.col("size") - F.size("shared"))
+    places = places.withColumn("until", until).withColumn("indexed_until", indexed)
+    chosen = places.selectExpr("node", "alone", "indexed_until", "posexplode(slice(shared, 1, int(greatest(until - alone, 0)))) as (pos, first)")
+    found = chosen.select("node", F.col("first.shingle").alias("family"), (F.col("pos") + F.col("alone") < F.col("indexed_until")).alias("indexed"))
+    return found.groupBy("node", "family").agg(F.max("indexed").alias("indexed"))
 
 
 def _meeting(bodies: DataFrame, opened: DataFrame, width: int, percent: int) -> DataFrame:
     """Groups (node, family, component, indexed) in which all links between the components of ``opened`` (node, component) lie."""
-    spark = bodies.sparkSession
-    counters = bodies.mapInArrow(_counters(width), "chunk long, packed binary").repartition("chunk").sortWithinPartitions("chunk")
-    order = np.zeros(COUNTERS, np.uint8)
-    for chunk, packed in counters.mapInArrow(_classes, "chunk long, packed binary").collect():
-        order[chunk * COUNTER_CHUNK : (chunk + 1) * COUNTER_CHUNK] = np.frombuffer(packed, np.uint8)
-    order = spark.sparkContext.broadcast(order)
-    keys = bodies.mapInArrow(_first_shingles(width, percent, order), "node long, family long, indexed boolean")
-    rows = materialize(keys.groupBy("node", "family").agg(F.max("indexed").alias("indexed")).join(opened, "node"), "meeting")
+    shingles = bodies.mapInArrow(_shingle_rows(width), "node long, tag long, shingle long")
+    rows = materialize(first_shingles(shingles, percent).join(opened, "node"), "meeting")
     # Groups of the same sets are one group.
     who = [F.bit_xor(F.xxhash64("node", "indexed")), F.sum(F.xxhash64("indexed", "node").cast("decimal(38,0)")), F.count("*")]
     groups = rows.groupBy("family").agg(
