@@ -22,7 +22,7 @@ from veilframe.operators.stats import workbook_summary
 from veilframe.operators.throttle import throttle_audit
 from veilframe.plans.columns import plan_catalog
 from veilframe.plans.rules import DEFAULT_RULES, Rule, RuleSet
-from veilframe.session import scratch_path
+from veilframe.session import scratch_path, stored_bytes
 from veilframe.sinks.outputs import read_runs, sheets_of, write_csv, write_outputs
 from veilframe.sinks.retention import expired
 from veilframe.sources.screening import screen
@@ -35,6 +35,8 @@ from veilframe.streaming.throttle import throttle_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 KEEP_ALL = RuleSet()
+#: Bytes of files that a task reads or writes, where a query deals them out itself.
+TASK_BYTES = 1 << 25
 CUSTOM_RULES = RuleSet.from_dict(
     {
         "version": "1",
@@ -427,13 +429,17 @@ def csv_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as several CSV files full of quoted line breaks, read in splits of 64 KiB: the rows in order of their position."""
     path = scratch_path(spark, "csv")
     docs = fx.table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.csv(
+    files = max(3, stored_bytes(spark, f"{sf}/documents.parquet") // TASK_BYTES)
+    docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").write.csv(
         path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
     # A session of its own, as the size of splits is a session's setting.
     own = spark.newSession()
     own.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     own.conf.set("spark.sql.files.openCostInBytes", "0")
+    # A task for every few splits: their number grows with the input, a task's start costs more than a split.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, stored_bytes(spark, path) // TASK_BYTES)
+    own.conf.set("spark.sql.files.maxPartitionNum", str(tasks))
     sheet = read_csv_sheet(own, "documents", path)
     return number_rows(sheet.frame, [POSITION], "numbered", "n").drop(POSITION)
 

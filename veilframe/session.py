@@ -96,6 +96,12 @@ def file_system(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def stored_bytes(spark: SparkSession, name: str) -> int:
+    """Bytes of a file, or of all files in a folder."""
+    path, files = file_system(spark, name)
+    return files.getContentSummary(path).getLength()
+
+
 def move_new(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a file or folder in one step. False, and nothing done, if the target exists already."""
     path, files = file_system(spark, target)
