@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe import Sheet, Workbook, clean_workbook, detect
-from veilframe.operators.detect import PATTERNS, first_values
+from veilframe.functions.dates import date_shape, looks_like_date, shape_hits
+from veilframe.functions.text import trim_ws
+from veilframe.operators.detect import PATTERNS, _hits, first_values, measure
 
 
 def best(sheet, header, values, dtype="string"):
@@ -137,3 +139,29 @@ def test_full_scan_without_an_order(spark):
     assert [(r.header, r.sample_size, r.sample_values) for r in found.report(include_samples=True).orderBy("col_idx").collect()] == [
         ("Mail", 1, []), ("never", 0, []),
     ]
+
+
+def test_value_tests_stay_compiled(spark):
+    """No generated method beyond 8000 bytes, which the JVM would only interpret."""
+    values = spark.createDataFrame([(0, 0, "text", "1990-01-05"), (0, 0, "text", "5 Jan 1990"), (0, 0, "text", "no date"), (0, 0, "text", None)],
+                                   "sheet_idx int, col_idx int, kind string, value string")
+    counted = measure(values).groupBy("sheet_idx", "col_idx").agg(*_hits())
+    date = [p.type for p in PATTERNS].index("date")
+    assert counted.first()[f"h{date}"] == 2
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # shows the code of the whole plan without running it
+    try:
+        parts = measure(values).groupBy("sheet_idx", "col_idx").agg(*_hits())._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert parts.size()
+    assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000
+
+
+def test_date_hits_say_what_the_date_test_says(spark):
+    texts = ["", None, " 1990", "1990-02-30", "1890-01-01x", "2024-01-02T10:00:00Z", "1/2/90", "1/2/1899", "99-1-2000", "Jan 5, 1990",
+             " 5 January 1990 ", "Foo 5 1990", "3000", "1990/1/5", "12345", "7/8/123", "x1990-01-01", "1/2-1990"]
+    value, trimmed = F.col("v"), trim_ws(F.col("v"))
+    hits = shape_hits(value, date_shape(value, trimmed), trimmed)
+    found = spark.createDataFrame([(t,) for t in texts], "v string").select("v", looks_like_date(value).alias("a"), F.array(*hits).alias("b"))
+    assert all([h for h in r["b"] if h] == [1] * r["a"] for r in found.collect())

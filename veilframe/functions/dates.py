@@ -56,20 +56,33 @@ def _month_to_number(ymd: Column) -> Column:
     return F.concat(F.substring(ymd, 1, 5), month, F.substring(ymd, 9, 3))
 
 
-def parse_date(c: Column, day_first: bool = False, trimmed: Column | None = None) -> Column:
-    """Text to date, null when the text is outside the grammar. ``trimmed``: the trimmed text, if the caller has it already."""
-    s = trim_ws(c) if trimmed is None else trimmed
+def _grammar(s: Column, day_first: bool = False) -> list[tuple[Column, Column]]:
+    """The forms of the grammar for trimmed texts: what a text of the form looks like, and its date. The first form that fits counts."""
     month_first = _rewrite(s, _MONTH_DAY_YEAR)
     numeric = month_first.try_cast("date")
     if day_first:
         swapped = tuple((pattern, to.replace("$1-$3", "$3-$1")) for pattern, to in _MONTH_DAY_YEAR)
         numeric = F.coalesce(_rewrite(s, swapped).try_cast("date"), numeric)
-    return (
-        F.when(s.rlike(_CALENDAR), F.translate(s, "/", "-").try_cast("date"))
-        .when(s.rlike(_DATETIME), s.try_cast("timestamp").cast("date"))
-        .when(s.rlike("^[0-9]+[/-]"), numeric)
-        .when(s.rlike("[A-Za-z]{3}.* "), _month_to_number(_rewrite(s, _NAMED)).try_cast("date"))
-    )
+    return [
+        (s.rlike(_CALENDAR), F.translate(s, "/", "-").try_cast("date")),
+        (s.rlike(_DATETIME), s.try_cast("timestamp").cast("date")),
+        (s.rlike("^[0-9]+[/-]"), numeric),
+        (s.rlike("[A-Za-z]{3}.* "), _month_to_number(_rewrite(s, _NAMED)).try_cast("date")),
+    ]
+
+
+def _first(cases: list[tuple[Column, Column]]) -> Column:
+    """The value of the first case whose condition holds, else null."""
+    (condition, value), *rest = cases
+    chosen = F.when(condition, value)
+    for condition, value in rest:
+        chosen = chosen.when(condition, value)
+    return chosen
+
+
+def parse_date(c: Column, day_first: bool = False, trimmed: Column | None = None) -> Column:
+    """Text to date, null when the text is outside the grammar. ``trimmed``: the trimmed text, if the caller has it already."""
+    return _first(_grammar(trim_ws(c) if trimmed is None else trimmed, day_first))
 
 
 def to_date(c: Column, dtype: T.DataType, day_first: bool = False, numeric_dates: str | None = None) -> Column:
@@ -97,15 +110,36 @@ def _plausible(year: Column) -> Column:
     return (year > YEAR_AFTER) & (year < YEAR_BEFORE)
 
 
-def looks_like_date(c: Column, trimmed: Column | None = None) -> Column:
-    """Shape test on text: ISO prefix, slash or dash form, else the grammar plus a 4-digit run."""
+def _shapes(c: Column, trimmed: Column | None = None) -> tuple[list[tuple[Column, Column]], Column, list[tuple[Column, Column]]]:
+    """The date-shape test in parts: ISO prefix and slash form with what else they ask for, what other texts must look like, and
+    the forms of the grammar with what they ask for.
+    """
     iso_year = F.substring(c, 1, 4).try_cast("int")
     last_part = F.regexp_extract(c, r"(\d+)\z", 1)
-    general = c.rlike(_DATE_LIKE) & c.rlike(r"\d{4}") & _plausible(F.year(parse_date(c, trimmed=trimmed)))
-    return F.coalesce(
-        F.when(~c.rlike("[0-9]"), F.lit(False))
-        .when(c.rlike(ISO_PREFIX), _plausible(iso_year))
-        .when(c.rlike(SLASH_SHAPE), (F.length(last_part) != 4) | _plausible(last_part.try_cast("int")))
-        .otherwise(general),
-        F.lit(False),
-    )
+    plain = [
+        (c.rlike(ISO_PREFIX), _plausible(iso_year)),
+        (c.rlike(SLASH_SHAPE), (F.length(last_part) != 4) | _plausible(last_part.try_cast("int"))),
+    ]
+    forms = _grammar(trim_ws(c) if trimmed is None else trimmed)
+    return plain, c.rlike(_DATE_LIKE) & c.rlike(r"\d{4}"), [(looks, _plausible(F.year(date))) for looks, date in forms]
+
+
+def looks_like_date(c: Column, trimmed: Column | None = None) -> Column:
+    """Shape test on text: ISO prefix, slash or dash form, else the grammar plus a 4-digit run."""
+    plain, general, forms = _shapes(c, trimmed)
+    return F.coalesce(_first([(~c.rlike("[0-9]"), F.lit(False)), *plain, (general, _first(forms))]), F.lit(False))
+
+
+def date_shape(c: Column, trimmed: Column | None = None) -> Column:
+    """Which of ``shape_hits`` decides whether the text looks like a date; null if it doesn't without further tests."""
+    plain, general, forms = _shapes(c, trimmed)
+    numbered = [(looks, F.lit(i)) for i, (looks, _) in enumerate(plain + forms)]
+    return _first([(~c.rlike("[0-9]"), F.lit(None).cast("int")), *numbered[: len(plain)], (general, _first(numbered[len(plain) :]))])
+
+
+def shape_hits(c: Column, shape: Column, trimmed: Column | None = None) -> list[Column]:
+    """``looks_like_date`` as columns, one of which is 1 if the text looks like a date; all others are null. Each is short enough for
+    a compiled method of its own, and asks nothing of a text of another shape: not so an AND, of which Spark may evaluate both sides.
+    """
+    plain, _, forms = _shapes(c, trimmed)
+    return [F.when(shape == i, F.when(test, 1)) for i, (_, test) in enumerate(plain + forms)]

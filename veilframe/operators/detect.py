@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions.dates import looks_like_date
+from veilframe.functions.dates import date_shape, shape_hits
 from veilframe.functions.numbers import text_to_number, to_fixed2, whole_number_between
 from veilframe.functions.text import WHITESPACE, blank_sql, is_text, normalize_header, plain_number_sql, trim_ws
 from veilframe.plans.rules import Rule, RuleSet
@@ -49,8 +49,8 @@ class Pattern:
     weight: float | None = None
     suggested: tuple[str, str | None, str | None] | None = None  # action, output name, replacement
 
-    def value_hit(self, of: Callable[[str], Column] = F.col) -> Column | None:
-        """Does one value satisfy the pattern? None when it has no value test.
+    def value_hits(self, of: Callable[[str], Column] = F.col) -> list[Column]:
+        """Columns of which exactly one isn't null if a value satisfies the pattern, else none. Empty when it has no value test.
 
         ``of`` gives what ``measure`` knows of the value, each computed once per value.
         """
@@ -62,9 +62,11 @@ class Pattern:
             tests.append(test & of("value").rlike(self.regex))
         if self.predicate is not None:
             tests.append(self.predicate(of))
+        hits = [F.when(reduce(lambda a, b: a | b, tests), 1)] if tests else []
         if self.is_date:
-            tests.append(of("dated"))
-        return reduce(lambda a, b: a | b, tests) if tests else None
+            dated = shape_hits(of("value"), of("shape"), of("trimmed"))
+            hits += [F.when(hits[0].isNull(), d) for d in dated] if hits else dated
+        return hits
 
     def literal(self, idx: int) -> str:
         """The pattern as an SQL struct; an absent weight is 1."""
@@ -288,9 +290,7 @@ def measure(samples: DataFrame) -> DataFrame:
     kinds = {"is_text": kind == TEXT, "is_number": kind == NUMBER, "is_boolean": kind == BOOLEAN, "trimmed": trim_ws(value)}
     trimmed = F.col("trimmed")
     number = F.when(F.col("is_text"), text_to_number(value, trimmed)).when(F.col("is_number"), value.try_cast("double"))
-    return samples.withColumns(kinds).withColumns(
-        {"chars": F.length(value), "dated": looks_like_date(value, trimmed), "number": number}
-    )
+    return samples.withColumns(kinds).withColumns({"chars": F.length(value), "shape": date_shape(value, trimmed), "number": number})
 
 
 def _shown() -> Column:
@@ -299,9 +299,14 @@ def _shown() -> Column:
 
 
 def _hits() -> list[Column]:
-    """A counter of the values that pass, for each pattern with a value test."""
-    tests = [(i, p.value_hit()) for i, p in enumerate(PATTERNS)]
-    return [F.count_if(t).alias(f"h{i}") for i, t in tests if t is not None]
+    """A counter of the values that pass, for each pattern with a value test.
+
+    The JVM never compiles a method beyond 8000 bytes, and the tests of all patterns are longer. Spark gives counters of plain conditions a method
+    each; ``count_if`` would have all conditions in one, as columns of a projection. The date test is too long for one method and has several counters.
+    """
+    tests = [(i, p.value_hits()) for i, p in enumerate(PATTERNS)]
+    counters = [(i, [F.count(hit) for hit in of]) for i, of in tests if of]
+    return [reduce(lambda a, b: a + b, of).alias(f"h{i}") for i, of in counters]
 
 
 def sample_counts(samples: DataFrame) -> DataFrame:
@@ -332,7 +337,7 @@ def match_rates(counts: DataFrame, workbook: Workbook) -> DataFrame:
     """
     n = F.col("sample_size")
     rates = [
-        F.lit(None).cast("double") if p.value_hit() is None else F.when(n > 0, F.col(f"h{i}") / n).otherwise(0.0)
+        F.lit(None).cast("double") if not p.value_hits() else F.when(n > 0, F.col(f"h{i}") / n).otherwise(0.0)
         for i, p in enumerate(PATTERNS)
     ]
     names = F.get(F.lit([s.name for s in workbook]), "sheet_idx")
