@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.bpe import encode
-from veilframe.llm.common import learnable
+from veilframe.llm.common import learnable, split_by_keys
 from veilframe.llm.dedup import drop_duplicates
 from veilframe.llm.jaccard import near_duplicates
 from veilframe.llm.mixing import sample
@@ -39,8 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id can't be compared with others by it; they all stay.
     """
     found = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
-    others = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    others = materialize(found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "others")
+    may_go, stays = split_by_keys(docs, others, "doc_id")
+    return stays.unionByName(may_go.join(others, "doc_id", "left_anti").select(*docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

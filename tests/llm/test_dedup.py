@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
+from veilframe.llm.common import split_by_keys
 from veilframe.llm.dedup import drop_duplicates, duplicate_groups
 
 
@@ -47,3 +48,28 @@ def test_bad_arguments(no_docs):
         duplicate_groups(no_docs, keep="any")
     with pytest.raises(ValueError):
         duplicate_groups(no_docs, fan_in=1)
+
+
+def test_texts_that_stay_are_not_shuffled_however_many_go(spark):
+    rows = [(i, f"text {i % 40}") for i in range(60)] + [(None, "text 1"), (100, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = drop_duplicates(docs)
+        assert sorted(r.doc_id for r in left.collect()) == [*range(20, 60), 100]
+        # One part of the rows comes through a broadcast filter only.
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "LeftAnti" in plan.split("BroadcastHashJoin", 1)[1].split("\n", 1)[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_are_split_by_keys_without_losing_any(spark):
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(500)] + [(None, "none")], "k int, filter_word string")
+    keys = spark.createDataFrame([(i,) for i in range(0, 500, 5)], "k long")
+    may, none = split_by_keys(rows, keys, "k")
+    first, second = ([r.k for r in part.collect()] for part in (may, none))
+    assert sorted(first + second, key=str) == sorted([*range(500), None], key=str)
+    assert set(range(0, 500, 5)) <= set(first) and len(first) < 150
+    assert may.columns == none.columns == rows.columns

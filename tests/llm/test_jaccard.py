@@ -7,7 +7,8 @@ from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 from veilframe.llm import jaccard
 from veilframe.llm.components import components
-from veilframe.llm.jaccard import first_shingles, linked, near_duplicates, signatures
+from veilframe.llm.jaccard import close_sets, first_shingles, linked, near_duplicates, print_of, signatures
+from veilframe.session import materialize
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -116,6 +117,52 @@ def test_copies_that_share_signatures_but_hardly_link(spark, monkeypatch, width,
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), width, percent)
 
 
+def test_sets_that_link_are_close_by_their_prints():
+    rng = np.random.default_rng(5)
+    told = {True: [], False: []}
+    for _ in range(600):
+        percent, size = int(rng.choice([50, 80, 90, 100])), int(rng.choice([1, 2, 9, 20, 41, 150, 330, 700]))
+        both, share = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2), rng.choice([0, 0.03, 0.06, 0.1])
+        a, b = (np.unique(np.append(both[rng.random(size) >= share], rng.integers(0, 1 << 63, rng.integers(0, size // 8 + 2), dtype=np.uint64))) for _ in "ab")
+        if len(a) and len(b):
+            link = 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+            told[link].append(close_sets(np.array([1, 2]), np.array([len(a), len(b)]), [print_of(a, percent), print_of(b, percent)], percent).all())
+    assert len(told[True]) > 100 and all(told[True])
+    assert len(told[False]) > 100 and sum(told[False]) < 0.2 * len(told[False])
+
+
+def test_sets_of_one_component_are_not_close():
+    prints = [print_of(np.arange(9, dtype=np.uint64) << np.uint64(60), 90)] * 3
+    assert close_sets(np.array([1, 1, 1]), np.array([9, 9, 9]), prints, 90).tolist() == [False] * 3
+    assert close_sets(np.array([1, 1, 2]), np.array([9, 9, 9]), prints, 90).tolist() == [True] * 3
+
+
+def test_texts_are_picked_out_where_they_lie_and_pointers_are_not_multiplied(spark, monkeypatch):
+    # Copies of three texts with single words changed: each shares signatures with many others of its batch and of other batches.
+    plans = {}
+
+    def keep_plan(frame, label):
+        plans.setdefault(label, []).append(frame._jdf.queryExecution().toString())
+        return materialize(frame, label)
+
+    monkeypatch.setattr(jaccard, "materialize", keep_plan)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(90):
+        words = [f"t{i % 3}w{k}" for k in range(70)]
+        for at in rng.choice(70, i % 4, replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 90)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans["bodies"] and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans["bodies"])
+    assert plans["pointed"] and not any("Generate" in p for p in plans["pointed"])
+
+
 def test_empty(no_docs):
     assert near_duplicates(no_docs).collect() == []
 

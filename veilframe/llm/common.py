@@ -12,6 +12,8 @@ from veilframe.session import materialize
 
 #: A table of at most so many narrow rows is worked on by one task, without shuffles.
 ONE_TASK_ROWS = 100_000
+#: Rows of 64 bits each in a filter of keys.
+FILTER_WORDS = 1 << 18
 
 
 def saved(frame: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, list]:
@@ -26,6 +28,22 @@ def saved(frame: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, l
     return (back.coalesce(1) if values[0] <= ONE_TASK_ROWS else back), values
 
 
+def split_by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``key`` may be one of ``keys``, and those whose key is certainly none. Neither part is shuffled.
+
+    Every key sets one bit of a table that has at most ``FILTER_WORDS`` rows, however many keys there are, so it can always be broadcast. The first part
+    has all rows with one of the keys and a few others (the more, the more keys there are), so an exact join with it may have to follow.
+    """
+    word, bits = fresh(rows, "filter_word"), fresh(rows, "filter_bits")
+    # As text, so that an int finds the long that equals it.
+    digest = F.xxhash64(F.col(key).cast("string"))
+    place, bit = F.pmod(digest, F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(digest, 58).cast("int"))
+    table = keys.select(place.alias(word), bit.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    table = F.broadcast(materialize(table, "filter"))
+    found = (place == F.col(word)) & (F.col(bits).bitwiseAND(bit) != 0)
+    return rows.join(table, found, "left_semi"), rows.join(table, found, "left_anti")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import fresh, text_or_empty
+from veilframe.llm.common import fresh, split_by_keys, text_or_empty
 from veilframe.session import materialize
 
 KEY = ["digest", "bytes", "guard"]
@@ -95,14 +95,15 @@ def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """The rows of ``docs`` that stay, with all their columns. Of rows that repeat both id and text the smallest by all columns stays,
     or any of them if columns can't be compared.
 
-    What goes is told by keys of digest and id, so texts are only shuffled where the table of keys is too large to broadcast.
+    What goes is told by keys of digest and id, and a filter of those comes before the join, so that only texts that may go are ever shuffled.
     """
     groups = materialize(duplicate_groups(docs, id_column, text_column, keep), "groups")
     rows, told, key = keyed(docs, groups.where("group_size > 1"), id_column, text_column)
     other = ~F.col("id").eqNullSafe(F.col("keep_id"))
     gone = materialize(told.where(other).select(key).distinct(), "gone")
     repeated = materialize(told.where(~other).groupBy(key).count().where("count > 1").select(key), "repeated")
-    left = rows.join(gone, key, "left_anti")
+    may_go, stays = split_by_keys(rows, gone, key)
+    left = stays.unionByName(may_go.join(gone, key, "left_anti"))
     if repeated.isEmpty():
         return left.drop(key)
     again = left.join(repeated, key)

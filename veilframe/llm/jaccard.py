@@ -2,9 +2,10 @@
 
 Which sets meet: two sets of sizes a and b link only if they differ in at most ``(100 - p)(a + b) / (100 + p)`` shingles. So if the hash range is cut
 into more parts than that, at least one part is equal in both. Every set gives a signature per part; sets with a common signature form families,
-one for each first node of any of their signatures. Signatures are compressed before the shuffle (each once per input batch, packed by ranges) and never paired: the rest point to the first.
+one for each first node of any of their signatures. Signatures are compressed before the shuffle (packed by ranges) and never paired: the rest point to the first.
 A set first joins only the family that most of its signatures speak for. Sets of families that then still lie in several components are open: only they may
-have links left. One global order is put on the shingles of all open sets, rare ones first, and a link's sets then have a shingle in common among the first of
+have links left. Short prints, which differ in no more bytes than the sets do in shingles, tell most of them from all others of their families; those are open no
+longer (families of more than ``MOST_BLOCK_SETS`` stay whole). One global order is put on the shingles of all open sets, rare ones first, and a link's sets then have a shingle in common among the first of
 both: among the first ``(100 - p) / (100 + p)`` of the smaller set, which is indexed under them, and the first ``(100 - p) / 100`` of the larger one. So open sets
 meet per such shingle, an indexed one with any. Copies of one text that differ too much to link begin with shingles of their own and no longer meet.
 
@@ -30,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import saved, text_or_empty
+from veilframe.llm.common import saved, split_by_keys, text_or_empty
 from veilframe.llm.components import components
 from veilframe.llm.shingles import mixed, shingle_sets
 from veilframe.session import materialize
 
 BLOCK_SETS, MOST_BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 20
-EDGE, SIGNATURE, MET = -1, -2, -3
+SIGNATURE, MET = -2, -3
 #: Text characters per bucket of signatures: with one signature for every few characters, some hundred thousand in a bucket.
 BUCKET_CHARS = 4_000_000
+#: Bytes of prints that are compared in one task.
+PRINT_BYTES = 1 << 24
 _COLUMNS = ["key", "node", "other", "size", "packed"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 SCHEMA = "key long, node long, other long, size long, packed binary"
@@ -85,6 +88,40 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(found).view(np.int64), np.concatenate(owners)
 
 
+def print_of(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """A set's print: a byte per part of the hash range. Two sets differ in at least as many shingles as their prints differ in bytes.
+
+    Sets of more shingles have more parts, always a power of two, so that a longer print folds into a shorter one.
+    """
+    most = (100 - percent) * 2 * len(shingles) // (100 + percent) + 1
+    parts = max(16, 1 << (3 * most - 1).bit_length())
+    edges = np.searchsorted(shingles, np.arange(1, parts, dtype=np.uint64) << np.uint64(65 - parts.bit_length()))
+    edges = np.concatenate([[0], edges, [len(shingles)]])
+    sums = np.concatenate([np.zeros(1, np.uint8), np.add.accumulate(shingles.astype(np.uint8), dtype=np.uint8)])
+    return sums[edges[1:]] - sums[edges[:-1]]
+
+
+def close_sets(component: np.ndarray, size: np.ndarray, prints: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets have one in another component that they may link with, going by sizes and prints."""
+    close = np.zeros(len(size), bool)
+    parts = np.fromiter(map(len, prints), np.int64, len(prints))
+    for p in np.unique(parts).tolist():
+        # Sets of other lengths than their own meet in the shorter one.
+        other = np.flatnonzero(parts >= p)
+        table = np.stack([prints[i].reshape(p, -1).sum(axis=1, dtype=np.uint8) for i in other])
+        step = max(1, (1 << 24) // table.size)
+        own = np.flatnonzero(parts == p)
+        for start in range(0, len(own), step):
+            some = own[start : start + step]
+            unlike = np.count_nonzero(table[np.searchsorted(other, some)][:, None, :] != table[None], axis=2)
+            a, b = size[some][:, None], size[other][None]
+            pairs = (unlike * (100 + percent) <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+            pairs &= component[some][:, None] != component[other][None]
+            close[some] |= pairs.any(axis=1)
+            close[other] |= pairs.any(axis=0)
+    return close
+
+
 def _firsts(key: np.ndarray) -> np.ndarray:
     """For each row of a sorted key column the place of the first row with that key."""
     new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
@@ -117,7 +154,7 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(width: int, percent: int, buckets: int):
-    """Per batch: a row per document, edges within the batch, and each signature once, packed by ranges of signatures."""
+    """Per batch: a row per document, and the signatures of its sets, packed by ranges of signatures."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,32 +180,27 @@ def _sketch(width: int, percent: int, buckets: int):
             key = key.view(np.uint64)
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
-            at = _firsts(key)
-            lead = at == np.arange(len(key))
-            ranges = np.searchsorted(key[lead], (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-            ranges = np.concatenate([[0], ranges, [lead.sum()]])
+            ranges = np.searchsorted(key, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
+            ranges = np.concatenate([[0], ranges, [len(key)]])
             full = np.flatnonzero(np.diff(ranges))
-            packed = [_pack(key[lead][ranges[b] : ranges[b + 1]], node[lead][ranges[b] : ranges[b + 1]]) for b in full]
+            packed = [_pack(key[ranges[b] : ranges[b + 1]], node[ranges[b] : ranges[b + 1]]) for b in full]
             none = pa.nulls(len(full), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(full), none, none, pa.array(np.full(len(full), SIGNATURE)), pa.array(packed, pa.binary())], names=_COLUMNS
             )
-            pairs = np.unique(np.stack([node[~lead], node[at[~lead]]]), axis=1)
-            pairs = pairs[:, pairs[0] != pairs[1]]
-            yield _batch(mixed(pairs[0].astype(np.uint64)).view(np.int64), pairs[0], pairs[1], np.full(pairs.shape[1], EDGE))
 
     return work
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: documents and edges pass; of the rows of a signature in its bucket, all point to the smallest node.
+    """Rows sorted by key: documents pass; of the nodes of a signature in its bucket, all point to the smallest one.
 
     The key of a row that points is the number of signatures that say so.
     """
     bucket, parts = None, []
 
     def edges() -> Iterator[pa.RecordBatch]:
-        if len(parts) > 1:
+        if parts:
             key, node = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
@@ -313,6 +345,18 @@ def linked(
     return [(a, b) for a, b in out if a != b]
 
 
+def _print_rows(width: int, percent: int):
+    """Rows (node, size, print) of all sets."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(_inflated(batch.column("body").to_pylist()), width))
+            prints = pa.array([print_of(s, percent).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int64()), prints], names=["node", "size", "print"])
+
+    return work
+
+
 def _shingle_rows(width: int):
     """Rows (node, tag, shingle) of all sets; the tag holds a set's size and tells the sets of a node apart."""
 
@@ -335,7 +379,9 @@ def first_shingles(rows: DataFrame, percent: int) -> DataFrame:
     a shingle that many sets have has one row on its side of the join, so that Spark can split the other side.
     """
     counts = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(counts, "shingle").groupBy("node", "tag").agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("shared"))
+    # Count and shingle in one number, so that half as much is shuffled.
+    code = F.expr("shiftleft(least(n, 32767), 48) | shiftrightunsigned(shingle, 16)")
+    shared = rows.join(counts, "shingle").groupBy("node", "tag").agg(F.array_sort(F.collect_set(code)).alias("shared"))
     size = F.col("tag").bitwiseAND((1 << 32) - 1)
     # Whole numbers throughout: places before these in the order are first ones.
     until = size - F.expr(f"({percent} * size + 99) div 100") + 1
@@ -343,7 +389,7 @@ def first_shingles(rows: DataFrame, percent: int) -> DataFrame:
     places = shared.withColumn("size", size).withColumn("alone", F.col("size") - F.size("shared"))
     places = places.withColumn("until", until).withColumn("indexed_until", indexed)
     chosen = places.selectExpr("node", "alone", "indexed_until", "posexplode(slice(shared, 1, int(greatest(until - alone, 0)))) as (pos, first)")
-    found = chosen.select("node", F.col("first.shingle").alias("family"), (F.col("pos") + F.col("alone") < F.col("indexed_until")).alias("indexed"))
+    found = chosen.select("node", F.col("first").alias("family"), (F.col("pos") + F.col("alone") < F.col("indexed_until")).alias("indexed"))
     return found.groupBy("node", "family").agg(F.max("indexed").alias("indexed"))
 
 
@@ -370,15 +416,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90, id_colum
     rows = texts.mapInArrow(_sketch(width, percent, buckets), SCHEMA).repartition("key").sortWithinPartitions("key")
     met = materialize(rows.mapInArrow(_meet, SCHEMA).drop("packed"), "met")
     each = met.where("size >= 0").select(F.col("node").alias("id"), F.col("other").alias("stands"), F.col("size").alias("n_shingles"))
-    pointing = lambda kind: met.where(f"size = {kind}").select("node", F.col("other").alias("family"), "key")
-    # Whom a batch's first node points to, all that point to it in the batch point to as well.
-    near, far = pointing(EDGE).withColumn("key", F.lit(0).cast("long")), pointing(MET)
-    far = materialize(far.groupBy("node", "family").agg(F.sum("key").alias("key")), "far")
-    # A node's families travel as one list, so that joins have a row per node, however many groups of copies it is in.
-    leads = far.groupBy(F.col("node").alias("family")).agg(F.collect_list(F.struct("family", "key")).alias("leads"))
-    onward = near.join(leads, "family").select("node", F.explode("leads").alias("lead")).select("node", "lead.family", "lead.key")
-    pointed = near.unionByName(far).unionByName(onward).groupBy("node", "family").agg(F.max("key").alias("votes"))
-    pointed = materialize(pointed, "pointed")
+    pointing = met.where(f"size = {MET}").groupBy("node", F.col("other").alias("family")).agg(F.sum("key").alias("votes"))
+    pointed = materialize(pointing, "pointed")
     own = pointed.select(F.col("family").alias("node"), "family")
     stars = pointed.select("node", "family").union(own).groupBy("node").agg(F.collect_set("family").alias("families"))
     # The family that most signatures of a node speak for.
@@ -388,9 +427,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90, id_colum
     copies = each.where("id <> stands").select(F.col("id").alias("u"), F.col("stands").alias("v"))
     # Each node meets the family it has most in common with; further families only matter where they still span several components.
     found = _hub_components(_bodies(texts, chosen), each, chosen, copies, width, percent)[0]
-    opened, (left,) = saved(_spanning(stars, found).select("node", "component").distinct(), "opened")
+    spanning, (left,) = saved(_spanning(stars, found), "spanning")
+    if left:
+        bodies = _bodies(texts, spanning.select("node").distinct())
+        opened, (left,) = saved(_open(bodies, spanning, width, percent), "opened")
     if left:
-        bodies = _bodies(texts, opened)
+        bodies = bodies.join(opened.select(F.col("node").alias("id")), "id", "left_semi")
         groups = _meeting(bodies, opened, width, percent)
         found = _linked_components(bodies, each, groups, found.select(F.col("node").alias("u"), F.col("component").alias("v")), width, percent)
     return each.join(found, each["id"] == found["node"], "left").select(
@@ -403,12 +445,32 @@ def _spanning(stars: DataFrame, found: DataFrame) -> DataFrame:
     placed = stars.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     state = materialize(placed, "state").select("node", "component", F.explode("families").alias("family"))
     spread = state.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("family")
-    return materialize(state.join(spread, "family").select("node", "family", "component"), "spanning")
+    return state.join(spread, "family").select("node", "family", "component")
+
+
+def _open(bodies: DataFrame, spanning: DataFrame, width: int, percent: int) -> DataFrame:
+    """Distinct (node, component) of ``spanning`` (node, family, component) that may have links to other components: by their prints in families
+    of bounded size, and all nodes of larger families."""
+    prints = materialize(bodies.mapInArrow(_print_rows(width, percent), "node long, size long, print binary"), "prints")
+    rows = spanning.join(prints.select("node", F.length("print").alias("bytes")), "node")
+    small = rows.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).selectExpr("family", f"n <= {MOST_BLOCK_SETS} and b <= {PRINT_BYTES} as small")
+    told = materialize(spanning.join(small, "family"), "told")
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        prints = [np.frombuffer(x, np.uint8) for x in rows["print"]]
+        kept = rows[close_sets(rows["component"].to_numpy(), rows["size"].to_numpy(), prints, percent)]
+        return kept[["node", "component"]].drop_duplicates()
+
+    checked = told.where("small").drop("small").join(prints, "node").groupBy("family").applyInPandas(near, "node long, component long")
+    return told.where("not small").select("node", "component").union(checked).distinct()
 
 
 def _bodies(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, body): the texts of ``nodes`` in few bytes, picked out once for all that is done with them."""
-    wanted = texts.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+    """(id, body): the texts of ``nodes`` in few bytes, picked out once for all that is done with them. A few others may come along; no join finds them.
+
+    Texts are picked out where they lie, so that only those that are needed are ever shuffled.
+    """
+    wanted = split_by_keys(texts.where("id is not null"), nodes.select(F.col("node").alias("id")), "id")[0]
     return materialize(wanted.mapInArrow(_deflated, "id long, body binary"), "bodies")
 
 
