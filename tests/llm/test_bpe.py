@@ -1,11 +1,14 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer as Library
 from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
+from veilframe.llm import common
 from veilframe.llm.bpe import Tokenizer, decode, encode
+from veilframe.llm.common import slices
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -43,3 +46,32 @@ def test_frames(spark, odd_docs, no_docs, library):
     assert encode(no_docs, PATH).collect() == []
     nothing = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [r.decoded for r in decode(nothing, PATH).collect()] == ["", ""]
+
+
+def test_learned_words_take_few_bytes():
+    """Ids of learned words stay in each Python process, so they are kept as bytes, not as lists of numbers."""
+    tokenizer = Tokenizer(PATH)
+    tokenizer.encode(["information retrieval zqxjkvbw 12345 naïveté"])
+    assert all(isinstance(ids, bytes) and len(ids) % 4 == 0 for ids in tokenizer.lately.values())
+
+
+def test_slices_are_bounded_and_whole():
+    texts = pa.array(["ab", None, "é" * 5, "", "x" * 40, "yz", "w" * 9, "v"])
+    got = list(slices(texts, 12))
+    assert [texts.slice(*s).to_pylist() for s in got] == [["ab", None, "é" * 5, ""], ["x" * 40], ["yz", "w" * 9, "v"]]
+    assert list(slices(texts[:0])) == []
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """Only once all batches are worked on and the function's own variables are gone."""
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append("given back"))
+
+    def work(batches):
+        for b in batches:
+            yield b
+        done.append("worked")
+
+    assert list(common.tidy(work)(iter([1, 2]))) == [1, 2] and done == ["worked", "given back"]
+    monkeypatch.undo()
+    common.give_back()

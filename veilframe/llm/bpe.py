@@ -20,6 +20,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from veilframe.llm.common import fresh
+from veilframe.llm.common import fresh, slices, tidy
 
-CHUNK_CHARS = 1 << 21
-CACHED_WORDS = 250_000
+CHUNK_BYTES = 1 << 21
+CACHED_WORDS = 1 << 17
 IN_STEP, BLOCK_ROWS = 64, 4096
 CACHED_PAIRS = 2_000_000
 SUFFIX = "</w>"
@@ -112,9 +113,10 @@ class Tokenizer:
         self.rank_of = Lookup(merges[:, 0] * self.size + merges[:, 1], np.arange(len(merges), dtype=np.int32))
         self.product = merges[:, 2]
         self._build_trie()
-        #: Words met of late, and those met before them: two generations, so frequent words stay.
-        self.lately: dict[str, list[int]] = {w: [i] for w, i in self.special.items()}
-        self.before: dict[str, list[int]] = {}
+        #: Words met of late, and those met before them: two generations, so frequent words stay. Ids as bytes of int32.
+        self.always = {w: np.int32(i).tobytes() for w, i in self.special.items()}
+        self.lately: dict[str, bytes] = dict(self.always)
+        self.before: dict[str, bytes] = {}
         self.codes, self.verdicts = np.empty(0, np.int64), np.empty(0, bool)
 
     def _build_trie(self) -> None:
@@ -306,7 +308,7 @@ class Tokenizer:
     def learn(self, words: set[str]) -> None:
         """Encode words that aren't known yet."""
         if len(self.lately) > CACHED_WORDS:
-            self.before, self.lately = self.lately, {w: [i] for w, i in self.special.items()}
+            self.before, self.lately = self.lately, dict(self.always)
         new = []
         for word in words.difference(self.lately):
             if (ids := self.before.get(word)) is None:
@@ -314,7 +316,8 @@ class Tokenizer:
             else:
                 self.lately[word] = ids
         if new:
-            self.lately.update(zip(new, self.encode_words([*map(self.spelled, new)]), strict=True))
+            cuts = self.encode_words([*map(self.spelled, new)])
+            self.lately.update(zip(new, (array("i", ids).tobytes() for ids in cuts), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text's ids."""
@@ -324,8 +327,8 @@ class Tokenizer:
         self.learn(words)
         place = {w: i for i, w in enumerate(words)}
         known = [self.lately[w] for w in place]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        table = np.fromiter(chain.from_iterable(known), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        table = np.frombuffer(b"".join(known), np.int32)
         starts = np.cumsum(sizes) - sizes
         used = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         lengths = sizes[used]
@@ -341,19 +344,6 @@ def load(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    """Neighbouring texts of a bounded number of characters together; a longer text comes alone."""
-    part, size = [], 0
-    for text in texts:
-        if part and size + len(text) > CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield part
-
-
 #: Makes output columns from a tokenizer, ids one after another, and the number of ids of each text.
 Make = Callable[[Tokenizer, np.ndarray, np.ndarray], list[pa.Array]]
 
@@ -380,13 +370,12 @@ def map_encoded(docs: DataFrame, path: str, text_column: str, make: Make, made:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
-            at = 0
-            for part in _chunks(batch.column(source).fill_null("").to_pylist()):
-                columns = [batch.column(c).slice(at, len(part)) for c in kept]
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([*columns, *make(tokenizer, *tokenizer.encode(part))], names=schema.names)
+            texts = batch.column(source).fill_null("")
+            for at, size in slices(texts, CHUNK_BYTES):
+                columns = [batch.column(c).slice(at, size) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, *make(tokenizer, *tokenizer.encode(texts.slice(at, size).to_pylist()))], names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias(source)).mapInArrow(work, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias(source)).mapInArrow(tidy(work), schema)
 
 
 def encode(docs: DataFrame, path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +18,8 @@ from veilframe.session import materialize
 ONE_TASK_ROWS = 100_000
 #: Rows of 64 bits each in a filter of keys.
 FILTER_WORDS = 1 << 18
+#: Bytes of text that a task takes out of an Arrow batch at once; a longer text comes alone.
+SLICE_BYTES = 1 << 22
 
 
 def saved(frame: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, list]:
@@ -89,3 +95,32 @@ def bounded_sample(rows: DataFrame, group: str, id_column: str, per_group: int)
     order = Window.partitionBy(group).orderBy("_h", id_column)
     ranked = single.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_group)
     return ranked.select(*[F.col(f"_row.{c}").alias(c) if c in others else F.col(c) for c in rows.columns])
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Start and length of neighbouring texts of at most ``most`` bytes together; a longer one comes alone."""
+    start, size = 0, 0
+    for at, n in enumerate(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).tolist()):
+        if at > start and size + n > most:
+            yield start, at - start
+            start, size = at, 0
+        size += n
+    if len(texts) > start:
+        yield start, len(texts) - start
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system. A task's Python process outlives the task and lies beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same work on a task's batches, with the memory given back at its end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return tidied

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import saved, split_by_keys, text_or_empty
+from veilframe.llm.common import saved, split_by_keys, text_or_empty, tidy
 from veilframe.llm.components import components
 from veilframe.llm.shingles import mixed, shingle_sets
 from veilframe.session import materialize
@@ -395,7 +395,7 @@ def first_shingles(rows: DataFrame, percent: int) -> DataFrame:
 
 def _meeting(bodies: DataFrame, opened: DataFrame, width: int, percent: int) -> DataFrame:
     """Groups (node, family, component, indexed) in which all links between the components of ``opened`` (node, component) lie."""
-    shingles = bodies.mapInArrow(_shingle_rows(width), "node long, tag long, shingle long")
+    shingles = bodies.mapInArrow(tidy(_shingle_rows(width)), "node long, tag long, shingle long")
     rows = materialize(first_shingles(shingles, percent).join(opened, "node"), "meeting")
     # Groups of the same sets are one group.
     who = [F.bit_xor(F.xxhash64("node", "indexed")), F.sum(F.xxhash64("indexed", "node").cast("decimal(38,0)")), F.count("*")]
@@ -413,8 +413,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90, id_colum
     texts = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(chars / BUCKET_CHARS))
-    rows = texts.mapInArrow(_sketch(width, percent, buckets), SCHEMA).repartition("key").sortWithinPartitions("key")
-    met = materialize(rows.mapInArrow(_meet, SCHEMA).drop("packed"), "met")
+    rows = texts.mapInArrow(tidy(_sketch(width, percent, buckets)), SCHEMA).repartition("key").sortWithinPartitions("key")
+    met = materialize(rows.mapInArrow(tidy(_meet), SCHEMA).drop("packed"), "met")
     each = met.where("size >= 0").select(F.col("node").alias("id"), F.col("other").alias("stands"), F.col("size").alias("n_shingles"))
     pointing = met.where(f"size = {MET}").groupBy("node", F.col("other").alias("family")).agg(F.sum("key").alias("votes"))
     pointed = materialize(pointing, "pointed")
@@ -451,7 +451,7 @@ def _spanning(stars: DataFrame, found: DataFrame) -> DataFrame:
 def _open(bodies: DataFrame, spanning: DataFrame, width: int, percent: int) -> DataFrame:
     """Distinct (node, component) of ``spanning`` (node, family, component) that may have links to other components: by their prints in families
     of bounded size, and all nodes of larger families."""
-    prints = materialize(bodies.mapInArrow(_print_rows(width, percent), "node long, size long, print binary"), "prints")
+    prints = materialize(bodies.mapInArrow(tidy(_print_rows(width, percent)), "node long, size long, print binary"), "prints")
     rows = spanning.join(prints.select("node", F.length("print").alias("bytes")), "node")
     small = rows.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).selectExpr("family", f"n <= {MOST_BLOCK_SETS} and b <= {PRINT_BYTES} as small")
     told = materialize(spanning.join(small, "family"), "told")
@@ -471,7 +471,7 @@ def _bodies(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     Texts are picked out where they lie, so that only those that are needed are ever shuffled.
     """
     wanted = split_by_keys(texts.where("id is not null"), nodes.select(F.col("node").alias("id")), "id")[0]
-    return materialize(wanted.mapInArrow(_deflated, "id long, body binary"), "bodies")
+    return materialize(wanted.mapInArrow(tidy(_deflated), "id long, body binary"), "bodies")
 
 
 def _hub_components(

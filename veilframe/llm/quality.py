@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import bounded_sample
+from veilframe.llm.common import bounded_sample, give_back, slices, tidy
 from veilframe.session import materialize
 
 #: Byte classes that are counted, as shares of a text's bytes unless said otherwise.
@@ -185,12 +185,12 @@ def train(
     rows = texts.join(F.broadcast(chosen), id_column)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(*s) for b in batches for s in slices(b.column("text"))):
             x = measures(batch.column("text").to_pylist())
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), values], ["id", "label", "x"])
 
-    got = rows.select(F.col(id_column).cast("string").alias("id"), "label", "text").mapInArrow(measured, "id string, label int, x array<double>")
+    got = rows.select(F.col(id_column).cast("string").alias("id"), "label", "text").mapInArrow(tidy(measured), "id string, label int, x array<double>")
     # One row per sampled id: the bound holds whatever repeats there are in the documents.
     data = got.groupBy("id", "label").agg(F.min("x").alias("x")).orderBy("id", "label", "x").toArrow()
     x = np.array(data["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
@@ -205,6 +205,8 @@ def scored(text: Column, model: Additive) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(model.score(measures(batch.fill_null("").to_pylist())))
+            x = [measures(batch.slice(*s).fill_null("").to_pylist()) for s in slices(batch)]
+            yield pa.array(model.score(np.concatenate(x or [measures([])])))
+        give_back()
 
     return score(text)
