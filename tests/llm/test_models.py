@@ -168,3 +168,53 @@ def test_class_model_without_rows(spark, odd_docs, no_docs):
     got = classlm.score(odd_docs, model).collect()
     assert len(got) == odd_docs.count() and all(r.n_known == 0 and math.isfinite(r.score) and r.base_score == 0 for r in got)
     assert classlm.score(no_docs, model).collect() == []
+
+
+def class_table(sequence, own, classes):
+    table = np.zeros((classes, classes))
+    for a, b in zip([0, *sequence[:-1]], sequence, strict=True):
+        table[own[a], own[b]] += 1
+    return table
+
+
+def test_better_classes_by_recounting():
+    """Each word's new class is the one with the highest likelihood of bigrams that are counted anew; rare words come close to it."""
+    rng = np.random.default_rng(3)
+    sequence = [int(x) for x in np.minimum(rng.integers(0, 12, 4000) + 3 * (np.arange(4000) % 2), 12)]
+    own = np.array([0, *(1 + np.arange(12) % 4)])
+    table = class_table(sequence, own, 5)
+    bigrams = class_table(sequence, np.arange(13), 13)
+    member = np.eye(5)[own]
+    right, left, twice = bigrams @ member, bigrams.T @ member, np.diag(bigrams)
+    for w, got in list(enumerate(classlm.better_classes(table, own, right, left, twice)))[1:]:
+        tried = [classlm.likelihood(class_table(sequence, [*own[:w], c, *own[w + 1 :]], 5)) for c in range(1, 5)]
+        assert tried[got - 1] == pytest.approx(max(tried), abs=1e-6)
+    # Rare words: four that come up three times each.
+    rare = sequence + [1, 13, 2, 5, 14, 6, 9, 15, 10, 1, 16, 1] * 3
+    own = np.array([*own, 4, 1, 2, 3])
+    table, bigrams, member = class_table(rare, own, 5), class_table(rare, np.arange(17), 17), np.eye(5)[own]
+    got = classlm.better_rare_classes(table, own[13:], (bigrams @ member)[13:], (bigrams.T @ member)[13:])
+    for w, c in enumerate(got, start=13):
+        tried = [classlm.likelihood(class_table(rare, [*own[:w], k, *own[w + 1 :]], 5)) for k in range(1, 5)]
+        assert tried[c - 1] == pytest.approx(max(tried), abs=0.02)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 6])
+def test_every_word_is_clustered(spark, head):
+    """Words beyond the core that end alike, whether broadcast or joined: they get their class from their neighbours, and bigrams are those of all classes."""
+    rows = [(i, f"the n{i % 2 * (i % 41)}same to v{i % 3 * (i % 37)}same") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = classlm.train(docs, F.lit(True), classes=5, core=4, endings=4, head=head, prior=1e-9)
+    lex = model.lexicon
+    assert (model.vocabulary.count() > 0) == (head == 6)
+    of = lambda w: int(lex.classes[lex.units[w]])
+    nouns, verbs = ({of(w) for _, t in rows if (w := t.split()[at].encode())} for at in (1, 3))
+    assert len(nouns) == len(verbs) == 1 and nouns != verbs
+    table = np.zeros((5, 5))
+    for _, text in rows:
+        before = 0
+        for w in [*text.encode().split(), b""]:
+            table[before, of(w)] += 1
+            before = of(w)
+    used = table.sum(axis=1) > 0
+    assert np.allclose(10 ** lex.moves[used], table[used] / table[used].sum(axis=1, keepdims=True))
