@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -163,6 +164,35 @@ def test_class_model_counts(spark, odd_docs, head):
     assert np.allclose(mass[filled], 1)
 
 
+def test_tokens_are_cut_without_an_object_each(monkeypatch):
+    """All texts of a chunk at once; the same words as bytes.split() gives, and an end token after each text."""
+    rng = np.random.default_rng(5)
+    signs = [*"aB\u00c9z \t\n\v\f\r\x1c\x1f\x85\xa0\u3000\x00.", "Ab", "  "]
+    texts = ["", " ", "a", " A b\x0bc ", "\u65e5\u672c X", *("".join(rng.choice(signs, n)) for n in rng.integers(0, 40, 300)), "", ""]
+    want = [[*t.encode().lower().split(), b""] for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for array in (pa.array(texts, kind), pa.array(["x y", *texts, "z"], kind).slice(1, len(texts))):
+            distinct, used, lengths = classlm._coded(array)
+            names = distinct.to_pylist()
+            assert len(set(names)) == len(names) and lengths.tolist() == [*map(len, want)]
+            assert [names[i] for i in used.tolist()] == [w for ws in want for w in ws]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    counted = Counter(dict(zip(*(c.to_pylist() for b in classlm._count_words(iter([batch])) for c in b.columns), strict=True)))
+    assert counted == Counter(w for ws in want for w in ws)
+
+
+def test_distinct_rows_of_wide_columns():
+    """Rows are told apart by one number each, also where the columns' ranges multiply beyond 64 bits."""
+    rng = np.random.default_rng(6)
+    for most in (3, 1 << 40):
+        columns = [rng.choice(np.array([-most, -1, 0, 7, most]), 500) for _ in range(4)]
+        rows = Counter(zip(*(c.tolist() for c in columns), strict=True))
+        at, n = classlm._distinct(*columns)
+        assert {tuple(int(c[i]) for c in columns): int(k) for i, k in zip(at, n, strict=True)} == rows and len(at) == len(rows)
+    none = np.empty(0, np.int64)
+    assert [len(x) for x in classlm._distinct(none, none)] == [0, 0]
+
+
 def test_class_model_without_rows(spark, odd_docs, no_docs):
     model = classlm.train(no_docs, F.lit(True), classes=4)
     got = classlm.score(odd_docs, model).collect()

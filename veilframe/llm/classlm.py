@@ -27,10 +27,8 @@ repeat an id are scored and counted each. Rows without an id are scored, not lea
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,26 +47,55 @@ BLOCK_WORDS = 512
 PAGE_WORDS = 1 << 16
 
 
-def _tokens(text: str) -> list[bytes]:
-    return [*text.encode().lower().split(), END]
+def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts, the number of each token among them, and how many tokens each text has.
 
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Rows of bounded text together, with their tokens; a longer text comes alone."""
+    Bytes are cut, and words told apart, for all texts at once, without an object per token.
+    """
+    raw = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    body = raw.buffers()[2].slice(bounds[0], bounds[-1] - bounds[0]) if bounds[-1] > bounds[0] else b""
+    signs, bounds = np.frombuffer(bytes(body).lower(), np.uint8), bounds - bounds[0]
+    # White space is what bytes.split() cuts at: 0x09 to 0x0D, and the blank.
+    inside = (signs != 32) & ((signs - np.uint8(9)) > 4)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = bounds[:-1][bounds[:-1] < bounds[1:]]
+    begins[edges] = inside[edges]
+    kept = signs[inside]
+    cuts = np.append(np.flatnonzero(begins[inside]), len(kept))
+    # Each text's end token is an empty word after its last one.
+    ends = np.searchsorted(np.flatnonzero(begins), bounds[1:])
+    offsets = np.append(np.insert(cuts[:-1], ends, cuts[ends]), len(kept)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy().astype(np.int64), np.diff(ends, prepend=0) + 1
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Rows of bounded text together, with their tokens as ``_coded`` gives them; a longer text comes alone."""
     for batch in batches:
         for part in (batch.slice(*s) for s in slices(batch.column("text"), CHUNK_BYTES)):
-            yield part, [_tokens(t) for t in part.column("text").to_pylist()]
+            yield part, *_coded(part.column("text"))
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    """Values of an array; unlike to_pylist() it makes no scalar object for each of them."""
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array([*counts], pa.binary()), pa.array([*counts.values()], pa.int64())], names=["word", "n"])
-    for _, rows in _chunks(batches):
-        counts.update(chain.from_iterable(rows))
-        if len(counts) > COUNTED_WORDS:
-            yield flush()
-            counts.clear()
-    yield flush()
+    """Counts of a task's words: those of chunks are summed whenever they come to twice the bound, and let out if more than the bound are left."""
+    waiting: list[pa.RecordBatch] = []
+    summed = lambda: pa.Table.from_batches(waiting).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+    for _, distinct, used, _ in _chunks(batches):
+        waiting.append(pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(used))], names=["word", "n"]))
+        if sum(map(len, waiting)) > 2 * COUNTED_WORDS:
+            waiting = summed().select(["word", "n"]).to_batches()
+            if sum(map(len, waiting)) > COUNTED_WORDS:
+                yield from waiting
+                waiting = []
+    if waiting:
+        yield from summed().select(["word", "n"]).to_batches()
 
 
 class Units(dict):
@@ -96,6 +123,11 @@ class Units(dict):
         self[word] = unit
         return unit
 
+    def of_rest(self, words: list[bytes]) -> list[int]:
+        """Units of words that aren't in the core, and of which nothing else is known."""
+        last = self.number - 1
+        return [self.endings.get(w[-3:], last) for w in words]
+
     def __reduce__(self):
         core, endings = ([k for k, _ in sorted(d.items(), key=lambda x: x[1])] for d in (self.core, self.endings))
         return Units, (core[1:], endings)
@@ -331,13 +363,18 @@ def _placed(words: list[bytes], kinds: np.ndarray, rare: DataFrame, number: int)
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of distinct rows, and how often each comes up."""
-    order = np.lexsort(columns)
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= np.diff(c[order]) != 0
-    at = np.flatnonzero(new)
-    return order[at], np.diff(np.append(at, len(order)))
+    number = len(columns[0])
+    key, cells = np.zeros(number, np.int64), 1
+    for c in reversed(columns) if number else ():
+        low, span = int(c.min()), int(c.max()) - int(c.min()) + 1
+        if cells * span >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+            cells = number
+        key = key * span + (c - low)
+        cells *= span
+    order = np.argsort(key)
+    at = np.flatnonzero(np.diff(key[order], prepend=-1))
+    return order[at], np.diff(np.append(at, number))
 
 
 class _Corpus:
@@ -352,11 +389,11 @@ class _Corpus:
         def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             units, words = sent.value
             number = {w: i for i, w in enumerate(words, start=1)} | {END: 0}
-            for _, rows in _chunks(batches):
-                distinct = list(set(chain.from_iterable(rows)))
-                local = {w: i for i, w in enumerate(distinct)}
-                used = np.fromiter(map(local.__getitem__, chain.from_iterable(rows)), np.int64, sum(map(len, rows)))
-                code = np.fromiter((i if (i := number.get(w)) is not None else -units[w] for w in distinct), np.int32, len(distinct))
+            for _, distinct, used, _ in _chunks(batches):
+                names = _listed(distinct)
+                code = np.fromiter((number.get(w, -1) for w in names), np.int32, len(names))
+                rest = np.flatnonzero(code < 0)
+                code[rest] = -np.array(units.of_rest([names[i] for i in rest.tolist()]), np.int32)
                 ids = code[used]
                 none = lambda kind, n=1: pa.nulls(n, kind)
                 packed = pa.array([zlib.compress(ids.tobytes(), 1)], pa.binary())
@@ -364,11 +401,11 @@ class _Corpus:
                 at = np.flatnonzero(ids < 0)
                 before, after = np.where(at > 0, ids[at - 1], 0), ids[at + 1] if len(at) else ids[:0]
                 first, n = _distinct(after, before, used[at])
-                listed = pa.array([distinct[i] for i in used[at[first]].tolist()], pa.binary())
+                listed = distinct.take(pa.array(used[at[first]]))
                 yield _rows(none(pa.binary(), len(n)), listed, none(pa.binary(), len(n)), pa.array(before[first]), pa.array(after[first]), pa.array(n))
                 at = at[after < 0]
                 first, n = _distinct(used[at + 1], used[at])
-                both = [pa.array([distinct[i] for i in used[at[first] + k].tolist()], pa.binary()) for k in (0, 1)]
+                both = [distinct.take(pa.array(used[at[first] + k])) for k in (0, 1)]
                 yield _rows(none(pa.binary(), len(n)), *both, none(pa.int32(), len(n)), none(pa.int32(), len(n)), pa.array(n))
 
         kinds = "ids binary, word binary, next binary, l int, r int, n long"
@@ -482,7 +519,7 @@ class _Corpus:
                 l, r = np.divmod(flat.field("x").to_numpy().astype(np.int64), 2 * classes)
                 n = flat.field("n").to_numpy()
                 right, left = (np.bincount(owner * classes + x % classes, n, len(lists) * classes).reshape(-1, classes) for x in (r, l))
-                seed = own[np.fromiter(map(units.__getitem__, words.to_pylist()), np.int64, len(lists))]
+                seed = own[np.fromiter(map(units.__getitem__, _listed(words)), np.int64, len(lists))]
                 c = better_rare_classes(bigrams, seed, right, left) if len(lists) else seed
                 for code, sure in ((l * classes + c[owner], l < classes), (c[owner] * classes + r, r < classes)):
                     table += np.bincount(code[sure], n[sure], classes**2).astype(np.int64)
@@ -543,22 +580,18 @@ def score(docs: DataFrame, model: ClassModel, text_column: str = "text", keep: l
         places = lex.places()
         log_next, log_count = np.log10(lex.counts + 1.0), np.log10(np.maximum(1.0, lex.counts))
         end_known = lex.ends > 0
-        for batch, tokens in _chunks(batches):
-            lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            distinct = list(set(chain.from_iterable(tokens)))
-            local = {w: i for i, w in enumerate(distinct)}
-            used = np.fromiter(map(local.__getitem__, chain.from_iterable(tokens)), np.int64, int(ends[-1]))
-            place = np.fromiter((places.get(w, -1) for w in distinct), np.int64, len(distinct))
-            head, is_end = place >= 0, np.zeros(len(distinct), bool)
-            is_end[local[END]] = True
+        for batch, distinct, used, lengths in _chunks(batches):
+            starts = np.cumsum(lengths) - lengths
+            names = _listed(distinct)
+            place = np.fromiter((places.get(w, -1) for w in names), np.int64, len(names))
+            head, is_end = place >= 0, np.zeros(len(names), bool)
+            is_end[names.index(END)] = True
             tail = ~(head | is_end)
-            kind = np.zeros(len(distinct), np.int64)
+            kind = np.zeros(len(names), np.int64)
             kind[head] = lex.kinds[1 + place[head]]
             # What an unseen word has; the join finds the class of the others.
-            kind[tail] = lex.classes[[lex.units[distinct[i]] for i in np.flatnonzero(tail).tolist()]]
-            base, own = np.zeros(len(distinct)), np.zeros(len(distinct))
+            kind[tail] = lex.classes[np.array(lex.units.of_rest([names[i] for i in np.flatnonzero(tail).tolist()]), np.int64)]
+            base, own = np.zeros(len(names)), np.zeros(len(names))
             base[head], own[head] = log_next[place[head]], log_count[place[head]] + lex.known[kind[head]]
             base[is_end] = np.log10(lex.ends + 1.0)
             own[is_end] = np.log10(lex.ends) + lex.known[0] if end_known else lex.unknown[0]
@@ -572,13 +605,13 @@ def score(docs: DataFrame, model: ClassModel, text_column: str = "text", keep: l
             sure = (head | (is_end & end_known))[used]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"), *[pa.nulls(len(tokens), pa.binary())] * 2, pa.array(lengths), *[pa.nulls(len(tokens), pa.int32())] * 4,
+                    batch.column("row"), *[pa.nulls(len(batch), pa.binary())] * 2, pa.array(lengths), *[pa.nulls(len(batch), pa.int32())] * 4,
                     pa.array(per(sure.astype(np.int64))), pa.array(per(base[used]) - lengths * space), pa.array(per(moves + own[used])),
                     batch.column("kept"),
                 ],
                 names=[*_NAMES, "kept"],
             )
-            owner, at = np.repeat(np.arange(len(tokens)), lengths), np.flatnonzero(open_)
+            owner, at = np.repeat(np.arange(len(batch)), lengths), np.flatnonzero(open_)
             l, r = (np.where(x, -1, y)[at].astype(np.int32) for x, y in ((open_before, before), (open_after, after)))
             first, n = _distinct(r, l, used[at], owner[at])
             for at, l, r, pair in ((at[first], l[first], r[first], False), (np.flatnonzero(open_ & open_after), None, None, True)):
@@ -587,7 +620,7 @@ def score(docs: DataFrame, model: ClassModel, text_column: str = "text", keep: l
                     at = at[first]
                 if not len(at):
                     continue
-                listed = [pa.array([distinct[w] for w in used[at + k].tolist()], pa.binary()) for k in range(1 + pair)]
+                listed = [distinct.take(pa.array(used[at + k])) for k in range(1 + pair)]
                 kinds = [pa.array(c[at + k].astype(np.int32)) for k in range(1 + pair)]
                 none = lambda kind, k=len(at): pa.nulls(k, kind)
                 yield pa.RecordBatch.from_arrays(
