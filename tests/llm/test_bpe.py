@@ -75,3 +75,9 @@ def test_tasks_give_memory_back(monkeypatch):
     assert list(common.tidy(work)(iter([1, 2]))) == [1, 2] and done == ["worked", "given back"]
     monkeypatch.undo()
     common.give_back()
+
+
+def test_a_kept_text_is_sent_once(odd_docs):
+    """Tasks get the text that they also return, not a copy of it beside it."""
+    plan = encode(odd_docs, PATH)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "encoded_text" not in plan

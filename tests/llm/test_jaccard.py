@@ -2,10 +2,13 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 from veilframe.llm import jaccard
+from veilframe.llm import shingles as shingling
+from veilframe.llm.common import SLICE_BYTES
 from veilframe.llm.components import components
 from veilframe.llm.jaccard import close_sets, first_shingles, linked, near_duplicates, print_of, signatures
 from veilframe.session import materialize
@@ -171,3 +174,28 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (7, 7), (20, 20)] + [(100, 100 + i) for i in range(50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 1 for i in range(1, 6)} | {7: 7, 8: 7, 9: 7} | {i: 100 for i in range(100, 150)}
+
+
+def test_sketch_holds_the_sets_of_a_slice(monkeypatch):
+    """Texts are taken a bounded slice at a time; of equal sets, also across slices, the smallest id stands for all that have an id."""
+    asked = []
+    plain = jaccard.shingle_sets
+    monkeypatch.setattr(jaccard, "shingle_sets", lambda texts, width: asked.append(sum(map(len, texts))) or plain(texts, width))
+    long = ["a b c " * 500_000, "d e f g " * 400_000]
+    texts = [long[0], "", "x y z u", long[1], "X y  z u", "q", long[0] + " ", "x y z u"]
+    ids = [7, 8, 3, 6, 2, 1, 5, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], names=["id", "text"])
+    first, *packed = jaccard._sketch(3, 80, 5)(iter([batch]))
+    assert len(asked) > 1 and max(asked) <= SLICE_BYTES
+    assert first["node"].to_pylist() == ids
+    assert first["other"].to_pylist()[:7] == [5, 8, 2, 6, 2, 1, 5] and first["other"].to_pylist()[7] is None
+    assert first["size"].to_pylist() == [3, 0, 2, 4, 2, 1, 3, 2]
+    keys = [k for p in packed for k in p["key"].to_pylist()]
+    assert keys == sorted(set(keys)) and set(keys) <= set(range(5))
+    nodes = {n for p in packed for body in p["packed"].to_pylist() for n in jaccard._unpack(body)[1].tolist()}
+    assert nodes == {1, 2, 5, 6}
+
+
+def test_powers_of_long_texts_are_not_kept():
+    assert len(list(shingling.shingle_sets(["a b " * 800_000, "c"], 2))) == 2
+    assert all(len(x) <= 2 * shingling.CHUNK_BYTES for x in shingling._powers)

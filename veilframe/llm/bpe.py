@@ -15,7 +15,6 @@ are encoded whole.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -33,7 +32,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from veilframe.llm.common import fresh, slices, tidy
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 CACHED_WORDS = 1 << 17
 IN_STEP, BLOCK_ROWS = 64, 4096
 CACHED_PAIRS = 2_000_000
@@ -339,11 +338,6 @@ class Tokenizer:
         return flat, np.diff(edges)
 
 
-@functools.lru_cache(maxsize=2)
-def load(path: str) -> Tokenizer:
-    return Tokenizer(path)
-
-
 #: Makes output columns from a tokenizer, ids one after another, and the number of ids of each text.
 Make = Callable[[Tokenizer, np.ndarray, np.ndarray], list[pa.Array]]
 
@@ -365,17 +359,20 @@ def map_encoded(docs: DataFrame, path: str, text_column: str, make: Make, made:
     names = {f.name.lower() for f in made.fields}
     kept = [c for c in docs.columns if c.lower() not in names]
     schema = StructType([docs.schema[c] for c in kept] + made.fields)
-    source = fresh(docs, "encoded_text")
+    # A text that is kept is sent to the tasks once, not twice.
+    source = text_column if text_column in kept else fresh(docs, "encoded_text")
+    sent = [F.col(f"`{c}`") for c in kept] + ([] if source in kept else [F.col(text_column).alias(source)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        # For this task only: kept, it and the words it learned would lie beside all later stages in idle processes.
+        tokenizer = Tokenizer(path)
         for batch in batches:
-            texts = batch.column(source).fill_null("")
+            texts = batch.column(source)
             for at, size in slices(texts, CHUNK_BYTES):
                 columns = [batch.column(c).slice(at, size) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, *make(tokenizer, *tokenizer.encode(texts.slice(at, size).to_pylist()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*columns, *make(tokenizer, *tokenizer.encode(texts.slice(at, size).fill_null("").to_pylist()))], names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias(source)).mapInArrow(tidy(work), schema)
+    return docs.select(*sent).mapInArrow(tidy(work), schema)
 
 
 def encode(docs: DataFrame, path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
@@ -388,7 +385,7 @@ def decode(rows: DataFrame, path: str, ids_column: str = "ids", text_column: str
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer = load(path)
+        tokenizer = Tokenizer(path)
         for batch in batches:
             counts = np.diff(batch.offsets.to_numpy())
             yield pa.array(texts_of(tokenizer, batch.flatten().to_numpy(), counts), pa.string())

@@ -21,17 +21,17 @@ links. Rows without an id are returned with their set size and a null component.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import saved, split_by_keys, text_or_empty, tidy
+from veilframe.llm.common import SLICE_BYTES, give_back, saved, slices, split_by_keys, text_or_empty, tidy
 from veilframe.llm.components import components
 from veilframe.llm.shingles import mixed, shingle_sets
 from veilframe.session import materialize
@@ -40,6 +40,10 @@ BLOCK_SETS, MOST_BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 20
 SIGNATURE, MET = -2, -3
 #: Text characters per bucket of signatures: with one signature for every few characters, some hundred thousand in a bucket.
 BUCKET_CHARS = 4_000_000
+#: Bytes of deflated texts that a task takes out of an Arrow batch at once. After a larger group a task gives its memory back.
+BODY_BYTES = SLICE_BYTES // 4
+#: Parts in which a batch's signatures are sorted and packed.
+SORTED_PARTS = 8
 #: Bytes of prints that are compared in one task.
 PRINT_BYTES = 1 << 24
 _COLUMNS = ["key", "node", "other", "size", "packed"]
@@ -163,31 +167,46 @@ def _sketch(width: int, percent: int, buckets: int):
             ids = batch.column("id")
             known = ~np.asarray(ids.is_null())
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sets = list(shingle_sets(batch.column("text").to_pylist(), width))
-            size = np.fromiter(map(len, sets), np.int64, len(sets))
-            # Equal sets of the batch: the smallest id stands for all.
-            order = [int(i) for i in np.argsort(ids, kind="stable") if known[i]]
-            first: dict[bytes, int] = {}
-            stands = np.arange(len(ids))
-            for i in order:
-                if size[i]:
-                    stands[i] = first.setdefault(sets[i].tobytes(), i)
-            yield _batch(mixed(ids.view(np.uint64) + np.uint64(1)).view(np.int64), ids, ids[stands], size, known)
-            chosen = sorted(first.values())
-            del first
-            key, owner = signatures([sets[i] for i in chosen], percent)
-            node = ids[np.array(chosen, np.int64)[owner]] if len(chosen) else owner
-            key = key.view(np.uint64)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            ranges = np.searchsorted(key, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-            ranges = np.concatenate([[0], ranges, [len(key)]])
-            full = np.flatnonzero(np.diff(ranges))
-            packed = [_pack(key[ranges[b] : ranges[b + 1]], node[ranges[b] : ranges[b + 1]]) for b in full]
-            none = pa.nulls(len(full), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full), none, none, pa.array(np.full(len(full), SIGNATURE)), pa.array(packed, pa.binary())], names=_COLUMNS
-            )
+            texts, size, own = batch.column("text"), np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+            # Sets are held for a slice of the texts only; equal ones of the batch are told by their digests.
+            found: dict[bytes, int] = {}
+            keys, owners, at = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], 0
+            for part in slices(texts):
+                new, before = [], len(found)
+                for s in shingle_sets(texts.slice(*part).to_pylist(), width):
+                    size[at] = len(s)
+                    if len(s) and known[at]:
+                        own[at] = found.setdefault(hashlib.sha256(s).digest(), len(found))
+                        if own[at] == before + len(new):
+                            new.append(s)
+                    at += 1
+                key, owner = signatures(new, percent)
+                keys.append(key.view(np.uint64))
+                owners.append((owner + before).astype(np.int32))
+            # Of the documents with equal sets, the smallest id stands for all.
+            least, told = np.full(len(found), np.iinfo(np.int64).max), own >= 0
+            np.minimum.at(least, own[told], ids[told])
+            stands = ids.copy()
+            stands[told] = least[own[told]]
+            yield _batch(mixed(ids.view(np.uint64) + np.uint64(1)).view(np.int64), ids, stands, size, known)
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            del found, keys, owners
+            # A few ranges at a time, so that little is sorted and packed at once.
+            limits = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+            step = -(-buckets // SORTED_PARTS)
+            for low in range(0, buckets, step):
+                high = min(buckets, low + step)
+                here = np.flatnonzero((key >= (limits[low - 1] if low else np.uint64(0))) & (key < limits[high - 1] if high < buckets else True))
+                some, node = key[here], least[owner[here]]
+                order = np.lexsort((node, some))
+                some, node = some[order], node[order]
+                ranges = np.concatenate([[0], np.searchsorted(some, limits[low : high - 1]), [len(some)]])
+                full = np.flatnonzero(np.diff(ranges))
+                packed = [_pack(some[ranges[b] : ranges[b + 1]], node[ranges[b] : ranges[b + 1]]) for b in full]
+                none = pa.nulls(len(full), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(low + full), none, none, pa.array(np.full(len(full), SIGNATURE)), pa.array(packed, pa.binary())], names=_COLUMNS
+                )
 
     return work
 
@@ -222,7 +241,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts in fewer bytes: a text goes to several families."""
-    for batch in batches:
+    for batch in (b.slice(*s) for b in batches for s in slices(b.column("text"))):
         bodies = [zlib.compress(t.encode(), 1) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary())], names=["id", "body"])
 
@@ -349,7 +368,7 @@ def _print_rows(width: int, percent: int):
     """Rows (node, size, print) of all sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(*s) for b in batches for s in slices(b.column("body"), BODY_BYTES)):
             sets = list(shingle_sets(_inflated(batch.column("body").to_pylist()), width))
             prints = pa.array([print_of(s, percent).tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int64()), prints], names=["node", "size", "print"])
@@ -361,7 +380,7 @@ def _shingle_rows(width: int):
     """Rows (node, tag, shingle) of all sets; the tag holds a set's size and tells the sets of a node apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(*s) for b in batches for s in slices(b.column("body"), BODY_BYTES)):
             sets = shingle_sets(_inflated(batch.column("body").to_pylist()), width)
             for node, s in zip(batch.column("id").to_pylist(), sets, strict=True):
                 tag = zlib.crc32(s.tobytes()) >> 1 << 32 | len(s)
@@ -456,12 +475,12 @@ def _open(bodies: DataFrame, spanning: DataFrame, width: int, percent: int) -> D
     small = rows.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).selectExpr("family", f"n <= {MOST_BLOCK_SETS} and b <= {PRINT_BYTES} as small")
     told = materialize(spanning.join(small, "family"), "told")
 
-    def near(rows: pd.DataFrame) -> pd.DataFrame:
-        prints = [np.frombuffer(x, np.uint8) for x in rows["print"]]
-        kept = rows[close_sets(rows["component"].to_numpy(), rows["size"].to_numpy(), prints, percent)]
-        return kept[["node", "component"]].drop_duplicates()
+    def near(rows: pa.Table) -> pa.Table:
+        prints = [np.frombuffer(x, np.uint8) for x in rows["print"].to_pylist()]
+        close = close_sets(rows["component"].to_numpy(), rows["size"].to_numpy(), prints, percent)
+        return rows.filter(pa.array(close)).select(["node", "component"]).group_by(["node", "component"], use_threads=False).aggregate([])
 
-    checked = told.where("small").drop("small").join(prints, "node").groupBy("family").applyInPandas(near, "node long, component long")
+    checked = told.where("small").drop("small").join(prints, "node").groupBy("family").applyInArrow(near, "node long, component long")
     return told.where("not small").select("node", "component").union(checked).distinct()
 
 
@@ -498,16 +517,18 @@ def _hub_components(
     dealt = F.when(F.col("few"), F.expr("if(indexed, 0, 1 + pmod(xxhash64(node), blocks - 1))")).otherwise(dealt)
     placed, _ = saved(placed.withColumn("block", dealt.cast("long")), "placed")
 
-    def join_sets(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        sets = list(shingle_sets(_inflated(rows["body"]), width))
-        links = linked(rows["node"].tolist(), sets, percent, rows["component"].tolist(), rows["indexed"].tolist())
-        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+    def join_sets(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        nodes, component, indexed, bodies = (rows[c].to_pylist() for c in ("node", "component", "indexed", "body"))
+        links = linked(nodes, list(shingle_sets(_inflated(bodies), width)), percent, component, indexed)
+        if sum(map(len, bodies)) > BODY_BYTES:
+            give_back()
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     def joined(groups: DataFrame) -> DataFrame:
         """``groups``: node, family, component, indexed and the name of a group; all sets of a group meet in a tree."""
         full = bodies.join(groups, bodies["id"] == groups["node"]).select("family", "part", "node", "component", "indexed", "body")
-        return materialize(full.groupBy("family", "part").applyInPandas(join_sets, "u long, v long"), "links")
+        return materialize(full.groupBy("family", "part").applyInArrow(join_sets, "u long, v long"), "links")
 
     # The hub block goes to every other block's group.
     others = F.when(F.col("block") > 0, F.array("block")).when(F.col("blocks") == 1, F.array(F.lit(0).cast("long")))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _RANDOM = np.random.default_rng(977)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]  # A to Z count as lower case
@@ -29,7 +29,7 @@ def _powers_of(size: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < size:
         _powers.clear()
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(max(size, CHUNK_BYTES * 2), base, np.uint64)
+            steps = np.full(max(size, CHUNK_BYTES + 2), base, np.uint64)
             steps[0] = 1
             _powers.append(np.multiply.accumulate(steps))
     return _powers
@@ -77,3 +77,5 @@ def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
             else:
                 yield np.empty(0, np.uint64)
             first += count
+    if _powers and len(_powers[0]) > 2 * CHUNK_BYTES:
+        _powers.clear()  # a long text's; the process outlives the task
